@@ -11,9 +11,8 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +60,27 @@ def split_name(name: str) -> tuple[str, str]:
     return namespace or "default", table
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system the path names, as Spark itself would."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def live_commits(known: Sequence[Commit], as_of: int | None = None) -> list[Commit]:
+    """Of a table's commits, oldest first, those that make it up as of a snapshot."""
+    parts: list[Commit] = []
+    for commit in known:
+        if as_of is not None and commit.snapshot_id > as_of:
+            break
+        if commit.operation == "drop":
+            parts = []
+        elif commit.operation in STARTS_OVER or not parts:
+            parts = [commit]
+        else:
+            parts.append(commit)
+    return parts
+
+
 class SnapshotTables:
     """All tables under one warehouse root that every executor can reach."""
 
@@ -78,13 +98,10 @@ class SnapshotTables:
         return f"{self.root}/data/{namespace}/{table}/snapshot_id={snapshot_id}"
 
     def _read_log(self, path: str) -> DataFrame:
-        reader = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
-        try:
-            return reader.parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if not folder_exists(self.spark, path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
+        reader = self.spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", "true")
+        return reader.parquet(path)
 
     def load_log(self) -> DataFrame:
         """Every commit of every table."""
@@ -97,20 +114,12 @@ class SnapshotTables:
         return sorted(made, key=lambda commit: commit.snapshot_id)
 
     def _commit(self, commit: Commit) -> Commit:
-        row = [
-            (
-                commit.namespace,
-                commit.table_name,
-                commit.snapshot_id,
-                commit.committed_at_ms,
-                commit.operation,
-                commit.rows_loaded,
-                commit.schema_json,
-                list(commit.partition_by),
-            )
-        ]
+        values = {**vars(commit), "partition_by": list(commit.partition_by)}
+        row = self.spark.range(1, numPartitions=1).select(
+            [F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields]
+        )
         path = self._log_path(commit.namespace, commit.table_name, commit.snapshot_id)
-        self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        row.write.mode("overwrite").parquet(path)
         return commit
 
     # --- namespaces and tables -----------------------------------------------
@@ -135,29 +144,12 @@ class SnapshotTables:
         )
         return latest.where(F.col("operation") != "drop").select("namespace", "table_name")
 
-    def _live(self, name: str, as_of: int | None = None) -> list[Commit]:
-        """Commits that make up a table as of a snapshot, oldest first."""
-        known = self.commits(name)
-        if as_of is not None and as_of not in {commit.snapshot_id for commit in known}:
-            raise ValueError(f"{name} has no snapshot {as_of}")
-        parts: list[Commit] = []
-        for commit in known:
-            if as_of is not None and commit.snapshot_id > as_of:
-                break
-            if commit.operation == "drop":
-                parts = []
-            elif commit.operation in STARTS_OVER or not parts:
-                parts = [commit]
-            else:
-                parts.append(commit)
-        return parts
-
     def exists(self, name: str) -> bool:
-        return bool(self._live(name))
+        return bool(live_commits(self.commits(name)))
 
     def schema(self, name: str) -> T.StructType:
         """Declared schema with nullability, which Parquet itself does not keep."""
-        live = self._live(name)
+        live = live_commits(self.commits(name))
         if not live:
             raise ValueError(f"no table {name}")
         return live[-1].schema
@@ -168,32 +160,30 @@ class SnapshotTables:
         The rows stay readable as of an earlier snapshot.
         """
         for name in names:
-            live = self._live(name)
-            if live:
-                self._mark(name, live[-1], "drop")
+            known = self.commits(name)
+            if live_commits(known):
+                self._mark(known, "drop")
 
     def truncate(self, *names: str) -> None:
         """Empty tables, keeping their schema and earlier snapshots."""
         for name in names:
-            live = self._live(name)
-            if not live:
+            known = self.commits(name)
+            if not live_commits(known):
                 raise ValueError(f"no table {name}")
-            self._mark(name, live[-1], "truncate")
+            self._mark(known, "truncate")
 
-    def _mark(self, name: str, last: Commit, operation: str) -> None:
-        namespace, table = split_name(name)
-        now = int(time.time() * 1000)
+    def _mark(self, known: Sequence[Commit], operation: str) -> None:
+        last = known[-1]
         self._commit(
-            Commit(
-                namespace, table, self._next_id(name), now, operation, 0,
-                last.schema_json, last.partition_by,
+            replace(
+                last,
+                snapshot_id=last.snapshot_id + 1,
+                committed_at_ms=int(time.time() * 1000),
+                operation=operation,
+                rows_loaded=0,
             )
         )
 
-    def _next_id(self, name: str) -> int:
-        known = self.commits(name)
-        return known[-1].snapshot_id + 1 if known else 1
-
     # --- writing -------------------------------------------------------------
 
     def write(
@@ -219,16 +209,16 @@ class SnapshotTables:
         if mode not in ("overwrite", "append"):
             raise ValueError(f"mode must be 'overwrite' or 'append', not {mode!r}")
         namespace, table = split_name(name)
+        known = self.commits(name)
+        for commit in known:
+            if commit.snapshot_id == snapshot_id:
+                return commit
+        newest = known[-1].snapshot_id if known else 0
         if snapshot_id is None:
-            snapshot_id = self._next_id(name)
-        else:
-            known = self.commits(name)
-            for commit in known:
-                if commit.snapshot_id == snapshot_id:
-                    return commit
-            if known and snapshot_id < known[-1].snapshot_id:
-                raise ValueError(f"snapshot {snapshot_id} is older than the last one of {name}")
-        live = self._live(name)
+            snapshot_id = newest + 1
+        elif snapshot_id < newest:
+            raise ValueError(f"snapshot {snapshot_id} is older than the last one of {name}")
+        live = live_commits(known)
         if mode == "append" and live:
             schema = live[-1].schema
             partition_by = live[-1].partition_by
@@ -265,7 +255,10 @@ class SnapshotTables:
         scanned; filters and columns reach the Parquet scan.
         """
         namespace, table = split_name(name)
-        live = self._live(name, as_of)
+        known = self.commits(name)
+        if as_of is not None and as_of not in {commit.snapshot_id for commit in known}:
+            raise ValueError(f"{name} has no snapshot {as_of}")
+        live = live_commits(known, as_of)
         if not live:
             raise ValueError(f"no table {name}")
         schema = live[-1].schema

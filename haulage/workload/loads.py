@@ -195,11 +195,8 @@ def drop_tables(spark: SparkSession, folder: str) -> DataFrame:
     for name in ("customer", "orders", "lineitem"):
         load(spark, file_spec(folder, name), tables)
     tables.drop("default.lineitem", "default.orders", "default.never_there")
-    rows = profile.row_count(tables.read("default.customer"))
-    left = tables.tables("default").select("table_name")
-    return left.join(
-        rows.withColumn("table_name", F.lit("customer")), "table_name", "left"
-    )
+    left = [row.table_name for row in tables.tables("default").collect()]
+    return profile.table_stats({name: tables.read(f"default.{name}") for name in left})
 
 
 @query(
