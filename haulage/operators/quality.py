@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,17 +89,24 @@ def age_in_years(born: Column, as_of: Column) -> Column:
 # --- row rules ----------------------------------------------------------------
 
 
-def broken_rules(df: DataFrame, rules: Sequence[Rule], name: str = "broken_rules") -> DataFrame:
-    """Add the names of the rules each row breaks, in the order the rules are given."""
-    names = [F.when(rule.broken, F.lit(rule.name)) for rule in rules]
-    return df.withColumn(name, F.array_compact(F.array(*names)))
+def judged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Add ``accepted`` and the names of the rules each row breaks, in the order given.
+
+    Only rows that break some rule build the list of names.
+    """
+    any_broken = reduce(or_, [rule.broken for rule in rules], F.lit(False))
+    names = F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules]))
+    none = F.array().cast("array<string>")
+    return df.withColumns(
+        {"accepted": ~any_broken, "broken_rules": F.when(any_broken, names).otherwise(none)}
+    )
 
 
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected rows with the rules they break."""
-    checked = broken_rules(df, rules)
-    clean = F.size("broken_rules") == 0
-    return checked.where(clean).drop("broken_rules"), checked.where(~clean)
+    checked = judged(df, rules)
+    accepted = checked.where(F.col("accepted")).select(*df.columns)
+    return accepted, checked.where(~F.col("accepted")).drop("accepted")
 
 
 def summary(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -127,6 +136,11 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --- table rules --------------------------------------------------------------
 
 
+def digested(df: DataFrame, text: str) -> DataFrame:
+    """The SHA-256 digest of a long text in its place, to compare and shuffle instead of it."""
+    return df.select(F.sha2(F.col(text).cast("binary"), 256).alias(text))
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key values that occur more than once, with how often.
 
@@ -134,7 +148,7 @@ def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     combine before the shuffle, so a value repeated without end is one row per
     task by then.
     """
-    whole = df.select(*keys).dropna(how="any", subset=list(keys))
+    whole = df.select(*keys).where(reduce(and_, [F.col(key).isNotNull() for key in keys]))
     counts = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences"))
     return counts.where(F.col("occurrences") > 1)
 

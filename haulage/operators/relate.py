@@ -105,7 +105,7 @@ def _salted(many: DataFrame, one: DataFrame, condition: Column, how: str) -> Dat
     Only rows of hot keys come here, so the copies are of few rows. The salt is
     a hash of the row and therefore the same when a lost task is run again.
     """
-    salts = task_count(many.sparkSession)
+    salts = task_count(many)
     spread = many.withColumn("_salt", F.pmod(row_hash(many), F.lit(salts)))
     copies = one.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))

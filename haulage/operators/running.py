@@ -8,11 +8,13 @@ forward, and each row adds what its stretch was handed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulage.operators.conform import stack_up
 from haulage.operators.skew import (
     fits_one_task,
     hot_keys,
@@ -90,17 +92,46 @@ def running_values(
     *,
     hot: Sequence[Any] | None = None,
     parts: int | None = None,
-) -> DataFrame:
-    """Add ``_count``, ``_total`` and ``_low`` per key along an order unique within it."""
+) -> list[DataFrame]:
+    """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
+
+    Ordinary keys come first, still partitioned by key; hot keys, if there are
+    any, come second.
+    """
     moved = df.withColumn("_move", move.cast(MONEY))
     if hot is None:
         hot = hot_keys(df, key)
     if not hot:
-        return _running(moved, [key], order)
+        return [_running(moved, [key], order)]
     flag = is_hot(F.col(key), hot)
-    parts = parts or task_count(df.sparkSession)
+    parts = parts or task_count(df)
     plain = _running(moved.where(~flag), [key], order)
-    return plain.unionByName(_carried(moved.where(flag), key, order, parts))
+    return [plain, _carried(moved.where(flag), key, order, parts)]
+
+
+@dataclass(frozen=True)
+class Opening:
+    """Opening balances kept in a table of their own, one row per account."""
+
+    accounts: DataFrame
+    key: str
+    balance: str
+
+    def added_to(self, walked: list[DataFrame], account: str, hot: Sequence[Any]) -> list[DataFrame]:
+        """Join the balances on, which after the window needs no shuffle of the movements.
+
+        Accounts without an opening balance start from nothing.
+        """
+        balances = self.accounts.select(
+            F.col(self.key).alias("_account"), F.col(self.balance).alias("_opening")
+        )
+        joined = []
+        for i, rows in enumerate(walked):
+            # The second part holds hot accounts only, fewer than there are tasks.
+            few = balances.where(is_hot(F.col("_account"), hot)) if i else balances
+            side = F.broadcast(few) if i else few
+            joined.append(rows.join(side, F.col(account) == F.col("_account"), "left"))
+        return joined
 
 
 def ledger(
@@ -111,7 +142,7 @@ def ledger(
     kind: str,
     amount: str,
     credits: Sequence[str],
-    opening: Column,
+    opening: Column | Opening,
     hot: Sequence[Any] | None = None,
     parts: int | None = None,
 ) -> DataFrame:
@@ -122,20 +153,30 @@ def ledger(
     ever gave back is the deepest S went below zero so far:
     balance = S - least(0, lowest S so far).
 
-    ``opening`` may be a column of the rows (one value per account).
+    ``opening`` is a column of the rows (one value per account) or a table.
     """
     value = F.col(amount).cast(MONEY)
     signed = F.when(F.col(kind).isin(list(credits)), value).otherwise(-value)
-    start = opening.cast(MONEY)
+    if hot is None:
+        hot = hot_keys(df, account)
     walked = running_values(df, account, order, signed, hot=hot, parts=parts)
+    nothing = F.lit(0).cast(MONEY)
+    if isinstance(opening, Opening):
+        walked = opening.added_to(walked, account, hot)
+        opening = F.coalesce(F.col("_opening").cast(MONEY), nothing)
+    start = opening.cast(MONEY)
     total = (start + F.col("_total")).cast(MONEY)
-    low = F.least(F.lit(0).cast(MONEY), (start + F.col("_low")).cast(MONEY))
-    return (
-        walked.withColumn("balance_after", (total - low).cast(MONEY))
-        .withColumn("unfloored_balance", total)
-        .withColumnRenamed("_count", "position")
-        .drop("_move", "_total", "_low")
-    )
+    low = F.least(nothing, (start + F.col("_low")).cast(MONEY))
+    replayed = [
+        rows.select(
+            *df.columns,
+            F.col("_count").alias("position"),
+            total.alias("unfloored_balance"),
+            (total - low).cast(MONEY).alias("balance_after"),
+        )
+        for rows in walked
+    ]
+    return stack_up(replayed)
 
 
 def ledger_mismatches(replayed: DataFrame, stored: str, cent: str = "0.01") -> DataFrame:
@@ -166,23 +207,19 @@ def running_count(
     if not hot:
         return df.withColumn(name, F.count(F.lit(1)).over(_up_to_here([key], order)))
     counted = running_values(df, key, order, F.lit(0), hot=hot, parts=parts)
-    return counted.withColumnRenamed("_count", name).drop("_move", "_total", "_low")
+    return stack_up([rows.select(*df.columns, F.col("_count").alias(name)) for rows in counted])
 
 
-def flag_first(df: DataFrame, key: str, order: Sequence[str], name: str = "is_primary") -> DataFrame:
-    """Mark each key's first row in an order that is unique within the key.
+def flag_first(df: DataFrame, key: str, order: str, name: str = "is_primary") -> DataFrame:
+    """Mark each key's first row by a column that is never NULL and unique within the key.
 
     The first row is a minimum, which combines map-side, and the join back is on
     key and order together, which are unique: no key is ever gathered whole.
     """
-    wanted = F.struct(*[F.col(c) for c in order])
-    firsts = df.groupBy(F.col(key).alias("_key")).agg(F.min(wanted).alias("_first"))
-    firsts = firsts.select("_key", *[F.col(f"_first.{c}").alias(f"_first_{c}") for c in order])
-    condition = df[key].eqNullSafe(firsts["_key"])
-    for c in order:
-        condition = condition & df[c].eqNullSafe(firsts[f"_first_{c}"])
-    marked = df.join(firsts.withColumn("_mark", F.lit(True)), condition, "left")
-    return marked.select(*df.columns, F.coalesce("_mark", F.lit(False)).alias(name))
+    firsts = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
+    same = df[key].eqNullSafe(firsts["_key"]) & (df[order] == firsts["_first"])
+    marked = df.join(firsts, same, "left")
+    return marked.select(*df.columns, F.col("_first").isNotNull().alias(name))
 
 
 def number_rows(
@@ -199,7 +236,10 @@ def number_rows(
     within it.
     """
     if parts is None:
-        parts = 1 if fits_one_task(df) else task_count(df.sparkSession)
+        parts = 1 if fits_one_task(df) else task_count(df)
+    if parts == 1:
+        number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+        return df.withColumn(name, number + F.lit(start - 1))
     cut = ordered_parts(df, order, parts, "_part")
     # One row per stretch, so a single task and a broadcast are enough for it.
     sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

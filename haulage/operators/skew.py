@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,10 +22,6 @@ ONE_TASK_BYTES = 64 * 1024 * 1024
 MOST_PARTS = 4096
 
 
-def task_count(spark: SparkSession) -> int:
-    return max(1, min(MOST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """The optimizer's size estimate, the one it decides about broadcasts with."""
     try:
@@ -34,6 +30,13 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def task_count(df: DataFrame, most: int = MOST_PARTS) -> int:
+    """How many tasks to spread a table over: the session's number, or more by its size."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_size = (estimated_bytes(df) or 0) // ONE_TASK_BYTES
+    return max(1, min(most, max(wanted, by_size)))
+
+
 def fits_one_task(df: DataFrame) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= ONE_TASK_BYTES
@@ -57,7 +60,7 @@ def hot_values(df: DataFrame, key: str, share: float | None = None) -> list[Any]
     shuffled or collected.
     """
     if share is None:
-        share = 1.0 / task_count(df.sparkSession)
+        share = 1.0 / task_count(df)
     share = min(1.0, max(share, 1e-4))
     hashed = df.select(F.col(key).alias("value"), F.xxhash64(key).alias("hash"))
     # The counters keep a value whose share exceeds the support; half leaves room.

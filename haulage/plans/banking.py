@@ -16,6 +16,7 @@ from haulage.operators import quality, relate, running
 from haulage.operators.conform import stack_up
 from haulage.operators.quality import Rule
 from haulage.operators.relate import ForeignKey
+from haulage.operators.running import Opening
 
 # Columns of the source tables, in catalog order.
 COLUMNS: dict[str, dict[str, str]] = {
@@ -329,16 +330,12 @@ def replay_transactions(transactions: DataFrame, users: DataFrame) -> DataFrame:
 
     A stored ``balance_after`` is kept as ``stored_balance``.
     """
-    opening = users.select("user_id", F.col("balance").alias("_opening"))
-    moves = transactions.withColumnRenamed("balance_after", "stored_balance").join(
-        opening, "user_id"
-    )
     return running.ledger(
-        moves,
+        transactions.withColumnRenamed("balance_after", "stored_balance"),
         account="user_id",
         order=["transaction_id"],
         kind="transaction_type",
         amount="amount",
         credits=CREDITS,
-        opening=F.col("_opening"),
-    ).drop("_opening")
+        opening=Opening(users, "user_id", "balance"),
+    )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.operators.conform import align
-from haulage.operators.skew import row_hash
+from haulage.operators.skew import row_hash, task_count
 
 LOG_SCHEMA = T.StructType(
     [
@@ -35,6 +35,7 @@ LOG_SCHEMA = T.StructType(
 
 STARTS_OVER = ("overwrite", "truncate")
 NAMESPACE_MARK = ""
+MOST_FILES = 20_000
 
 
 @dataclass(frozen=True)
@@ -94,8 +95,9 @@ class SnapshotTables:
         path = f"{self.root}/load_log/ns={namespace}/t={table or '-'}"
         return path if snapshot_id is None else f"{path}/s={snapshot_id}"
 
-    def _data_path(self, namespace: str, table: str, snapshot_id: int) -> str:
-        return f"{self.root}/data/{namespace}/{table}/snapshot_id={snapshot_id}"
+    def _data_path(self, namespace: str, table: str, snapshot_id: int | None = None) -> str:
+        path = f"{self.root}/data/{namespace}/{table}"
+        return path if snapshot_id is None else f"{path}/load_snapshot={snapshot_id}"
 
     def _read_log(self, path: str) -> DataFrame:
         if not folder_exists(self.spark, path):
@@ -232,7 +234,9 @@ class SnapshotTables:
             # them skip the rest by the min/max in the footers.
             # The row hash at the end splits a key too frequent for one task.
             order = [*partition_by, *cluster_by]
-            rows = rows.repartitionByRange(*order, row_hash(rows)).sortWithinPartitions(*order)
+            files = task_count(rows, MOST_FILES)
+            rows = rows.repartitionByRange(files, *order, row_hash(rows))
+            rows = rows.sortWithinPartitions(*order)
         writer = rows.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -269,7 +273,8 @@ class SnapshotTables:
         ]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths).select(*schema.names)
+        reader = self.spark.read.schema(schema).option("basePath", self._data_path(namespace, table))
+        return reader.parquet(*paths).select(*schema.names)
 
     def history(self, name: str) -> DataFrame:
         """Snapshots of a table: id, commit time and operation."""

@@ -58,7 +58,8 @@ def check_unique(spark: SparkSession, folder: str) -> DataFrame:
 )
 def check_unique_text(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts as a key: how many repeat, and the rows a constraint would turn away."""
-    return quality.unique_summary(table(spark, folder, "documents"), ["text"])
+    texts = quality.digested(table(spark, folder, "documents"), "text")
+    return quality.unique_summary(texts, ["text"])
 
 
 @query(
@@ -173,16 +174,9 @@ CUSTOMER_BROKEN = (
 )
 def dq_split(spark: SparkSession, folder: str) -> DataFrame:
     """Accepted and rejected rows, the rejected ones with the rules they break."""
-    accepted, rejected = quality.split(table(spark, folder, "customer"), customer_rules())
-    return accepted.select(
-        "c_custkey", F.lit(True).alias("accepted"), F.lit("").alias("broken")
-    ).unionByName(
-        rejected.select(
-            "c_custkey",
-            F.lit(False).alias("accepted"),
-            F.concat_ws(",", "broken_rules").alias("broken"),
-        )
-    )
+    judged = quality.judged(table(spark, folder, "customer"), customer_rules())
+    broken = F.concat_ws(",", "broken_rules").alias("broken")
+    return judged.select("c_custkey", "accepted", broken)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.operators import profile, running
+from haulage.operators.running import Opening
 from haulage.plans.load import load
 from haulage.sources.files import table
 from haulage.workload import query
@@ -144,19 +145,19 @@ def ledger_mismatch(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ledger_from_opening(spark: SparkSession, folder: str) -> DataFrame:
     """Each customer's ledger starts from the customer's own balance."""
-    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    balance = F.greatest(F.col("c_acctbal"), F.lit(0.0)).alias("balance")
+    customers = table(spark, folder, "customer").select("c_custkey", balance)
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
     )
-    moves = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     replayed = running.ledger(
-        moves,
+        orders,
         account="o_custkey",
         order=["o_orderkey"],
         kind="o_orderstatus",
         amount="o_totalprice",
         credits=["F"],
-        opening=F.greatest(F.col("c_acctbal"), F.lit(0.0)),
+        opening=Opening(customers, "c_custkey", "balance"),
     )
     return replayed.select("o_orderkey", "o_custkey", "balance_after")
 
@@ -167,7 +168,7 @@ def ledger_from_opening(spark: SparkSession, folder: str) -> DataFrame:
 )
 def first_per_group(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return running.flag_first(orders, "o_custkey", ["o_orderkey"])
+    return running.flag_first(orders, "o_custkey", "o_orderkey")
 
 
 @query(

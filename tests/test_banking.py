@@ -49,7 +49,7 @@ def frame(spark, table, *records):
 
 
 def broken(df, table, as_of=None):
-    return [r[0] for r in quality.broken_rules(df, banking.all_rules(table, as_of)).select("broken_rules").collect()]
+    return [r[0] for r in quality.judged(df, banking.all_rules(table, as_of)).select("broken_rules").collect()]
 
 
 @pytest.mark.parametrize("table", list(banking.COLUMNS))

@@ -33,7 +33,7 @@ def rules(spark):
 
 
 def test_null_passes_and_false_is_named(people, rules):
-    found = dict(rows(quality.broken_rules(people, rules), "id", "broken_rules"))
+    found = dict(rows(quality.judged(people, rules), "id", "broken_rules"))
     assert found == {1: [], 2: ["email", "ssn", "balance", "closing"], 3: [], 4: ["ssn"]}
 
 

@@ -68,6 +68,35 @@ def test_ledger_equals_a_fold(movements, how):
     assert found == expected
 
 
+@pytest.mark.parametrize("hot", [[], [3, None], [3, 5]])
+def test_opening_balances_from_a_table(movements, hot):
+    df, expected = movements
+    accounts = df.select("user_id", "opening").distinct().withColumnRenamed("user_id", "key")
+    accounts = accounts.where("key IS NOT NULL")
+    found = running.ledger(
+        df.drop("opening"), account="user_id", order=["id"], kind="kind", amount="amount",
+        credits=CREDITS, opening=running.Opening(accounts, "key", "opening"), hot=hot, parts=5,
+    ).collect()
+    assert len(found) == len(expected)
+    known = {(r.user_id, r.id): r.balance_after for r in found if r.user_id is not None}
+    assert known == {k: v for k, v in expected.items() if k[0] is not None}
+
+
+def test_opening_balances_need_no_second_shuffle(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.read.parquet(f"{data}/orders.parquet")
+        customers = spark.read.parquet(f"{data}/customer.parquet")
+        replayed = running.ledger(
+            orders, account="o_custkey", order=["o_orderkey"], kind="o_orderstatus",
+            amount="o_totalprice", credits=["F"],
+            opening=running.Opening(customers, "c_custkey", "c_acctbal"), hot=[],
+        )
+        assert plan_of(replayed).count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_running_count_with_and_without_hot_keys(movements):
     df, _ = movements
     plain = rows(running.running_count(df, "user_id", ["id"], hot=[]), "user_id", "id", "running_count")
@@ -111,7 +140,7 @@ def test_first_per_key(spark):
     df = spark.createDataFrame(
         [(1, 5), (1, 3), (2, 9), (None, 4), (None, 2)], "user_id int, id int"
     )
-    flagged = rows(running.flag_first(df, "user_id", ["id"]))
+    flagged = rows(running.flag_first(df, "user_id", "id"))
     assert flagged == [(None, 2, True), (None, 4, False), (1, 3, True), (1, 5, False), (2, 9, True)]
 
 

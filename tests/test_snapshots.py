@@ -124,7 +124,7 @@ def test_partitioned_and_clustered_layout(tables, spark):
 def test_a_read_lists_only_its_snapshots(tables, small, more):
     tables.write(small, "ns.t", "overwrite")
     tables.write(more, "ns.t", "overwrite")
-    assert all("snapshot_id=2" in f for f in tables.read("ns.t").inputFiles())
+    assert all("load_snapshot=2" in f for f in tables.read("ns.t").inputFiles())
 
 
 def test_load_defaults_and_report(spark, tables, data):
