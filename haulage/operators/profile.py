@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,6 +82,12 @@ def column_stats(df: DataFrame) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*facts)))
 
 
+def refresh_statistics(spark: SparkSession, *names: str) -> None:
+    """Have the optimizer's statistics of catalog tables counted anew, column by column."""
+    for name in names:
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
 # --- lookups ------------------------------------------------------------------
 
 

@@ -23,6 +23,9 @@ from haulage.operators.skew import (
     task_count,
 )
 
+# An amount as the source declares it; totals get ten digits more, balances another three.
+AMOUNT = "decimal(15,2)"
+TOTAL = "decimal(25,2)"
 MONEY = "decimal(28,2)"
 
 
@@ -35,10 +38,7 @@ def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """Row count, total and lowest total so far; both windows share one shuffle and sort."""
     upto = _up_to_here(keys, order)
     return df.withColumns(
-        {
-            "_count": F.count(F.lit(1)).over(upto),
-            "_total": F.sum("_move").over(upto).cast(MONEY),
-        }
+        {"_count": F.count(F.lit(1)).over(upto), "_total": F.sum("_move").over(upto)}
     ).withColumn("_low", F.min("_total").over(upto))
 
 
@@ -49,21 +49,21 @@ def _carried(df: DataFrame, key: str, order: Sequence[str], parts: int) -> DataF
     local = _running(cut, [key, "_part"], order)
     heads = local.groupBy(key, "_part").agg(
         F.count(F.lit(1)).alias("_part_count"),
-        F.sum("_move").cast(MONEY).alias("_part_total"),
+        F.sum("_move").alias("_part_total"),
         F.min("_low").alias("_part_low"),
     )
     # At most one row per hot key and stretch from here on.
     before = (
         Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    none = F.lit(0).cast(MONEY)
+    none = F.lit(0).cast(TOTAL)
     heads = heads.withColumns(
         {
             "_count_before": F.coalesce(F.sum("_part_count").over(before), F.lit(0)),
-            "_total_before": F.coalesce(F.sum("_part_total").over(before), none).cast(MONEY),
+            "_total_before": F.coalesce(F.sum("_part_total").over(before), none).cast(TOTAL),
         }
     )
-    low_here = (F.col("_total_before") + F.col("_part_low")).cast(MONEY)
+    low_here = (F.col("_total_before") + F.col("_part_low")).cast(TOTAL)
     heads = heads.withColumn("_low_before", F.min(low_here).over(before)).select(
         F.col(key).alias("_key"),
         F.col("_part").alias("_key_part"),
@@ -77,9 +77,9 @@ def _carried(df: DataFrame, key: str, order: Sequence[str], parts: int) -> DataF
     return joined.select(
         *columns,
         (F.col("_count") + F.col("_count_before")).alias("_count"),
-        (F.col("_total") + F.col("_total_before")).cast(MONEY).alias("_total"),
+        (F.col("_total") + F.col("_total_before")).cast(TOTAL).alias("_total"),
         F.least(
-            "_low_before", (F.col("_low") + F.col("_total_before")).cast(MONEY)
+            "_low_before", (F.col("_low") + F.col("_total_before")).cast(TOTAL)
         ).alias("_low"),
     )
 
@@ -98,7 +98,7 @@ def running_values(
     Ordinary keys come first, still partitioned by key; hot keys, if there are
     any, come second.
     """
-    moved = df.withColumn("_move", move.cast(MONEY))
+    moved = df.withColumn("_move", move.cast(AMOUNT))
     if hot is None:
         hot = hot_keys(df, key)
     if not hot:
@@ -155,23 +155,23 @@ def ledger(
 
     ``opening`` is a column of the rows (one value per account) or a table.
     """
-    value = F.col(amount).cast(MONEY)
+    value = F.col(amount).cast(AMOUNT)
     signed = F.when(F.col(kind).isin(list(credits)), value).otherwise(-value)
     if hot is None:
         hot = hot_keys(df, account)
     walked = running_values(df, account, order, signed, hot=hot, parts=parts)
-    nothing = F.lit(0).cast(MONEY)
+    nothing = F.lit(0).cast(AMOUNT)
     if isinstance(opening, Opening):
         walked = opening.added_to(walked, account, hot)
-        opening = F.coalesce(F.col("_opening").cast(MONEY), nothing)
-    start = opening.cast(MONEY)
-    total = (start + F.col("_total")).cast(MONEY)
-    low = F.least(nothing, (start + F.col("_low")).cast(MONEY))
+        opening = F.coalesce(F.col("_opening").cast(AMOUNT), nothing)
+    start = opening.cast(AMOUNT)
+    total = start + F.col("_total")
+    low = F.least(nothing, start + F.col("_low"))
     replayed = [
         rows.select(
             *df.columns,
             F.col("_count").alias("position"),
-            total.alias("unfloored_balance"),
+            total.cast(MONEY).alias("unfloored_balance"),
             (total - low).cast(MONEY).alias("balance_after"),
         )
         for rows in walked
@@ -210,18 +210,35 @@ def running_count(
     return stack_up([rows.select(*df.columns, F.col("_count").alias(name)) for rows in counted])
 
 
-def flag_first(df: DataFrame, key: str, order: str, name: str = "is_primary") -> DataFrame:
+def flag_first(
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "is_primary"
+) -> DataFrame:
     """Mark each key's first row by a column that is never NULL and unique within the key.
 
     The first row is a minimum, which combines map-side, and the join back is on
     key and order together, which are unique: no key is ever gathered whole.
     """
-    firsts = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    same = df[key].eqNullSafe(firsts["_key"]) & (df[order] == firsts["_first"])
+    named = {key: f"_key_{key}" for key in keys}
+    firsts = df.groupBy(*[F.col(key).alias(new) for key, new in named.items()])
+    firsts = firsts.agg(F.min(order).alias("_first"))
+    same = df[order] == firsts["_first"]
+    for key, new in named.items():
+        same = same & df[key].eqNullSafe(firsts[new])
     marked = df.join(firsts, same, "left")
     return marked.select(*df.columns, F.col("_first").isNotNull().alias(name))
 
 
+def turned_away(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows a UNIQUE constraint refuses when rows arrive in order: all but each key's first.
+
+    A key with a NULL in it equals no other, so it is never refused.
+    """
+    whole = df
+    for key in keys:
+        whole = whole.where(F.col(key).isNotNull())
+    return flag_first(whole, keys, order, "_kept").where(~F.col("_kept")).drop("_kept")
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[str],

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Up to this size a whole table is fit for one task, and so is any group in it.
-ONE_TASK_BYTES = 64 * 1024 * 1024
+ONE_TASK_BYTES = 16 * 1024 * 1024
+TASK_BYTES = 128 * 1024 * 1024
 MOST_PARTS = 4096
 
 
@@ -33,7 +34,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def task_count(df: DataFrame, most: int = MOST_PARTS) -> int:
     """How many tasks to spread a table over: the session's number, or more by its size."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_size = (estimated_bytes(df) or 0) // ONE_TASK_BYTES
+    by_size = (estimated_bytes(df) or 0) // TASK_BYTES
     return max(1, min(most, max(wanted, by_size)))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from graphlib import TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.functions.types import SourceColumn, columns_of, landing_schema, parse_type
-from haulage.operators.conform import conform
+from haulage.operators.conform import conform, with_defaults
+from haulage.operators.running import number_rows
 from haulage.plans.spec import LoadSpec
 from haulage.session import require_settings
 from haulage.sources import files, jdbc
@@ -70,6 +72,25 @@ def load(
     )
 
 
+def insert(
+    tables: SnapshotTables,
+    name: str,
+    rows: DataFrame,
+    key: str,
+    order: Sequence[str],
+    defaults: Mapping[str, Column],
+) -> Commit:
+    """Add rows with generated keys and defaults; keys go on from the table's last one.
+
+    ``order`` says in which order the new rows get their keys; it must be unique.
+    """
+    last = 0
+    if tables.exists(name):
+        last = tables.read(name).agg(F.max(key)).first()[0] or 0
+    numbered = number_rows(with_defaults(rows, defaults), order, key, start=last + 1)
+    return tables.write(numbered.select(key, *[c for c in numbered.columns if c != key]), name, "append")
+
+
 def load_all(
     spark: SparkSession,
     specs: Mapping[str, LoadSpec],

@@ -57,12 +57,33 @@ class LoadSpec:
         return f"s3a://{self.bucket}/{self.prefix.strip('/')}" if self.bucket else None
 
 
-def specs_from_steps(steps: Mapping[str, Mapping]) -> dict[str, LoadSpec]:
-    """Load specs from a mapping of step id to flat settings, as a config file holds them."""
+# What existing step settings call the fields of a spec.
+SETTING_NAMES = {
+    "iceberg_namespace": "namespace",
+    "iceberg_table_name": "target_name",
+    "s3_bucket": "bucket",
+    "s3_prefix": "prefix",
+    "postgres_conn_id": "connection",
+}
+
+
+def specs_from_steps(
+    steps: Mapping[str, Mapping], connections: Mapping[str, Mapping[str, str]] | None = None
+) -> dict[str, LoadSpec]:
+    """Load specs from a mapping of step id to flat settings, as a config file holds them.
+
+    A connection given by name is looked up in ``connections``, which holds its
+    JDBC options.
+    """
     specs = {}
     for step, settings in steps.items():
-        known = {**settings}
+        known = {SETTING_NAMES.get(k, k): v for k, v in settings.items() if k != "blueprint"}
         known["depends_on"] = tuple(known.get("depends_on", ()))
+        if isinstance(known.get("connection"), str):
+            named = known["connection"]
+            if named not in (connections or {}):
+                raise ValueError(f"step {step}: unknown connection {named!r}")
+            known["connection"] = connections[named]
         unknown = set(known) - set(LoadSpec.__dataclass_fields__)
         if unknown:
             raise ValueError(f"step {step}: unknown settings {sorted(unknown)}")

@@ -13,7 +13,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +146,19 @@ class SnapshotTables:
         )
         return latest.where(F.col("operation") != "drop").select("namespace", "table_name")
 
+    def row_counts(self) -> DataFrame:
+        """Rows per table as the log tells them; no table is read."""
+        by_table = Window.partitionBy("namespace", "table_name")
+        starts = F.col("operation").isin("drop", *STARTS_OVER)
+        log = self.load_log().where(F.col("table_name") != NAMESPACE_MARK)
+        log = log.withColumn("start", F.max(F.when(starts, F.col("snapshot_id"))).over(by_table))
+        live = F.col("snapshot_id") >= F.coalesce("start", F.lit(0))
+        counts = log.groupBy("namespace", "table_name").agg(
+            F.sum(F.when(live, F.col("rows_loaded"))).alias("rows"),
+            F.max_by("operation", "snapshot_id").alias("operation"),
+        )
+        return counts.where(F.col("operation") != "drop").drop("operation")
+
     def exists(self, name: str) -> bool:
         return bool(live_commits(self.commits(name)))
 
@@ -201,8 +214,8 @@ class SnapshotTables:
     ) -> Commit:
         """Write one snapshot and commit it.
 
-        ``overwrite`` takes the DataFrame's schema (or ``schema``, for the
-        nullability); ``append`` brings the rows to the existing table's schema,
+        ``overwrite`` takes the DataFrame's columns, all nullable unless ``schema``
+        declares otherwise; ``append`` brings the rows to the existing table's schema,
         or creates the table. Repeating a committed ``snapshot_id`` changes
         nothing, so a retried job cannot load twice.
 
@@ -225,7 +238,7 @@ class SnapshotTables:
             schema = live[-1].schema
             partition_by = live[-1].partition_by
             df = align(df, schema)
-        schema = schema or df.schema
+        schema = schema or T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 
         counter = Observation()
         rows = df.observe(counter, F.count(F.lit(1)).alias("rows_loaded"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.operators import quality, relate
+from haulage.operators import quality, relate, running
 from haulage.operators.quality import Rule
 from haulage.sources.files import table
 from haulage.workload import query
@@ -62,6 +62,17 @@ def check_unique_text(spark: SparkSession, folder: str) -> DataFrame:
     return quality.unique_summary(texts, ["text"])
 
 
+@query(
+    "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER"
+    " (PARTITION BY text ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1"
+)
+def unique_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents a unique text would turn away, in order of arrival."""
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    documents = table(spark, folder, "documents").select("doc_id", "source", digest)
+    return running.turned_away(documents, ["digest"], "doc_id").drop("digest")
+
+
 @query(
     "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN"
     " (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"

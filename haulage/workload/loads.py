@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from haulage.functions.types import SourceColumn, ValueRules, columns_of
 from haulage.operators import conform as shaping
 from haulage.operators import profile
-from haulage.plans.load import load, load_all
+from haulage.plans.load import insert, load, load_all
 from haulage.plans.spec import LoadSpec
 from haulage.session import fresh_warehouse
 from haulage.sources import files
@@ -165,10 +165,7 @@ def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
     for name, namespace in wanted.items():
         tables.create_namespace(namespace)
         load(spark, file_spec(folder, name, namespace=namespace), tables)
-    rows = tables.load_log().groupBy("namespace", "table_name").agg(
-        F.max_by("rows_loaded", "snapshot_id").alias("rows")
-    )
-    return tables.tables().join(rows, ["namespace", "table_name"])
+    return tables.tables().join(tables.row_counts(), ["namespace", "table_name"])
 
 
 @query(
@@ -217,6 +214,22 @@ def load_report(spark: SparkSession, folder: str) -> DataFrame:
     return load_all(spark, specs, new_tables(spark))
 
 
+@query(
+    "SELECT row_number() OVER (ORDER BY o_orderstatus <> 'F', o_orderkey) AS loan_id, o_orderkey,"
+    " CASE WHEN o_orderstatus = 'F' THEN 'paid_off' ELSE 'active' END AS status FROM orders"
+)
+def insert_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows added to a table: keys go on from the last one, omitted columns get defaults."""
+    tables = new_tables(spark)
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    closed = F.col("o_orderstatus") == "F"
+    paid = orders.where(closed).select("o_orderkey", F.lit("paid_off").alias("status"))
+    more = orders.where(~closed).select("o_orderkey")
+    for rows in (paid, more):
+        insert(tables, "bank.loans", rows, "loan_id", ["o_orderkey"], {"status": F.lit("active")})
+    return tables.read("bank.loans")
+
+
 @query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
 def preview(spark: SparkSession, folder: str) -> DataFrame:
     return profile.preview(table(spark, folder, "orders"), ["o_orderkey"])

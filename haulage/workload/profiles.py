@@ -168,7 +168,7 @@ def ledger_from_opening(spark: SparkSession, folder: str) -> DataFrame:
 )
 def first_per_group(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
-    return running.flag_first(orders, "o_custkey", "o_orderkey")
+    return running.flag_first(orders, ["o_custkey"], "o_orderkey")
 
 
 @query(

@@ -140,10 +140,19 @@ def test_first_per_key(spark):
     df = spark.createDataFrame(
         [(1, 5), (1, 3), (2, 9), (None, 4), (None, 2)], "user_id int, id int"
     )
-    flagged = rows(running.flag_first(df, "user_id", "id"))
+    flagged = rows(running.flag_first(df, ["user_id"], "id"))
     assert flagged == [(None, 2, True), (None, 4, False), (1, 3, True), (1, 5, False), (2, 9, True)]
 
 
+def test_turned_away_keeps_the_first_and_all_nulls(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 5), ("a", 1, 3), ("a", 2, 9), (None, 1, 4), (None, 1, 2), ("a", 1, 8)],
+        "k string, j int, id int",
+    )
+    assert rows(running.turned_away(df, ["k", "j"], "id")) == [("a", 1, 5), ("a", 1, 8)]
+    assert rows(running.turned_away(df, ["k"], "id"), "id") == [(5,), (8,), (9,)]
+
+
 @pytest.fixture(scope="module")
 def timeline(spark):
     """A third of the rows share one timestamp, some have none."""

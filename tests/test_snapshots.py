@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage import LoadSpec, load, load_all
+from haulage.plans.load import insert
 from haulage.plans.spec import specs_from_steps
 from haulage.sources import jdbc
 from tests.conftest import plan_of, rows
@@ -193,6 +194,43 @@ def test_settings_are_checked():
     assert LoadSpec("t", bucket="lake").warehouse == "s3a://lake/warehouse"
 
 
+def test_steps_as_existing_files_write_them():
+    connections = {"bank": {"url": "jdbc:postgresql://db/bank"}}
+    steps = {
+        "users": {
+            "blueprint": "any", "table_name": "users", "schema_name": "public",
+            "iceberg_namespace": "banking", "iceberg_table_name": "people", "s3_bucket": "lake",
+            "s3_prefix": "wh", "mode": "append", "batch_size": 100, "postgres_conn_id": "bank",
+        }
+    }
+    spec = specs_from_steps(steps, connections)["users"]
+    assert (spec.target, spec.warehouse, spec.mode) == ("banking.people", "s3a://lake/wh", "append")
+    assert jdbc.scan_options(spec)["url"] == connections["bank"]["url"]
+    with pytest.raises(ValueError, match="unknown connection"):
+        specs_from_steps(steps)
+
+
+def test_row_counts_come_from_the_log(tables, small, more):
+    for name in ("ns.a", "ns.b", "ns.c"):
+        tables.write(small, name, "append")
+        tables.write(more, name, "append")
+    tables.write(more, "ns.b", "overwrite")
+    tables.drop("ns.c")
+    tables.create_namespace("bare")
+    assert rows(tables.row_counts()) == [("ns", "a", 3), ("ns", "b", 1)]
+
+
+def test_insert_goes_on_from_the_last_key(tables, spark):
+    defaults = {"status": F.lit("active")}
+    first = spark.createDataFrame([(20, "b"), (10, "a")], "at int, name string")
+    insert(tables, "ns.t", first, "id", ["at"], defaults)
+    given = spark.createDataFrame([(5, "c", None)], "at int, name string, status string")
+    insert(tables, "ns.t", given, "id", ["at"], defaults)
+    assert rows(tables.read("ns.t"), "id", "name", "status") == [
+        (1, "a", "active"), (2, "b", "active"), (3, "c", None),
+    ]
+
+
 def test_load_refuses_settings_that_change_values(spark, tables, data):
     spec = LoadSpec("nation", path=f"{data}/nation.parquet")
     for key, bad in (("spark.sql.ansi.enabled", "false"), ("spark.sql.session.timeZone", "Europe/Berlin")):
