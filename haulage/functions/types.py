@@ -130,6 +130,26 @@ def parse_type(text: str) -> tuple[str, int | None, int | None]:
 # --- single values -----------------------------------------------------------
 
 
+def epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def wall_clock(micros: Column) -> Column:
+    """Microseconds since the epoch as a UTC wall clock, whatever the session's time zone."""
+    return F.timestamp_add("MICROSECOND", micros, epoch())
+
+
+def interval_micros(interval: Column) -> Column:
+    """Microseconds in a day-time interval."""
+    seconds = interval.cast("interval second").cast("decimal(20,6)")
+    return (seconds * 1_000_000).cast("bigint")
+
+
+def wall_clock_micros(clock: Column) -> Column:
+    """Microseconds from the epoch to a wall clock, both read as UTC."""
+    return interval_micros(clock - epoch())
+
+
 def micros_from_nanos(nanos: Column) -> Column:
     """Nanoseconds since the epoch to a timestamp, cut down to the microsecond.
 
@@ -137,7 +157,7 @@ def micros_from_nanos(nanos: Column) -> Column:
     towards zero and would move instants before 1970 forwards.
     """
     whole = nanos - F.pmod(nanos, F.lit(1000))
-    return F.timestamp_micros(F.call_function("div", whole, F.lit(1000))).cast("timestamp_ntz")
+    return wall_clock(F.call_function("div", whole, F.lit(1000)))
 
 
 def nan_as_null(value: Column) -> Column:
@@ -190,35 +210,49 @@ def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules:
         return F.date_format(value, "HH:mm:ss.SSSSSS")
     if name == "interval" and not rules.interval_as_text:
         if isinstance(arrives_as, T.DayTimeIntervalType):
-            micros = F.unix_micros(F.timestamp_micros(F.lit(0)) + value)
-            return (micros * 1000).cast("string")
+            return (interval_micros(value) * 1000).cast("string")
         if isinstance(arrives_as, T.StringType):
             return interval_nanos(value).cast("string")
     return value.cast("string")
 
 
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def never_fails(arrives_as: T.DataType, lands_as: T.DataType) -> bool:
+    """Whether every value of one type has its place in the other."""
+    if isinstance(lands_as, T.StringType):
+        return True
+    if isinstance(arrives_as, WHOLE) and isinstance(lands_as, WHOLE):
+        return WHOLE.index(type(arrives_as)) <= WHOLE.index(type(lands_as))
+    return isinstance(lands_as, T.DoubleType) and isinstance(arrives_as, (*WHOLE[:3], *FRACTIONAL))
+
+
 def safe_cast(value: Column, name: str, arrives_as: T.DataType, lands_as: T.DataType) -> Column:
     """A cast that fails the job instead of changing a value.
 
-    ANSI mode already refuses overflow. Two losses it lets through are refused
-    here: a fraction dropped on the way to a whole number, and a whole number
-    too large for a float to hold.
+    Refused are values out of range or not readable, a fraction dropped on the
+    way to a whole number, and a whole number too large for a float to hold. It
+    does not depend on the session's ANSI or time zone settings.
     """
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    lossy = None
-    if isinstance(lands_as, whole) and isinstance(arrives_as, (T.FloatType, T.DoubleType)):
-        lossy = value != F.rint(value)
-    elif isinstance(lands_as, whole) and isinstance(arrives_as, T.DecimalType):
-        lossy = value != F.floor(value)
-    elif isinstance(arrives_as, (T.IntegerType, T.LongType)) and lands_as.typeName() in EXACT_WHOLE_NUMBERS:
+    if arrives_as == lands_as:
+        return value
+    if isinstance(arrives_as, T.TimestampType) and isinstance(lands_as, T.TimestampNTZType):
+        return wall_clock(F.unix_micros(value))
+    if never_fails(arrives_as, lands_as):
+        return value.cast(lands_as)
+    cast = value.try_cast(lands_as)
+    refused = value.isNotNull() & cast.isNull()
+    if isinstance(lands_as, WHOLE) and isinstance(arrives_as, T.DecimalType):
+        refused = refused | (value != F.floor(value))
+    elif isinstance(lands_as, WHOLE) and isinstance(arrives_as, FRACTIONAL):
+        refused = refused | (value != F.rint(value))
+    elif isinstance(arrives_as, WHOLE) and lands_as.typeName() in EXACT_WHOLE_NUMBERS:
         limit = EXACT_WHOLE_NUMBERS[lands_as.typeName()]
-        if not (isinstance(arrives_as, T.IntegerType) and limit >= 2**31):
-            lossy = ~value.between(-limit, limit)
-    cast = value if arrives_as == lands_as else value.cast(lands_as)
-    if lossy is None:
-        return cast
+        refused = refused | ~value.between(-limit, limit)
     message = F.concat(F.lit(f"column {name} cannot hold exactly: "), value.cast("string"))
-    return F.when(lossy, F.raise_error(message).cast(lands_as)).otherwise(cast)
+    return F.when(refused, F.raise_error(message).cast(lands_as)).otherwise(cast)
 
 
 def land(value: Column, column: SourceColumn, arrives_as: T.DataType, rules: ValueRules) -> Column:

@@ -193,11 +193,15 @@ def delete_rows(
     after = {**tables, table: tables[table].where(~hit)}
     for name in order.static_order():
         touching = [fk for fk in foreign_keys if fk.child == name and fk.parent in gone]
-        for fk in (fk for fk in touching if fk.on_delete == "cascade"):
-            rows = after[name]
-            taken = with_parent(rows, fk.child_key, gone[fk.parent], fk.parent_key)
-            gone[name] = gone[name].unionByName(taken) if name in gone else taken
-            after[name] = without_parent(rows, fk.child_key, gone[fk.parent], fk.parent_key)
-        for fk in (fk for fk in touching if fk.on_delete == "set null"):
-            after[name] = null_deleted(after[name], fk.child_key, gone[fk.parent], fk.parent_key)
+        for fk in sorted(touching, key=lambda fk: fk.on_delete != "cascade"):
+            rows, deleted = after[name], gone[fk.parent]
+            # Looked for in the table as given: a plain scan of its key column.
+            hot = _hot_children(tables[name], fk.child_key, deleted.select(fk.parent_key), None)
+            sides = (fk.child_key, deleted, fk.parent_key, hot)
+            if fk.on_delete == "cascade":
+                taken = with_parent(rows, *sides)
+                gone[name] = gone[name].unionByName(taken) if name in gone else taken
+                after[name] = without_parent(rows, *sides)
+            else:
+                after[name] = null_deleted(rows, *sides)
     return after

@@ -28,6 +28,9 @@ AMOUNT = "decimal(15,2)"
 TOTAL = "decimal(25,2)"
 MONEY = "decimal(28,2)"
 
+# Stretches go to tasks by hash; several per task even out what each gets.
+STRETCHES_PER_TASK = 4
+
 
 def _up_to_here(keys: Sequence[str], order: Sequence[str]):
     window = Window.partitionBy(*keys).orderBy(*order)
@@ -104,7 +107,7 @@ def running_values(
     if not hot:
         return [_running(moved, [key], order)]
     flag = is_hot(F.col(key), hot)
-    parts = parts or task_count(df)
+    parts = parts or STRETCHES_PER_TASK * task_count(df)
     plain = _running(moved.where(~flag), [key], order)
     return [plain, _carried(moved.where(flag), key, order, parts)]
 
@@ -253,7 +256,7 @@ def number_rows(
     within it.
     """
     if parts is None:
-        parts = 1 if fits_one_task(df) else task_count(df)
+        parts = 1 if fits_one_task(df) else STRETCHES_PER_TASK * task_count(df)
     if parts == 1:
         number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
         return df.withColumn(name, number + F.lit(start - 1))

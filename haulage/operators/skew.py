@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulage.functions.types import wall_clock_micros
+
 # Up to this size a whole table is fit for one task, and so is any group in it.
 ONE_TASK_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
@@ -98,9 +100,7 @@ def _position(field: T.StructField) -> Column:
     elif isinstance(field.dataType, T.TimestampType):
         value = F.unix_micros(value)
     elif isinstance(field.dataType, T.TimestampNTZType):
-        # Read off the wall clock, so that no time zone's clock change reorders it.
-        minutes = (F.unix_date(value.cast("date")) * 24 + F.hour(value)) * 60 + F.minute(value)
-        value = minutes.cast("double") * 60 + F.extract(F.lit("SECOND"), value).cast("double")
+        value = wall_clock_micros(value)
     elif not isinstance(field.dataType, T.NumericType):
         raise TypeError(f"cannot cut the order of {field.name}: {field.dataType.simpleString()}")
     value = F.nanvl(value.cast("double"), F.lit(float("inf")))
@@ -118,6 +118,7 @@ def ordered_parts(
     again by the next ordering column. The cuts are constants in the plan, so
     every use and every retry of it numbers alike.
     """
+    parts = min(parts, MOST_PARTS)
     if parts <= 1:
         return df.withColumn(name, F.lit(0).cast("bigint"))
     fields = {field.name: field for field in df.schema.fields}

@@ -14,7 +14,6 @@ from haulage.functions.types import SourceColumn, columns_of, landing_schema, pa
 from haulage.operators.conform import conform, with_defaults
 from haulage.operators.running import number_rows
 from haulage.plans.spec import LoadSpec
-from haulage.session import require_settings
 from haulage.sources import files, jdbc
 from haulage.tables.snapshots import Commit, SnapshotTables
 
@@ -55,7 +54,6 @@ def load(
     A plain load has no shuffle; every source partition is converted and written
     by the task that read it.
     """
-    require_settings(spark)
     if tables is None:
         if spec.warehouse is None:
             raise ValueError("name a bucket in the spec or pass the target tables")

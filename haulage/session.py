@@ -26,19 +26,6 @@ def build_session(app: str = "haulage", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def require_settings(spark: SparkSession) -> None:
-    """Refuse to load under settings that would change values silently.
-
-    Without ANSI mode an overflowing cast wraps or turns NULL; outside UTC an
-    instant would land as some other wall clock.
-    """
-    if spark.conf.get("spark.sql.ansi.enabled", "true").lower() != "true":
-        raise ValueError("a load needs spark.sql.ansi.enabled=true")
-    zone = spark.conf.get("spark.sql.session.timeZone", "")
-    if zone.upper() not in {"UTC", "ETC/UTC", "Z", "GMT", "+00:00"}:
-        raise ValueError(f"a load needs spark.sql.session.timeZone=UTC, not {zone!r}")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

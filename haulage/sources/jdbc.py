@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 from haulage.functions.types import SourceColumn
@@ -33,9 +35,11 @@ def bounds_query(spec: LoadSpec) -> str:
     )
 
 
-def scan_options(spec: LoadSpec, bounds: tuple[int, int] | None = None) -> dict[str, str]:
+def scan_options(spec: LoadSpec, bounds: tuple[Any, Any] | None = None) -> dict[str, str]:
     """Reader options for the whole table.
 
+    The bounds only shape the ranges; rows outside them and NULLs are read too.
+
     One partition is one SELECT and so one consistent picture of the table.
     More partitions read in parallel, each in its own transaction: use them on
     a source that is quiet while it is read, or on a replica held still.
@@ -50,7 +54,7 @@ def scan_options(spec: LoadSpec, bounds: tuple[int, int] | None = None) -> dict[
         lowest, highest = bounds
         options["partitionColumn"] = spec.partition_column
         options["lowerBound"] = str(lowest)
-        options["upperBound"] = str(highest + 1)
+        options["upperBound"] = str(highest)
         options["numPartitions"] = str(spec.num_partitions)
     return options
 
@@ -74,5 +78,5 @@ def read_table(spark: SparkSession, spec: LoadSpec) -> DataFrame:
         query = bounds_query(spec)
         row = spark.read.format("jdbc").options(**spec.connection, query=query).load().first()
         if row is not None and row[0] is not None:
-            bounds = (int(row[0]), int(row[1]))
+            bounds = (row[0], row[1])
     return spark.read.format("jdbc").options(**scan_options(spec, bounds)).load()

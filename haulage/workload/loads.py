@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.functions.types import SourceColumn, ValueRules, columns_of
+from haulage.functions.types import (
+    SourceColumn,
+    ValueRules,
+    columns_of,
+    wall_clock,
+    wall_clock_micros,
+)
 from haulage.operators import conform as shaping
 from haulage.operators import profile
 from haulage.plans.load import insert, load, load_all
@@ -107,15 +113,15 @@ def load_retried(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("sales.orders")
 
 
-@query("SELECT * FROM orders WHERE o_custkey < 10")
+@query("SELECT * FROM orders")
 def load_clustered(spark: SparkSession, folder: str) -> DataFrame:
-    """A load laid out by status and customer, read back through those columns."""
+    """A load laid out by status and customer, for lookups to skip what they do not need."""
     tables = new_tables(spark)
     spec = file_spec(
         folder, "orders", partition_by=("o_orderstatus",), cluster_by=("o_custkey", "o_orderkey")
     )
     load(spark, spec, tables)
-    return tables.read("default.orders").where(F.col("o_custkey") < 10)
+    return tables.read("default.orders")
 
 
 @query(
@@ -303,7 +309,7 @@ def unmapped_to_string(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("metadata"),
         F.encode("p_brand", "UTF-8").alias("token"),
         F.make_dt_interval(F.col("p_size")).alias("grace"),
-        F.timestamp_micros(F.col("p_partkey") * 1_000_001).cast("timestamp_ntz").alias("due_time"),
+        wall_clock(F.col("p_partkey") * 1_000_001).alias("due_time"),
         F.col("p_type").alias("part_uuid"),
     )
     return shaping.conform(parts, columns)
@@ -349,7 +355,7 @@ def truncate_ns(spark: SparkSession, folder: str) -> DataFrame:
         SourceColumn("event_id", "bigint"),
         SourceColumn("ts", "timestamp(9) without time zone"),
     ]
-    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + 999
+    nanos = wall_clock_micros(F.col("ts")) * 1000 + 999
     events = table(spark, folder, "events").select("event_id", nanos.alias("ts"))
     return shaping.conform(events, columns)
 

@@ -164,3 +164,13 @@ def test_column_stats_of_nested_columns(spark):
 def test_children_per_parent_without_parents(spark):
     df = spark.range(3)
     assert rows(profile.children_per_parent(df.limit(0), df)) == [(0, 3, None)]
+
+
+def test_refresh_statistics(spark, tmp_path):
+    spark.range(10).write.option("path", str(tmp_path / "t")).saveAsTable("counted")
+    try:
+        profile.refresh_statistics(spark, "counted")
+        described = {r[0]: r[1] for r in spark.sql("DESCRIBE EXTENDED counted").collect()}
+        assert "10 rows" in described["Statistics"]
+    finally:
+        spark.sql("DROP TABLE counted")

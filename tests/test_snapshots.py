@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage import LoadSpec, load, load_all
+from haulage.functions.types import SourceColumn, micros_from_nanos
+from haulage.operators.conform import conform
 from haulage.plans.load import insert
 from haulage.plans.spec import specs_from_steps
 from haulage.sources import jdbc
@@ -122,6 +124,15 @@ def test_partitioned_and_clustered_layout(tables, spark):
     assert "PartitionFilters: [isnotnull(c" in plan and "EqualTo(k,6)" in plan
 
 
+def test_a_frequent_key_spreads_over_files(tables, spark):
+    df = spark.range(8000).select(
+        F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    tables.write(df, "ns.t", cluster_by=["k"])
+    files = tables.read("ns.t").groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 8 and max(row["count"] for row in files) < 2000
+
+
 def test_a_read_lists_only_its_snapshots(tables, small, more):
     tables.write(small, "ns.t", "overwrite")
     tables.write(more, "ns.t", "overwrite")
@@ -231,16 +242,30 @@ def test_insert_goes_on_from_the_last_key(tables, spark):
     ]
 
 
-def test_load_refuses_settings_that_change_values(spark, tables, data):
-    spec = LoadSpec("nation", path=f"{data}/nation.parquet")
-    for key, bad in (("spark.sql.ansi.enabled", "false"), ("spark.sql.session.timeZone", "Europe/Berlin")):
-        before = spark.conf.get(key)
-        spark.conf.set(key, bad)
-        try:
-            with pytest.raises(ValueError, match=key):
-                load(spark, spec, tables)
-        finally:
-            spark.conf.set(key, before)
+def test_session_settings_do_not_change_what_lands(spark, tables):
+    df = spark.sql(
+        "SELECT timestamp'2024-03-31 01:30:00Z' AS t, timestamp_ntz'2024-03-31 02:30:00' AS n,"
+        " interval '200' day AS i, 3000000000L AS big"
+    )
+    columns = [
+        SourceColumn("t", "timestamp with time zone"),
+        SourceColumn("n", "timestamp without time zone"),
+        SourceColumn("i", "interval"),
+        SourceColumn("big", "bigint"),
+    ]
+    wanted = conform(df, columns).collect()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.ansi.enabled", "spark.sql.session.timeZone")}
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert conform(df, columns).collect() == wanted
+        nanos = spark.sql("SELECT 1711848600000000999L AS v").select(micros_from_nanos(F.col("v")))
+        assert nanos.first()[0] == wanted[0].t
+        with pytest.raises(Exception, match="cannot hold exactly: 3000000000"):
+            conform(df, [*columns[:3], SourceColumn("big", "integer")]).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def test_jdbc_options():
@@ -251,7 +276,7 @@ def test_jdbc_options():
     assert "numPartitions" not in options
     spec = LoadSpec("users", connection=connection, partition_column="user_id", num_partitions=4)
     options = jdbc.scan_options(spec, (1, 1000))
-    assert (options["lowerBound"], options["upperBound"]) == ("1", "1001")
+    assert (options["lowerBound"], options["upperBound"]) == ("1", "1000")
     assert (options["partitionColumn"], options["numPartitions"]) == ("user_id", "4")
     assert "numPartitions" not in jdbc.scan_options(spec, None)
     assert "table_name = 'o''clock'" in jdbc.catalog_query("public", "o'clock")

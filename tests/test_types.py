@@ -130,7 +130,7 @@ def test_large_integers_stay_exact_beside_null(spark):
     ],
 )
 def test_a_cast_that_would_change_the_value_fails(spark, expression, source_type):
-    with pytest.raises(Exception, match="CAST_OVERFLOW|cannot hold exactly|OVERFLOW"):
+    with pytest.raises(Exception, match="cannot hold exactly"):
         landed(spark, expression, source_type, ValueRules(nan_to_null=False)).collect()
 
 
@@ -162,7 +162,7 @@ def test_align_permutes_narrows_and_guards(spark):
         align(df.drop("b"), target)
     with pytest.raises(ValueError, match="unexpected"):
         align(df.withColumn("c", F.lit(1)), target)
-    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+    with pytest.raises(Exception, match="cannot hold exactly"):
         align(spark.createDataFrame([(2**31, "x")], "a bigint, b string"), target).collect()
     with pytest.raises(Exception, match="must not be NULL"):
         align(spark.createDataFrame([(None, "x")], "a bigint, b string"), target).collect()
