@@ -45,20 +45,19 @@ def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     ).withColumn("_low", F.min("_total").over(upto))
 
 
-def _carried(df: DataFrame, key: str, order: Sequence[str], parts: int) -> DataFrame:
-    """The same three values for hot keys, stretch by stretch."""
-    columns = [c for c in df.columns]
+def _carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    """The same three values for hot keys, stretch by stretch; without keys, for one group."""
+    columns = df.columns
     cut = ordered_parts(df, order, parts, "_part")
-    local = _running(cut, [key, "_part"], order)
-    heads = local.groupBy(key, "_part").agg(
+    local = _running(cut, [*keys, "_part"], order)
+    heads = local.groupBy(*keys, "_part").agg(
         F.count(F.lit(1)).alias("_part_count"),
         F.sum("_move").alias("_part_total"),
         F.min("_low").alias("_part_low"),
     )
     # At most one row per hot key and stretch from here on.
-    before = (
-        Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*keys).orderBy("_part")
+    before = before.rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0).cast(TOTAL)
     heads = heads.withColumns(
         {
@@ -67,15 +66,10 @@ def _carried(df: DataFrame, key: str, order: Sequence[str], parts: int) -> DataF
         }
     )
     low_here = (F.col("_total_before") + F.col("_part_low")).cast(TOTAL)
-    heads = heads.withColumn("_low_before", F.min(low_here).over(before)).select(
-        F.col(key).alias("_key"),
-        F.col("_part").alias("_key_part"),
-        "_count_before",
-        "_total_before",
-        "_low_before",
-    )
+    heads = heads.withColumn("_low_before", F.min(low_here).over(before))
+    # Joined on what the rows are already partitioned by.
     joined = local.join(
-        heads, local[key].eqNullSafe(heads["_key"]) & (local["_part"] == heads["_key_part"])
+        heads.drop("_part_count", "_part_total", "_part_low"), [*keys, "_part"]
     )
     return joined.select(
         *columns,
@@ -98,18 +92,22 @@ def running_values(
 ) -> list[DataFrame]:
     """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
 
-    Ordinary keys come first, still partitioned by key; hot keys, if there are
-    any, come second.
+    Ordinary keys come first, still partitioned by key; then come hot keys and
+    the rows without a key, if those are many.
     """
     moved = df.withColumn("_move", move.cast(AMOUNT))
     if hot is None:
         hot = hot_keys(df, key)
     if not hot:
         return [_running(moved, [key], order)]
-    flag = is_hot(F.col(key), hot)
     parts = parts or STRETCHES_PER_TASK * task_count(df)
-    plain = _running(moved.where(~flag), [key], order)
-    return [plain, _carried(moved.where(flag), key, order, parts)]
+    walked = [_running(moved.where(~is_hot(F.col(key), hot)), [key], order)]
+    named = [value for value in hot if value is not None]
+    if named:
+        walked.append(_carried(moved.where(is_hot(F.col(key), named)), [key], order, parts))
+    if None in hot:
+        walked.append(_carried(moved.where(F.col(key).isNull()), [], order, parts))
+    return walked
 
 
 @dataclass(frozen=True)
@@ -130,7 +128,7 @@ class Opening:
         )
         joined = []
         for i, rows in enumerate(walked):
-            # The second part holds hot accounts only, fewer than there are tasks.
+            # All parts but the first hold hot accounts only, fewer than there are tasks.
             few = balances.where(is_hot(F.col("_account"), hot)) if i else balances
             side = F.broadcast(few) if i else few
             joined.append(rows.join(side, F.col(account) == F.col("_account"), "left"))

@@ -1,4 +1,6 @@
+import random
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,18 @@ def test_instalment_tie(spark):
     assert found == ["0.00", "0.02"]
 
 
+def test_instalments_round_exactly(spark):
+    random.seed(11)
+    cases = [(random.randint(1, 10**9), random.choice([24, 36, 60, 120, 360])) for _ in range(3000)]
+    cases += [(cents, 24) for cents in range(1, 500)]
+    df = spark.createDataFrame(
+        [(Decimal(cents) / 100, months) for cents, months in cases], "p decimal(15,2), n int"
+    )
+    found = [r[0] for r in df.select(derive.instalment(F.col("p"), F.col("n"))).collect()]
+    # Python rounds a fraction to the nearest whole number, ties to even.
+    assert found == [Decimal(round(Fraction(c * 115, 100 * n))) / 100 for c, n in cases]
+
+
 def test_text_derivations(spark):
     df = spark.sql("SELECT 'Smith, Jones and Co' AS n, 'deposit' AS k, 'Salary' AS c, cast(null as int) AS z")
     found = df.select(

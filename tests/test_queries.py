@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from haulage.operators import skew
 from tests.conftest import DATA, plan_of
 
 QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
@@ -42,5 +43,39 @@ def test_plan_stays_in_the_jvm_and_scales(spark, name):
         assert never not in plan
 
 
+SPREAD = [
+    "check_fk", "first_per_group", "fk_cascade", "fk_set_null", "fk_valid_rows",
+    "ledger_balance", "ledger_from_opening", "name_match", "parent_child", "running_count",
+    "surrogate_key", "unique_rejects",
+]
+
+
+@pytest.fixture
+def as_if_large(spark, monkeypatch):
+    """No table counts as small, nothing is broadcast by size, and many keys are hot."""
+    monkeypatch.setattr(skew, "ONE_TASK_BYTES", -1)
+    changed = {"spark.sql.shuffle.partitions": "100", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("name", SPREAD)
+def test_query_agrees_when_rows_are_spread(spark, oracle, as_if_large, name):
+    df = QUERIES[name](spark, DATA)
+    found = canonical(df.columns, [tuple(r) for r in df.collect()])
+    result = oracle.execute(ORACLES[name])
+    assert found == canonical([c[0] for c in result.description], result.fetchall())
+
+
+def test_hot_keys_show_in_the_plan(spark, as_if_large):
+    assert plan_of(QUERIES["ledger_balance"](spark, DATA)).startswith("AdaptiveSparkPlan")
+    assert "bucketizer" in plan_of(QUERIES["ledger_balance"](spark, DATA))
+    assert "bucketizer" in plan_of(QUERIES["surrogate_key"](spark, DATA))
+
+
 def test_entry(spark):
     assert driver.entry(spark).count() == 5
