@@ -114,6 +114,25 @@ def _salted(many: DataFrame, one: DataFrame, condition: Column, how: str) -> Dat
     return joined.drop("_salt", "_copy")
 
 
+def _named_apart(
+    left: DataFrame, key: str, right: DataFrame, right_key: str
+) -> tuple[DataFrame, list[Column]]:
+    """The right side with its key out of the way, and the columns of a join of both.
+
+    A key named alike on both sides appears once, as the left side's.
+    """
+    shared = set(left.columns) & set(right.columns) - {key if key == right_key else ""}
+    if shared:
+        raise ValueError(f"both sides have columns {sorted(shared)}; rename or drop them")
+    columns = [F.col(c) for c in left.columns]
+    for c in right.columns:
+        if c != right_key:
+            columns.append(F.col(c))
+        elif key != right_key:
+            columns.append(F.col("_right_key").alias(c))
+    return right.withColumnRenamed(right_key, "_right_key"), columns
+
+
 def look_up(
     child: DataFrame,
     key: str,
@@ -122,14 +141,17 @@ def look_up(
     hot: Sequence[Any] | None = None,
 ) -> DataFrame:
     """Every child row with the columns of the reference row its key names, or NULLs."""
-    condition = F.col(key) == F.col(reference_key)
+    reference, columns = _named_apart(child, key, reference, reference_key)
+    condition = F.col(key) == F.col("_right_key")
     hot = _hot_children(child, key, reference, hot)
     if not hot:
-        return child.join(reference, condition, "left")
+        return child.join(reference, condition, "left").select(columns)
     flag = is_hot(F.col(key), hot)
-    some = reference.where(is_hot(F.col(reference_key), [v for v in hot if v is not None]))
-    ordinary = child.where(~flag).join(reference, condition, "left")
-    return ordinary.unionByName(_salted(child.where(flag), some, condition, "left"))
+    named = [value for value in hot if value is not None]
+    some = reference.where(is_hot(F.col("_right_key"), named))
+    ordinary = child.where(~flag).join(reference, condition, "left").select(columns)
+    frequent = _salted(child.where(flag), some, condition, "left").select(columns)
+    return ordinary.unionByName(frequent)
 
 
 def children_of(
@@ -145,17 +167,18 @@ def children_of(
     inner join, which can be salted; a left join could not split the side it
     does not preserve.
     """
-    condition = F.col(parent_key) == F.col(child_key)
     if hot is None:
         hot = [] if catalyst_broadcasts(child) else hot_keys(child, child_key)
     hot = [value for value in hot if value is not None]
-    child = child.where(F.col(child_key).isNotNull())
+    child, columns = _named_apart(parent, parent_key, child, child_key)
+    condition = F.col(parent_key) == F.col("_right_key")
+    child = child.where(F.col("_right_key").isNotNull())
     if not hot:
-        return parent.join(child, condition, "left")
-    of_child, of_parent = is_hot(F.col(child_key), hot), is_hot(F.col(parent_key), hot)
+        return parent.join(child, condition, "left").select(columns)
+    of_child, of_parent = is_hot(F.col("_right_key"), hot), is_hot(F.col(parent_key), hot)
     ordinary = parent.where(~of_parent).join(child.where(~of_child), condition, "left")
     frequent = _salted(child.where(of_child), parent.where(of_parent), condition, "inner")
-    return ordinary.unionByName(frequent.select(*ordinary.columns))
+    return ordinary.select(columns).unionByName(frequent.select(columns))
 
 
 # --- ON DELETE ----------------------------------------------------------------

@@ -8,6 +8,7 @@ the size of the table.
 from __future__ import annotations
 
 import math
+import sys
 from collections import Counter
 from collections.abc import Sequence
 from typing import Any
@@ -103,8 +104,11 @@ def _position(field: T.StructField) -> Column:
         value = wall_clock_micros(value)
     elif not isinstance(field.dataType, T.NumericType):
         raise TypeError(f"cannot cut the order of {field.name}: {field.dataType.simpleString()}")
-    value = F.nanvl(value.cast("double"), F.lit(float("inf")))
-    return F.coalesce(value, F.lit(float("-inf")))
+    # NULLs sort first and NaN last; as finite numbers they take part in the cuts.
+    largest = F.lit(sys.float_info.max)
+    number = F.nanvl(value.cast("double"), largest)
+    number = F.greatest(F.least(number, largest), -largest)
+    return F.when(value.isNull(), -largest).otherwise(number)
 
 
 def ordered_parts(
@@ -128,12 +132,12 @@ def ordered_parts(
         at, slot = f"_at{level}", f"_slot{level}"
         df = df.withColumn(at, _position(fields[column]))
         fractions = [i / parts for i in range(1, parts)]
-        open_rows = df.where(undecided).select(at).where(F.abs(at) < float("inf"))
-        cuts = open_rows.approxQuantile(at, fractions, 1 / (4 * parts))
+        cuts = df.where(undecided).select(at).approxQuantile(at, fractions, 1 / (4 * parts))
         frequent = sorted(cut for cut, times in Counter(cuts).items() if times > 2)
         # A frequent value gets a slot of its own, up to the next larger double.
         edges = sorted({*cuts, *(math.nextafter(value, math.inf) for value in frequent)})
-        splits = [float("-inf"), *(edges or [0.0]), float("inf")]
+        edges = [edge for edge in edges if edge < math.inf] or [0.0]
+        splits = [-math.inf, *edges, math.inf]
         df = Bucketizer(splits=splits, inputCol=at, outputCol=slot).transform(df)
         found = F.when(undecided, F.col(slot).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         number = number * (2 * parts) + found

@@ -50,6 +50,17 @@ def test_reference_with_repeated_names(spark, child, hot):
     assert len(found) == 30 * 2 + 5
 
 
+@pytest.mark.parametrize("hot", [None, [7]])
+def test_keys_of_the_same_name_appear_once(parent, child, hot):
+    parent, child = parent.withColumnRenamed("pk", "k"), child.withColumnRenamed("fk", "k")
+    found = relate.children_of(parent, "k", child, "k", hot)
+    assert found.columns == ["k", "name", "id"] and found.where("k IS NULL").count() == 0
+    found = relate.look_up(child, "k", parent, "k", hot)
+    assert found.columns == ["id", "k", "name"] and found.count() == 35
+    with pytest.raises(ValueError, match="both sides have columns"):
+        relate.look_up(child, "k", parent.withColumnRenamed("name", "id"), "k", hot)
+
+
 def test_hot_rows_are_salted(parent, child):
     plan = plan_of(relate.children_of(parent, "pk", child, "fk", [7]))
     assert "_salt" in plan or "_copy" in plan

@@ -185,6 +185,15 @@ def test_a_frequent_value_is_cut_by_the_next_column(timeline):
     assert sum(sizes) == 900 and max(sizes) <= 3 * 900 / 16 + 10
 
 
+def test_many_rows_without_an_order_value_are_cut_too(timeline):
+    hollow = timeline.withColumn("ts", F.when(F.col("id") % 2 == 0, F.col("ts")))
+    cut = skew.ordered_parts(hollow, ["ts", "id"], 16)
+    assert max(row["count"] for row in cut.groupBy("part").count().collect()) < 250
+    numbered = running.number_rows(hollow, ["ts", "id"], "n", parts=16).orderBy("n").collect()
+    keys = [(r.ts is not None, r.ts, r.id) for r in numbered]
+    assert keys == sorted(keys)
+
+
 def test_parts_need_an_order_that_can_be_cut(spark):
     with pytest.raises(TypeError, match="cannot cut"):
         skew.ordered_parts(spark.createDataFrame([("a",)], "v string"), ["v"], 4)
