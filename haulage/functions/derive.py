@@ -52,7 +52,6 @@ def instalment(principal: Column, months: Column) -> Column:
     Everything is multiplied out before a single division, so that exact ties
     stay exact and round to even.
     """
-    # 17 whole digits and 2 decimals times 115 still divide with many digits to spare.
     raised = principal.cast("decimal(17,2)") * F.lit(INSTALMENT_PERCENT).cast("decimal(3,0)")
     divisor = months.cast("decimal(5,0)") * F.lit(100).cast("decimal(3,0)")
     return F.bround(raised / divisor, 2).cast("decimal(15,2)")

@@ -52,6 +52,11 @@ class SourceColumn:
         return self.source_type.strip().lower()
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class ValueRules:
     """Choices about how values land; the defaults follow the documented behaviour."""

@@ -14,6 +14,7 @@ from haulage.functions.types import (
     is_mapped,
     land,
     landing_type,
+    named,
     required,
     safe_cast,
 )
@@ -36,7 +37,7 @@ def conform(
     """
     require_same_columns(df.columns, [c.name for c in columns])
     types = {field.name: field.dataType for field in df.schema.fields}
-    return df.select([land(F.col(c.name), c, types[c.name], rules) for c in columns])
+    return df.select([land(named(c.name), c, types[c.name], rules) for c in columns])
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -48,7 +49,7 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     types = {field.name: field.dataType for field in df.schema.fields}
     aligned = []
     for field in schema.fields:
-        value = safe_cast(F.col(field.name), field.name, types[field.name], field.dataType)
+        value = safe_cast(named(field.name), field.name, types[field.name], field.dataType)
         if not field.nullable:
             value = required(value, field.name, field.dataType)
         aligned.append(value.alias(field.name))
@@ -65,7 +66,7 @@ def mapping_report(
 ) -> DataFrame:
     """What each column lands as, and how many of its values take the text fallback."""
     types = {field.name: field.dataType for field in df.schema.fields}
-    counts = [F.count(F.col(c.name)).alias(f"c{i}") for i, c in enumerate(columns)]
+    counts = [F.count(named(c.name)).alias(f"c{i}") for i, c in enumerate(columns)]
     facts = [
         F.struct(
             F.lit(i + 1).alias("position"),

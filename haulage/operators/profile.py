@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulage.functions.types import named
 from haulage.operators.conform import stack_up
 
 HASH_SLOTS = 1 << 16
@@ -65,7 +66,7 @@ def column_stats(df: DataFrame) -> DataFrame:
     measures = [F.count(F.lit(1)).alias("rows")]
     facts = []
     for i, field in enumerate(df.schema.fields):
-        value = F.col(field.name)
+        value = named(field.name)
         measures.append(F.count(value).alias(f"n{i}"))
         ordered = isinstance(field.dataType, T.AtomicType)
         if ordered:

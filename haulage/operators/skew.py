@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.functions.types import wall_clock_micros
+from haulage.functions.types import named, wall_clock_micros
 
 # Up to this size a whole table is fit for one task, and so is any group in it.
 ONE_TASK_BYTES = 16 * 1024 * 1024
@@ -49,7 +49,9 @@ def fits_one_task(df: DataFrame) -> bool:
 def row_hash(df: DataFrame) -> Column:
     """A hash of the whole row: the same on every attempt of a task, unlike a random number."""
     hashable = [
-        F.to_json(f.name) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
+        F.to_json(named(f.name))
+        if isinstance(f.dataType, (T.MapType, T.VariantType))
+        else named(f.name)
         for f in df.schema.fields
     ]
     return F.xxhash64(*hashable)

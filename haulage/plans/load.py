@@ -77,16 +77,19 @@ def insert(
     key: str,
     order: Sequence[str],
     defaults: Mapping[str, Column],
+    snapshot_id: int | None = None,
 ) -> Commit:
     """Add rows with generated keys and defaults; keys go on from the table's last one.
 
     ``order`` says in which order the new rows get their keys; it must be unique.
+    ``tables.read_load(name, commit.snapshot_id)`` returns them with their keys.
     """
     last = 0
     if tables.exists(name):
         last = tables.read(name).agg(F.max(key)).first()[0] or 0
     numbered = number_rows(with_defaults(rows, defaults), order, key, start=last + 1)
-    return tables.write(numbered.select(key, *[c for c in numbered.columns if c != key]), name, "append")
+    numbered = numbered.select(key, *[c for c in numbered.columns if c != key])
+    return tables.write(numbered, name, "append", snapshot_id=snapshot_id)
 
 
 def load_all(
@@ -97,16 +100,24 @@ def load_all(
 ) -> DataFrame:
     """Run several loads, each after those it depends on; one report row per load.
 
-    Loads that do not depend on one another run side by side as Spark jobs.
-    The first failure stops what has not started yet.
+    Loads that do not depend on one another run side by side as Spark jobs,
+    those into the same table one after the other. The first failure stops what
+    has not started yet.
     """
     order = TopologicalSorter({step: spec.depends_on for step, spec in specs.items()})
     order.prepare()
+
+    def run(steps: list[str]) -> list[Commit]:
+        return [load(spark, specs[step], tables) for step in steps]
+
     report = []
     with ThreadPoolExecutor(max_workers=at_once) as pool:
         while order.is_active():
-            ready = order.get_ready()
-            for step, commit in zip(ready, pool.map(lambda s: load(spark, specs[s], tables), ready)):
-                report.append((specs[step].target, commit.rows_loaded, specs[step].mode))
-                order.done(step)
+            by_target: dict[str, list[str]] = {}
+            for step in order.get_ready():
+                by_target.setdefault(specs[step].target, []).append(step)
+            for target, commits in zip(by_target, pool.map(run, by_target.values())):
+                for step, commit in zip(by_target[target], commits):
+                    report.append((target, commit.rows_loaded, specs[step].mode))
+                    order.done(step)
     return spark.createDataFrame(report, REPORT_SCHEMA)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass, field
 
 from haulage.functions.types import ValueRules
@@ -68,16 +68,18 @@ SETTING_NAMES = {
 
 
 def specs_from_steps(
-    steps: Mapping[str, Mapping], connections: Mapping[str, Mapping[str, str]] | None = None
+    steps: Mapping[str, Mapping],
+    connections: Mapping[str, Mapping[str, str]] | None = None,
+    ignore: Collection[str] = (),
 ) -> dict[str, LoadSpec]:
     """Load specs from a mapping of step id to flat settings, as a config file holds them.
 
     A connection given by name is looked up in ``connections``, which holds its
-    JDBC options.
+    JDBC options. Settings meant for other programs are named in ``ignore``.
     """
     specs = {}
     for step, settings in steps.items():
-        known = {SETTING_NAMES.get(k, k): v for k, v in settings.items() if k != "blueprint"}
+        known = {SETTING_NAMES.get(k, k): v for k, v in settings.items() if k not in ignore}
         known["depends_on"] = tuple(known.get("depends_on", ()))
         if isinstance(known.get("connection"), str):
             named = known["connection"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -37,9 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="haulage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return local_folder()
+
+
+@cache
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="haulage-")
 
 
 def fresh_warehouse(spark: SparkSession) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.functions.types import columns_of
+from haulage.functions.types import columns_of, named
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +25,7 @@ def source_schema(df: DataFrame) -> DataFrame:
     """
     columns = columns_of(df)
     counts = [F.count(F.lit(1)).alias("rows")]
-    counts += [F.count(F.col(c.name)).alias(f"c{i}") for i, c in enumerate(columns)]
+    counts += [F.count(named(c.name)).alias(f"c{i}") for i, c in enumerate(columns)]
     facts = [
         F.struct(
             F.lit(i + 1).alias("position"),

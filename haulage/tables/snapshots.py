@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulage.functions.types import named
 from haulage.operators.conform import align
 from haulage.operators.skew import row_hash, task_count
 
@@ -271,13 +272,23 @@ class SnapshotTables:
         Only the folders of the snapshots that make it up are listed and
         scanned; filters and columns reach the Parquet scan.
         """
-        namespace, table = split_name(name)
         known = self.commits(name)
         if as_of is not None and as_of not in {commit.snapshot_id for commit in known}:
             raise ValueError(f"{name} has no snapshot {as_of}")
         live = live_commits(known, as_of)
         if not live:
             raise ValueError(f"no table {name}")
+        return self._scan(name, live)
+
+    def read_load(self, name: str, snapshot_id: int) -> DataFrame:
+        """Only the rows one load brought, such as those an insert gave keys to."""
+        made = [commit for commit in self.commits(name) if commit.snapshot_id == snapshot_id]
+        if not made:
+            raise ValueError(f"{name} has no snapshot {snapshot_id}")
+        return self._scan(name, made)
+
+    def _scan(self, name: str, live: Sequence[Commit]) -> DataFrame:
+        namespace, table = split_name(name)
         schema = live[-1].schema
         paths = [
             self._data_path(namespace, table, commit.snapshot_id)
@@ -287,7 +298,7 @@ class SnapshotTables:
         if not paths:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", self._data_path(namespace, table))
-        return reader.parquet(*paths).select(*schema.names)
+        return reader.parquet(*paths).select([named(column) for column in schema.names])
 
     def history(self, name: str) -> DataFrame:
         """Snapshots of a table: id, commit time and operation."""

@@ -183,6 +183,22 @@ def test_load_all_runs_dependencies_first(spark, tables, data):
     assert report[1]["rows_loaded"] == tables.read("default.orders").count()
 
 
+def test_loads_into_one_table_do_not_collide(spark, tables, data):
+    specs = {
+        f"s{i}": LoadSpec("nation", path=f"{data}/nation.parquet", mode="append") for i in range(4)
+    }
+    assert load_all(spark, specs, tables).count() == 4
+    assert tables.read("default.nation").count() == 100
+
+
+def test_column_names_may_hold_dots_and_spaces(spark, tables):
+    df = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "`a.b` int, `c d` double")
+    columns = [SourceColumn("a.b", "integer", False), SourceColumn("c d", "double precision")]
+    tables.write(conform(df, columns), "ns.t", cluster_by=[])
+    tables.write(conform(df, columns), "ns.t", "append")
+    assert rows(tables.read("ns.t")) == [(1, 2.0), (1, 2.0), (2, None), (2, None)]
+
+
 def test_a_failed_load_stops_those_that_depend_on_it(spark, tables, data):
     specs = {
         "bad": LoadSpec("nation", path=f"{data}/missing.parquet"),
@@ -209,16 +225,18 @@ def test_steps_as_existing_files_write_them():
     connections = {"bank": {"url": "jdbc:postgresql://db/bank"}}
     steps = {
         "users": {
-            "blueprint": "any", "table_name": "users", "schema_name": "public",
+            "kind": "table load", "table_name": "users", "schema_name": "public",
             "iceberg_namespace": "banking", "iceberg_table_name": "people", "s3_bucket": "lake",
             "s3_prefix": "wh", "mode": "append", "batch_size": 100, "postgres_conn_id": "bank",
         }
     }
-    spec = specs_from_steps(steps, connections)["users"]
+    spec = specs_from_steps(steps, connections, ignore=["kind"])["users"]
     assert (spec.target, spec.warehouse, spec.mode) == ("banking.people", "s3a://lake/wh", "append")
     assert jdbc.scan_options(spec)["url"] == connections["bank"]["url"]
     with pytest.raises(ValueError, match="unknown connection"):
-        specs_from_steps(steps)
+        specs_from_steps(steps, ignore=["kind"])
+    with pytest.raises(ValueError, match="unknown settings"):
+        specs_from_steps(steps, connections)
 
 
 def test_row_counts_come_from_the_log(tables, small, more):
@@ -237,6 +255,8 @@ def test_insert_goes_on_from_the_last_key(tables, spark):
     insert(tables, "ns.t", first, "id", ["at"], defaults)
     given = spark.createDataFrame([(5, "c", None)], "at int, name string, status string")
     insert(tables, "ns.t", given, "id", ["at"], defaults)
+    assert rows(tables.read_load("ns.t", 2), "id", "name") == [(3, "c")]
+    insert(tables, "ns.t", given, "id", ["at"], defaults, snapshot_id=2)
     assert rows(tables.read("ns.t"), "id", "name", "status") == [
         (1, "a", "active"), (2, "b", "active"), (3, "c", None),
     ]
