@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haulage.operators.conform import stack_up
 from haulage.operators.skew import estimated_bytes, hot_keys, is_hot, row_hash, task_count
 
 
@@ -139,19 +140,32 @@ def look_up(
     reference: DataFrame,
     reference_key: str,
     hot: Sequence[Any] | None = None,
+    hot_reference: Sequence[Any] | None = (),
 ) -> DataFrame:
-    """Every child row with the columns of the reference row its key names, or NULLs."""
+    """Every child row with the columns of the reference row its key names, or NULLs.
+
+    A reference key may repeat, as names do; ``hot_reference=None`` looks for
+    values so frequent there that their reference rows must be spread as well.
+    """
     reference, columns = _named_apart(child, key, reference, reference_key)
     condition = F.col(key) == F.col("_right_key")
     hot = _hot_children(child, key, reference, hot)
-    if not hot:
+    if hot_reference is None:
+        hot_reference = [] if catalyst_broadcasts(reference) else hot_keys(reference, "_right_key")
+    hot_reference = [v for v in hot_reference if v is not None and v not in hot]
+    if not hot and not hot_reference:
         return child.join(reference, condition, "left").select(columns)
-    flag = is_hot(F.col(key), hot)
-    named = [value for value in hot if value is not None]
-    some = reference.where(is_hot(F.col("_right_key"), named))
-    ordinary = child.where(~flag).join(reference, condition, "left").select(columns)
-    frequent = _salted(child.where(flag), some, condition, "left").select(columns)
-    return ordinary.unionByName(frequent)
+    flag, other_flag = is_hot(F.col(key), hot), is_hot(F.col(key), hot_reference)
+    parts = [child.where(~flag & ~other_flag).join(reference, condition, "left")]
+    if hot:
+        named = [value for value in hot if value is not None]
+        some = reference.where(is_hot(F.col("_right_key"), named))
+        parts.append(_salted(child.where(flag), some, condition, "left"))
+    if hot_reference:
+        # These keys do exist in the reference, so no child row goes unmatched.
+        many = reference.where(is_hot(F.col("_right_key"), hot_reference))
+        parts.append(_salted(many, child.where(other_flag), condition, "inner"))
+    return stack_up([part.select(columns) for part in parts])
 
 
 def children_of(

@@ -231,7 +231,10 @@ def check_rules(table: str, as_of: Column | None = None) -> list[Rule]:
     c = F.col
     if table == "users":
         rules = [
-            Rule("names are not empty", quality.text_length(c("first_name"), 1) & quality.text_length(c("last_name"), 1)),
+            Rule(
+                "names are not empty",
+                quality.text_length(c("first_name"), 1) & quality.text_length(c("last_name"), 1),
+            ),
             Rule("email has @", quality.has_text(c("email"), "@")),
             Rule("email is lower case", c("email") == F.lower("email")),
             Rule("ssn is 11 long", quality.text_length(c("ssn"), 11, 11)),
@@ -285,14 +288,26 @@ def check_rules(table: str, as_of: Column | None = None) -> list[Rule]:
             Rule("maturity follows origination", c("maturity_date") > c("origination_date")),
             Rule("status is known", quality.in_set(c("status"), LOAN_STATUS)),
             Rule("paid off loans owe nothing", quality.implies(paid, c("outstanding_balance") == 0)),
-            Rule("paid off loans have no next payment", quality.exactly_when(paid, c("next_payment_date").isNull())),
-            Rule("collateral only where secured", quality.implies(c("collateral_desc").isNotNull(), secured)),
+            Rule(
+                "paid off loans have no next payment",
+                quality.exactly_when(paid, c("next_payment_date").isNull()),
+            ),
+            Rule(
+                "collateral only where secured",
+                quality.implies(c("collateral_desc").isNotNull(), secured),
+            ),
         ]
     if table == "audit_log":
         return [
             Rule("action is known", quality.in_set(c("action"), AUDIT_ACTIONS)),
-            Rule("failed logins did not succeed", quality.implies(c("action") == "failed_login", ~c("succeeded"))),
-            Rule("changes only with updates", quality.exactly_when(c("action") == "update", c("changed_fields").isNotNull())),
+            Rule(
+                "failed logins did not succeed",
+                quality.implies(c("action") == "failed_login", ~c("succeeded")),
+            ),
+            Rule(
+                "changes only with updates",
+                quality.exactly_when(c("action") == "update", c("changed_fields").isNotNull()),
+            ),
         ]
     raise ValueError(f"unknown table {table!r}")
 
@@ -314,9 +329,8 @@ def key_report(tables: Mapping[str, DataFrame]) -> DataFrame:
                 tables[fk.child], fk.child_key, tables[fk.parent], fk.parent_key
             ).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("surplus_rows"))
             parts.append((f"{fk.child}.{fk.child_key} exists in {fk.parent}", missing))
-    return stack_up(
-        [df.select(F.lit(name).alias("rule"), F.col("surplus_rows").alias("violations")) for name, df in parts]
-    )
+    violations = F.col("surplus_rows").alias("violations")
+    return stack_up([df.select(F.lit(name).alias("rule"), violations) for name, df in parts])
 
 
 def delete_users(tables: Mapping[str, DataFrame], condition: Column) -> dict[str, DataFrame]:
@@ -325,6 +339,15 @@ def delete_users(tables: Mapping[str, DataFrame], condition: Column) -> dict[str
     return relate.delete_rows(tables, keys, "users", condition)
 
 
+def with_merchants(transactions: DataFrame, merchants: DataFrame) -> DataFrame:
+    """Every transaction with the id of the merchants its free text names, if any."""
+    names = merchants.select("merchant_id", F.col("name").alias("merchant_name"))
+    matched = relate.look_up(
+        transactions, "merchant", names, "merchant_name", hot_reference=None
+    )
+    return matched.drop("merchant_name")
+
+
 def replay_transactions(transactions: DataFrame, users: DataFrame) -> DataFrame:
     """Every transaction with the balance it should leave, from its user's opening one.
 

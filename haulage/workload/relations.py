@@ -83,5 +83,5 @@ def name_match(spark: SparkSession, folder: str) -> DataFrame:
     merchant = F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
     customers = table(spark, folder, "customer").select("c_custkey", merchant.alias("merchant"))
     nations = table(spark, folder, "nation").where(F.col("n_regionkey") < 3)
-    matched = relate.look_up(customers, "merchant", nations, "n_name")
+    matched = relate.look_up(customers, "merchant", nations, "n_name", hot_reference=None)
     return matched.select("c_custkey", "merchant", "n_nationkey", "n_regionkey")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulage import LoadSpec, load_all
 from haulage.functions.types import ValueRules, landing_schema
 from haulage.operators import quality
 from haulage.operators.conform import conform, with_defaults
@@ -148,3 +149,34 @@ def test_replay_starts_from_the_users_balance(spark):
     )
     replayed = banking.replay_transactions(transactions, users).orderBy("transaction_id")
     assert [r.balance_after for r in replayed.collect()] == [70, 0, 50, 30]
+
+
+def test_transactions_find_their_merchant_by_name(spark):
+    transactions = frame(
+        spark, "transactions",
+        dict(transaction_id=1, merchant="Fuel Co"), dict(transaction_id=2, merchant="Unknown"),
+        dict(transaction_id=3),
+    )
+    merchants = frame(spark, "merchants", dict(merchant_id=9, name="Fuel Co", category="fuel"))
+    found = rows(banking.with_merchants(transactions, merchants), "transaction_id", "merchant_id")
+    assert found == [(1, 9), (2, None), (3, None)]
+
+
+def test_all_six_tables_load_in_order(spark, tables, tmp_path):
+    specs = {}
+    for table in banking.COLUMNS:
+        path = str(tmp_path / table)
+        record = {"users": USER, "loans": LOAN}.get(table)
+        frame(spark, table, *([record] if record else [])).write.parquet(path)
+        columns = banking.source_columns(table)
+        parents = tuple({fk.parent for fk in banking.FOREIGN_KEYS if fk.child == table})
+        specs[table] = LoadSpec(
+            table, path=path, namespace="banking", depends_on=parents,
+            column_types={c.name: c.source_type for c in columns},
+            not_null=tuple(c.name for c in columns if not c.nullable),
+        )
+    report = load_all(spark, specs, tables).collect()
+    assert sum(row.rows_loaded for row in report) == 2 and len(report) == 6
+    assert tables.read("banking.loans").first().grace_period == "2592000000000000"
+    tables.drop(*[f"banking.{table}" for table in banking.DROP_ORDER])
+    assert tables.tables("banking").count() == 0

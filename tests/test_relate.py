@@ -61,6 +61,18 @@ def test_keys_of_the_same_name_appear_once(parent, child, hot):
         relate.look_up(child, "k", parent.withColumnRenamed("name", "id"), "k", hot)
 
 
+@pytest.mark.parametrize("hot", [[], [7], [1, None]])
+@pytest.mark.parametrize("hot_reference", [(), [1, 2], [7, 2]])
+def test_names_that_repeat_in_the_reference(spark, child, hot, hot_reference):
+    names = spark.createDataFrame(
+        [(1, f"one{i}") for i in range(40)] + [(2, "two"), (2, "zwei"), (7, "seven")],
+        "pk int, name string",
+    )
+    found = relate.look_up(child, "fk", names, "pk", hot, hot_reference)
+    assert rows(found) == rows(relate.look_up(child, "fk", names, "pk", [], ()))
+    assert found.count() == 30 + 40 + 2 + 3
+
+
 def test_hot_rows_are_salted(parent, child):
     plan = plan_of(relate.children_of(parent, "pk", child, "fk", [7]))
     assert "_salt" in plan or "_copy" in plan
