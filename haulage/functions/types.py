@@ -182,24 +182,24 @@ def required(value: Column, name: str, data_type: T.DataType) -> Column:
 def interval_nanos(text: Column) -> Column:
     """Nanoseconds in an interval written as ``1 year 2 mons 3 days 04:05:06.7``.
 
-    A month counts 30 days and a year 365, the usual conversion to a duration.
+    The time may be spelled out as well, as in ``4 hours 5 mins 6.7 secs``. A
+    month counts 30 days and a year 365, the usual conversion to a duration.
     """
 
-    def amount(unit: str) -> Column:
-        found = F.regexp_extract(text, rf"(-?\d+)\s+{unit}", 1)
-        return F.coalesce(F.nullif(found, F.lit("")).cast("bigint"), F.lit(0))
-
-    clock = r"(-?)(\d+):(\d+):(\d+)(?:\.(\d{1,6}))?"
+    def number(pattern: str, group: int = 1) -> Column:
+        found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+        return F.coalesce(found.cast("decimal(18,6)"), F.lit(0))
 
-    def part(group: int) -> Column:
-        found = F.regexp_extract(text, clock, group)
-        return F.coalesce(F.nullif(found, F.lit("")).cast("bigint"), F.lit(0))
+    def amount(unit: str) -> Column:
+        return number(rf"(-?\d+(?:\.\d+)?)\s+{unit}")
 
     days = amount("year") * 365 + amount("mon") * 30 + amount("day")
-    fraction = F.rpad(F.regexp_extract(text, clock, 5), 6, "0").cast("bigint")
-    micros = ((part(2) * 60 + part(3)) * 60 + part(4)) * 1_000_000 + fraction
+    spelled = (amount("hour") * 60 + amount("min")) * 60 + amount("sec")
+    clock = r"(-?)(\d+):(\d+):(\d+(?:\.\d{1,6})?)"
+    shown = (number(clock, 2) * 60 + number(clock, 3)) * 60 + number(clock, 4)
     sign = F.when(F.regexp_extract(text, clock, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    return F.when(text.isNotNull(), (days * 86_400_000_000 + sign * micros) * 1000)
+    seconds = days * 86_400 + spelled + sign * shown
+    return F.when(text.isNotNull(), (seconds * 1_000_000_000).cast("bigint"))
 
 
 def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules: ValueRules) -> Column:

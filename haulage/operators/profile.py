@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,9 +109,28 @@ def in_period(df: DataFrame, column: str, first: str, before: str) -> DataFrame:
     return df.where((F.col(column) >= start) & (F.col(column) < end))
 
 
-def json_has(text: Column, path: str, value: str) -> Column:
-    """Whether the JSON text holds the value at a path such as ``$.k``."""
-    return F.get_json_object(text, path) == F.lit(value)
+def json_holds(text: Column, wanted: Mapping[str, Any]) -> Column:
+    """Whether JSON text contains an object: all its members, at any depth, with their values.
+
+    Numbers compare as numbers. What is not JSON contains nothing.
+    """
+
+    def member(path: str, value: Any) -> Column:
+        if isinstance(value, Mapping):
+            return all_of([member(f"{path}['{key}']", inner) for key, inner in value.items()])
+        found = F.get_json_object(text, path)
+        if isinstance(value, bool):
+            return found == F.lit("true" if value else "false")
+        if isinstance(value, (int, float)):
+            return found.try_cast("double") == F.lit(float(value))
+        if isinstance(value, str):
+            return found == F.lit(value)
+        raise TypeError(f"cannot look for {value!r} in JSON")
+
+    def all_of(conditions: list[Column]) -> Column:
+        return reduce(and_, conditions, F.lit(True))
+
+    return F.coalesce(member("$", wanted), F.lit(False))
 
 
 def with_parameters(

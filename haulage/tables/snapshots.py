@@ -251,7 +251,8 @@ class SnapshotTables:
             files = task_count(rows, MOST_FILES)
             rows = rows.repartitionByRange(files, *order, row_hash(rows))
             rows = rows.sortWithinPartitions(*order)
-        writer = rows.write.mode("overwrite")
+        # Whatever a dead attempt left in the folder goes, whole.
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self._data_path(namespace, table, snapshot_id))

@@ -88,7 +88,7 @@ def lookup_composite(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_id, props FROM events WHERE props ->> '$.k' = '69'")
 def json_contains(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "props")
-    return events.where(profile.json_has(F.col("props"), "$.k", "69"))
+    return events.where(profile.json_holds(F.col("props"), {"k": 69}))
 
 
 # --- ledger -------------------------------------------------------------------

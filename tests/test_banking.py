@@ -62,6 +62,26 @@ def test_an_empty_table_loads_with_its_schema(spark, tables, table):
     assert tables.read(f"banking.{table}").count() == 0
 
 
+SAMPLES = {
+    "integer": 1, "smallint": 1, "bigint": 1, "numeric": Decimal(1), "character": "x",
+    "character varying": "x", "uuid": "u", "date": dt.date(2024, 1, 1), "boolean": True,
+    "timestamp without time zone": dt.datetime(2024, 1, 1),
+    "timestamp with time zone": dt.datetime(2024, 1, 1),
+}
+
+
+@pytest.mark.parametrize("table", list(banking.COLUMNS))
+def test_null_wherever_it_is_allowed_and_only_there(spark, tables, table):
+    columns = banking.source_columns(table)
+    needed = {c.name: SAMPLES[c.source_type] for c in columns if not c.nullable}
+    landed = conform(frame(spark, table, needed), columns).first().asDict()
+    assert {name for name, value in landed.items() if value is not None} == set(needed)
+    for name in needed:
+        bare = frame(spark, table, {**needed, name: None})
+        with pytest.raises(Exception, match=f"column {name} must not be NULL"):
+            conform(bare, columns).collect()
+
+
 def test_a_good_user_breaks_nothing(spark):
     as_of = F.lit("2024-01-15").cast("date")
     assert broken(frame(spark, "users", USER), "users", as_of) == [[]]

@@ -170,6 +170,23 @@ def test_lookups_reach_the_scan(spark, data):
     assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
 
 
+def test_json_contains_an_object(spark):
+    texts = [
+        '{"a": 1, "b": {"c": "x", "d": true}}', '{"a": 1.0, "b": {"c": "x"}}', '{"b": 2}', "[1]",
+        "no json", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def found(wanted):
+        return [r[0] for r in df.select(profile.json_holds(F.col("t"), wanted)).collect()]
+
+    assert found({"a": 1}) == [True, True, False, False, False, False]
+    assert found({"a": 1, "b": {"c": "x", "d": True}}) == [True] + [False] * 5
+    assert found({"b": 2}) == [False, False, True, False, False, False]
+    with pytest.raises(TypeError, match="cannot look for"):
+        profile.json_holds(F.col("t"), {"a": [1]})
+
+
 def test_column_stats_of_nested_columns(spark):
     df = spark.createDataFrame([([1], 2), (None, 3)], "a array<int>, b int")
     assert rows(profile.column_stats(df)) == [("a", 2, 1, None, None), ("b", 2, 0, "2", "3")]

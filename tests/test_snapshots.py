@@ -62,6 +62,17 @@ def test_rows_without_a_commit_are_not_seen(tables, small, more):
     assert tables.read("ns.t").count() == 3
 
 
+def test_leftovers_of_a_dead_attempt_go(tables, spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, c string")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        df.write.partitionBy("c").parquet(tables._data_path("ns", "t", 1))
+        tables.write(df.where("c = 'a'"), "ns.t", partition_by=["c"])
+        assert rows(tables.read("ns.t")) == [(1, "a")]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+
+
 def test_a_failed_guard_commits_nothing(tables, spark, small):
     schema = T.StructType(
         [T.StructField("k", T.IntegerType(), False), T.StructField("v", T.StringType())]

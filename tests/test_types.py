@@ -70,6 +70,8 @@ def test_interval_may_stay_text(spark):
     [
         ("1 year 2 mons 3 days 04:05:06.7", dt.timedelta(days=428, hours=4, minutes=5, seconds=6.7)),
         ("-3 days -00:00:01", -dt.timedelta(days=3, seconds=1)),
+        ("0 years 0 mons 30 days 1 hours -2 mins 3.5 secs", dt.timedelta(30, 3483.5)),
+        ("1 mon", dt.timedelta(days=30)),
         ("00:00:00.000001", dt.timedelta(microseconds=1)),
         ("1 day", dt.timedelta(days=1)),
         ("00:00:00", dt.timedelta()),
