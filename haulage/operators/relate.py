@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulage.operators.conform import stack_up
-from haulage.operators.skew import estimated_bytes, hot_keys, is_hot, row_hash, task_count
+from haulage.operators.skew import estimated_bytes, hot_keys, is_hot, spread, task_count
 
 
 @dataclass(frozen=True)
@@ -103,15 +103,15 @@ def orphan_summary(child: DataFrame, key: str, parent: DataFrame, parent_key: st
 def _salted(many: DataFrame, one: DataFrame, condition: Column, how: str) -> DataFrame:
     """Join with the frequent side spread over all tasks and the other copied to each.
 
-    Only rows of hot keys come here, so the copies are of few rows. The salt is
-    a hash of the row and therefore the same when a lost task is run again.
+    Only rows of hot keys come here, so the copies are of few rows. The salt
+    stays the same when a lost task is run again.
     """
     salts = task_count(many)
-    spread = many.withColumn("_salt", F.pmod(row_hash(many), F.lit(salts)))
+    scattered = many.withColumn("_salt", F.pmod(spread(many), F.lit(salts)))
     copies = one.withColumn(
         "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
-    joined = spread.join(copies, condition & (F.col("_salt") == F.col("_copy")), how)
+    joined = scattered.join(copies, condition & (F.col("_salt") == F.col("_copy")), how)
     return joined.drop("_salt", "_copy")
 
 

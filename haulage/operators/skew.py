@@ -46,15 +46,19 @@ def fits_one_task(df: DataFrame) -> bool:
     return size is not None and size <= ONE_TASK_BYTES
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A hash of the whole row: the same on every attempt of a task, unlike a random number."""
+def spread(df: DataFrame) -> Column:
+    """A number to scatter rows by, the same on every attempt of a task, unlike a random one.
+
+    A hash of the whole row, and of the partition it comes from: copies of one
+    row scatter too, since they do not all come from one partition.
+    """
     hashable = [
         F.to_json(named(f.name))
         if isinstance(f.dataType, (T.MapType, T.VariantType))
         else named(f.name)
         for f in df.schema.fields
     ]
-    return F.xxhash64(*hashable)
+    return F.xxhash64(*hashable, F.spark_partition_id())
 
 
 def hot_values(df: DataFrame, key: str, share: float | None = None) -> list[Any]:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from haulage.functions.types import named
 from haulage.operators.conform import align
-from haulage.operators.skew import row_hash, task_count
+from haulage.operators.skew import spread, task_count
 
 LOG_SCHEMA = T.StructType(
     [
@@ -246,11 +246,13 @@ class SnapshotTables:
         if cluster_by:
             # Neighbouring keys share files and row groups, so that lookups on
             # them skip the rest by the min/max in the footers.
-            # The row hash at the end splits a key too frequent for one task.
+            # What ends the ordering splits a key, or copies of a row, too
+            # frequent for one task.
             order = [*partition_by, *cluster_by]
             files = task_count(rows, MOST_FILES)
-            rows = rows.repartitionByRange(files, *order, row_hash(rows))
-            rows = rows.sortWithinPartitions(*order)
+            rows = rows.withColumn("_spread", spread(rows))
+            rows = rows.repartitionByRange(files, *order, "_spread")
+            rows = rows.sortWithinPartitions(*order).drop("_spread")
         # Whatever a dead attempt left in the folder goes, whole.
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if partition_by:
@@ -301,6 +303,13 @@ class SnapshotTables:
         reader = self.spark.read.schema(schema).option("basePath", self._data_path(namespace, table))
         return reader.parquet(*paths).select([named(column) for column in schema.names])
 
+    def create_views(self, namespace: str) -> list[str]:
+        """Make the tables of a namespace known to SQL under their own names."""
+        names = sorted(row.table_name for row in self.tables(namespace).collect())
+        for name in names:
+            self.read(f"{namespace}.{name}").createOrReplaceTempView(name)
+        return names
+
     def history(self, name: str) -> DataFrame:
         """Snapshots of a table: id, commit time and operation."""
         log = self._read_log(self._log_path(*split_name(name)))

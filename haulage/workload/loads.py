@@ -174,6 +174,23 @@ def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
     return tables.tables().join(tables.row_counts(), ["namespace", "table_name"])
 
 
+@query(
+    "SELECT o_orderpriority, count(*) AS rows, sum(l_quantity::DECIMAL(15,2))::DECIMAL(25,2) AS quantity"
+    " FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderpriority"
+)
+def sql_over_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Loaded tables asked in SQL under their own names."""
+    tables = new_tables(spark)
+    for name in ("orders", "lineitem"):
+        load(spark, file_spec(folder, name, namespace="shop", target_name=f"shop_{name}"), tables)
+    tables.create_views("shop")
+    return spark.sql(
+        "SELECT o_orderpriority, count(*) AS rows,"
+        " cast(sum(cast(l_quantity AS decimal(15,2))) AS decimal(25,2)) AS quantity"
+        " FROM shop_orders JOIN shop_lineitem ON l_orderkey = o_orderkey GROUP BY o_orderpriority"
+    )
+
+
 @query(
     "SELECT 'as of load' AS moment, count(*) AS rows FROM orders"
     " UNION ALL SELECT 'after truncate', 0"

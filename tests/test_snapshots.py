@@ -144,6 +144,13 @@ def test_a_frequent_key_spreads_over_files(tables, spark):
     assert len(files) == 8 and max(row["count"] for row in files) < 2000
 
 
+def test_copies_of_one_row_spread_over_files(tables, spark):
+    df = spark.range(8000, numPartitions=8).select(F.lit(7).alias("k"), F.lit("x").alias("v"))
+    tables.write(df, "ns.t", cluster_by=["k"])
+    files = tables.read("ns.t").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 4 and max(row["count"] for row in files) <= 3000
+
+
 def test_a_read_lists_only_its_snapshots(tables, small, more):
     tables.write(small, "ns.t", "overwrite")
     tables.write(more, "ns.t", "overwrite")
