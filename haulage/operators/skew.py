@@ -151,5 +151,6 @@ def ordered_parts(
             break
         undecided = undecided & F.col(at).isin(frequent)
     scratch = [c for c in df.columns if c not in fields]
-    return df.withColumn(name, number).drop(*scratch)
+    # Never NULL, and known to be: joins on it then add no filter to either side.
+    return df.withColumn(name, F.coalesce(number, F.lit(0).cast("bigint"))).drop(*scratch)
 
