@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.llm import bpe, packing, token_files
+from haulage.llm import bpe, packing, quality_rules, simhash, token_files
 from haulage.llm.ship import ship
 from haulage.session import shared_folder
 
@@ -49,6 +49,16 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, path, with_ids=False).drop("ids")
 
 
+@query()
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, folder, "documents")).drop("longest_repeat")
+
+
 @query()
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"), WORD_BPE)
+
+
+@query()
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
