@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.llm import bpe, packing, quality_rules, simhash, token_files
+from haulage.llm import bpe, compression_classifier, packing, quality_rules, simhash, token_files
 from haulage.llm.ship import ship
 from haulage.session import shared_folder
 
@@ -54,6 +54,13 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, folder, "documents")).drop("longest_repeat")
 
 
+@query()
+def op6_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = compression_classifier.fit(documents, table(spark, folder, "labels"))
+    return compression_classifier.score(documents, model)
+
+
 @query()
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"), WORD_BPE)
