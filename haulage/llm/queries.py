@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.llm import bpe, compression_classifier, packing, quality_rules, simhash, token_files
+from haulage.llm import bpe, compression_classifier, packing, quality_rules, simhash, token_files, toxicity
 from haulage.llm.ship import ship
 from haulage.session import shared_folder
 
@@ -61,6 +61,13 @@ def op6_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return compression_classifier.score(documents, model)
 
 
+@query()
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit(documents, table(spark, folder, "labels"))
+    return toxicity.score(documents, model)
+
+
 @query()
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"), WORD_BPE)
