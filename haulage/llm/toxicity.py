@@ -27,7 +27,10 @@ EMPTY = -30.0
 
 @dataclass(frozen=True)
 class Shape:
-    """Sizes of the network: words a window, words from one to the next, buckets, vector and state sizes."""
+    """Words a window and from one to the next, sizes of the network, and how it is trained.
+
+    A round takes the chosen windows once, or as often as makes about `steps` steps.
+    """
 
     window: int = 32
     stride: int = 16
@@ -36,8 +39,10 @@ class Shape:
     state: int = 8
     attention: int = 8
     rounds: int = 5
-    batch: int = 128
+    batch: int = 64
+    steps: int = 60
     rate: float = 0.01
+    sparse_rate: float = 0.002
 
 
 @dataclass
@@ -225,12 +230,12 @@ class Network:
         own, places = np.unique(rows, return_inverse=True)
         sums = np.zeros((len(own), grad.shape[1]), dtype=np.float32)
         np.add.at(sums, places, grad)
-        self._step(name, own, sums)
+        self._step(name, own, sums, self.shape.sparse_rate)
 
-    def _step(self, name: str, rows, grad: np.ndarray) -> None:
-        """Adagrad with some forgetting."""
+    def _step(self, name: str, rows, grad: np.ndarray, rate: float | None = None) -> None:
+        """Against the gradient, each value by its own recent size."""
         self.squares[name][rows] = 0.99 * self.squares[name][rows] + 0.01 * grad**2
-        self.p[name][rows] -= self.shape.rate * grad / (np.sqrt(self.squares[name][rows]) + 1e-6)
+        self.p[name][rows] -= (rate or self.shape.rate) * grad / (np.sqrt(self.squares[name][rows]) + 1e-6)
 
     def logits(self, x: Inputs, most: int = 8192) -> np.ndarray:
         vectors = self.vectors(x)
@@ -246,11 +251,14 @@ def highest(logits: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
 
 
 def evidence(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
-    """How much oftener a bucket occurs in toxic texts than in clean ones, as a smoothed log ratio."""
+    """How much oftener a bucket occurs in toxic texts than in clean ones, as a log ratio.
+
+    It is smoothed, and shrunk for buckets of few texts.
+    """
     pairs = np.unique(owner.astype(np.int64) * buckets + bucket)
     seen = [np.bincount(pairs[labels[pairs // buckets] == k] % buckets, minlength=buckets) for k in (0, 1)]
-    share = labels.mean()
-    return np.log((seen[1] + 4 * share) / (seen[0] + 4 * (1 - share)) * (1 - share) / share).clip(-4, 4)
+    share, all_ = labels.mean(), seen[0] + seen[1]
+    return all_ / (all_ + 4) * np.log((seen[1] + 4 * share) / (seen[0] + 4 * (1 - share)) * (1 - share) / share).clip(-4, 4)
 
 
 def train(found: dict[int, list[bytes]], shape: Shape, seed: int = 7) -> Network:
@@ -287,8 +295,10 @@ def train(found: dict[int, list[bytes]], shape: Shape, seed: int = 7) -> Network
         chosen = np.concatenate([toxic, clean])
         marks = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
         weights = np.where(marks > 0, len(marks) / (2 * max(1, len(toxic))), len(marks) / (2 * max(1, len(clean))))
-        for k in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // shape.batch)):
-            network.learn(x, x.windows[chosen[k]], marks[k], weights[k])
+        parts = max(1, len(chosen) // shape.batch)
+        for _ in range(max(1, shape.steps // parts)):
+            for k in np.array_split(rng.permutation(len(chosen)), parts):
+                network.learn(x, x.windows[chosen[k]], marks[k], weights[k])
     return network
 
 
