@@ -8,7 +8,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from haulage.llm import bpe, compression_classifier, packing, quality_rules, simhash, token_files, toxicity
+from haulage.llm import (
+    bpe,
+    compression_classifier,
+    embedding_dedup,
+    packing,
+    quality_rules,
+    simhash,
+    substring_dedup,
+    token_files,
+    toxicity,
+)
 from haulage.llm.ship import ship
 from haulage.session import shared_folder
 
@@ -36,6 +46,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("""
+    WITH words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    starts AS (
+        SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20
+    ),
+    windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM starts),
+    later AS (
+        SELECT doc_id, i FROM windows
+        QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+    ),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+    lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+    kept AS (
+        SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               CASE WHEN ps IS NULL THEN w
+                    ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END AS k
+        FROM words LEFT JOIN lists USING (doc_id)
+    )
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+           sha256(array_to_string(k, ' ')) AS kept_sha256
+    FROM kept
+""")
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(documents, with_text=False).select("doc_id", "repeats.*")
+
+
 @query()
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(table(spark, folder, "documents"), WORD_BPE, with_ids=False)
@@ -49,6 +89,30 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_tokens(spark, path, with_ids=False).drop("ids")
 
 
+@query("""
+    WITH RECURSIVE
+    held AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    fit AS (
+        SELECT * FROM held
+        WHERE label IS NOT NULL AND e IS NOT NULL AND list_dot_product(e, e) > 0
+          AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+    ),
+    reach AS (
+        SELECT vec_id AS a, vec_id AS b FROM held
+        UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+    ),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(max(n), 0) AS n_links, min(reach.b) AS component_id, min(reach.b) = vec_id AS kept
+    FROM held JOIN reach ON reach.a = vec_id LEFT JOIN counts ON counts.a = vec_id GROUP BY vec_id
+""")
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, folder, "documents")).drop("longest_repeat")
