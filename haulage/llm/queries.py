@@ -12,6 +12,7 @@ from haulage.llm import (
     bpe,
     compression_classifier,
     embedding_dedup,
+    lm_score,
     packing,
     quality_rules,
     simhash,
@@ -140,3 +141,8 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(table(spark, folder, "documents"))
