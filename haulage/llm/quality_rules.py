@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from haulage.llm.text import SPACE, Words, find_words, hash_words, slices
 
@@ -149,19 +151,24 @@ def measure(texts: list[bytes], rules: Rules) -> list[np.ndarray]:
     return [n, chars, marks, lines, repeated, spans, most, failed, ~failed & ~over]
 
 
-def apply_rules(df: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of `df`: its id, the counts and the verdict `kept`.
+def apply_rules(
+    df: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text: str = "text", carry: bool = False
+) -> DataFrame:
+    """Per row of `df`: its id, the counts and the verdict `kept`; with `carry`, all its columns in `_row`.
 
     A null or empty text has no word and fails. A word is hashed to 64 bits; the rest is exact.
-    Every row is judged by itself, so repeated ids and rows stay as they are. Other columns are not
-    carried; a table without rows gives none.
+    Every row is judged by itself, so repeated ids and rows stay as they are. A table without rows gives
+    none.
     """
+    rest = [F.struct(*(df[c] for c in df.columns)).alias("_row")] if carry else []
+    rows = df.select(df[id_column], df[text].alias("_text"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [id_column, *(x.split()[0] for x in SCHEMA.split(", "))]
+        names = [id_column, *(x.split()[0] for x in SCHEMA.split(", ")), *["_row"] * carry]
         for batch in batches:
             for part, texts in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, measure(texts, rules))], names=names)
+                columns = [part.column(0), *map(pa.array, measure(texts, rules))]
+                yield pa.RecordBatch.from_arrays(columns + part.columns[2:], names=names)
 
-    kind = df.schema[id_column].dataType.simpleString()
-    return df.select(df[id_column], df[text].alias("_text")).mapInArrow(run, f"`{id_column}` {kind}, {SCHEMA}")
+    own = StructType([rows.schema[0], *StructType.fromDDL(SCHEMA).fields, *rows.schema.fields[2:]])
+    return rows.mapInArrow(run, own)

@@ -290,9 +290,9 @@ def remove_repeats(
     """The rows of `df`, passages that start earlier taken out of the text, and a column `repeats`.
 
     A word goes if a window of `window` words over it has a word sequence that also starts at a smaller id, or
-    earlier in the same text; windows are judged on the input. The kept words are joined by one
-    blank (the text is left as it was unless `with_text`); `repeats` holds n_words, n_removed
-    and the SHA-256 of the kept words so joined. A null text has no word and stays null. Ids are whole
+    earlier in the same text; windows are judged on the input. Where a word goes, the kept ones are
+    joined by one blank (the text is left as it was unless `with_text`); `repeats` holds n_words,
+    n_removed and the SHA-256 of the kept words so joined. A null text has no word and stays null. Ids are whole
     numbers; a null id comes before all others, and rows that share an id share its place in the
     order, so their equal windows at one start leave each other alone. A column named `repeats` is replaced,
     all other columns are carried. A table without rows gives none. window: RUN to 48 +
@@ -355,7 +355,12 @@ def remove_repeats(
                     names=["n_words", "n_removed", "kept_sha256"],
                 )
                 known = part.column("_text").is_valid().to_pylist()
-                out = [k.decode() if v else None for k, v in zip(kept, known, strict=True)] if with_text else None
+                whole = left == counts
+                if with_text:
+                    out = [
+                        None if not v else t.decode() if w else k.decode()
+                        for t, k, v, w in zip(texts, kept, known, whole.tolist(), strict=True)
+                    ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out, pa.string()) if with_text else part.column("_text"), part.column("_rest"), result],
                     names=["_text", "_rest", "repeats"],

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from haulage.llm.text import Words, find_words, hash_words, lowered, mixed, ragged, slices
 from haulage.llm.training import Calibration, class_weights, held_out, labelled_sample
@@ -339,15 +340,22 @@ def fit(
 
 
 def score(
-    df: DataFrame, model: Model, threshold: float = 0.5, id_column: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    model: Model,
+    threshold: float = 0.5,
+    id_column: str = "doc_id",
+    text: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """Per row its id, held_out, score (0 to 1, higher: label 1 likelier) and predicted.
+    """Per row its id, held_out, score (0 to 1, higher: label 1 likelier) and predicted; with `carry`, all in `_row`.
 
     Every window of the whole text is scored. A null or wordless text has no window and gets the
     calibrated score of a very clean one. Without labelled texts of both kinds every score is the
-    share of label 1, 0 without any. The model's size depends on `Shape` alone. Other columns are
-    not carried; repeated rows stay.
+    share of label 1, 0 without any. The model's size depends on `Shape` alone. Repeated rows stay;
+    a table without rows gives none.
     """
+    rest = [F.struct(*(df[c] for c in df.columns)).alias("_row")] if carry else []
+    rows = df.select(df[id_column], df[text].alias("_text"), held_out(id_column, 5, 0).alias("held_out"), *rest)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,12 +363,9 @@ def score(
         for batch in batches:
             for part, texts in slices(batch, "_text", 1 << 18):
                 found = held.score(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
-                    names=[id_column, "held_out", "score", "predicted"],
-                )
-
-    kind = df.schema[id_column].dataType.simpleString()
-    rows = df.select(df[id_column], df[text].alias("_text"))
-    rows = rows.select(id_column, held_out(id_column, 5, 0).alias("_held"), F.col("_text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, score double, predicted int")
+                marks = [part.column(2), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
+                names = [id_column, "held_out", "score", "predicted", *["_row"] * carry]
+                yield pa.RecordBatch.from_arrays([part.column(0), *marks, *part.columns[3:]], names=names)
+
+    verdict = StructType.fromDDL("score double, predicted int").fields
+    return rows.mapInArrow(run, StructType([rows.schema[0], rows.schema[2], *verdict, *rows.schema.fields[3:]]))
