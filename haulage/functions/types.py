@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +49,12 @@ class SourceColumn:
 
     @property
     def type_name(self) -> str:
-        return self.source_type.strip().lower()
+        """The type's name in lower case; timestamps by their long name, without digits that fit a microsecond."""
+        name = " ".join(self.source_type.strip().lower().split())
+        found = re.fullmatch(r"timestamp(tz)?\s*(?:\(([0-6])\))?(?:\s*(with|without) time zone)?", name)
+        if not found:
+            return name
+        return f"timestamp {'with' if found[1] or found[3] == 'with' else 'without'} time zone"
 
 
 def named(name: str) -> Column:
@@ -182,23 +187,41 @@ def required(value: Column, name: str, data_type: T.DataType) -> Column:
 def interval_nanos(text: Column) -> Column:
     """Nanoseconds in an interval written as ``1 year 2 mons 3 days 04:05:06.7``.
 
-    The time may be spelled out as well, as in ``4 hours 5 mins 6.7 secs``. A
-    month counts 30 days and a year 365, the usual conversion to a duration.
+    The time may be spelled out as well, as in ``4 hours 5 mins 6.7 secs``, or have no
+    seconds; ``2 weeks``, ``1 day ago`` and ``P1DT2H`` are read too. A month counts 30 days
+    and a year 365, the usual conversion to a duration. Any other text fails the job.
     """
 
     def number(pattern: str, group: int = 1) -> Column:
         found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
         return F.coalesce(found.cast("decimal(18,6)"), F.lit(0))
 
-    def amount(unit: str) -> Column:
-        return number(rf"(-?\d+(?:\.\d+)?)\s+{unit}")
+    def duration(amount: Callable[[str], Column], units: Sequence[str]) -> Column:
+        year, month, week, day, hour, minute, second = map(amount, units)
+        days = year * 365 + month * 30 + week * 7 + day
+        return days * 86_400 + (hour * 60 + minute) * 60 + second
 
-    days = amount("year") * 365 + amount("mon") * 30 + amount("day")
-    spelled = (amount("hour") * 60 + amount("min")) * 60 + amount("sec")
-    clock = r"(-?)(\d+):(\d+):(\d+(?:\.\d{1,6})?)"
+    value = r"[+-]?\d+(?:\.\d{1,6})?"
+    units = ["years?", "mon(?:th)?s?", "weeks?", "days?", "hours?", "min(?:ute)?s?", "sec(?:ond)?s?"]
+    clock = r"([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?"
+    spelled = duration(lambda unit: number(rf"(?i)({value})\s*{unit}(?![a-z])"), units)
     shown = (number(clock, 2) * 60 + number(clock, 3)) * 60 + number(clock, 4)
     sign = F.when(F.regexp_extract(text, clock, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    seconds = days * 86_400 + spelled + sign * shown
+    ago = F.when(text.rlike(r"(?i)ago\s*$"), F.lit(-1)).otherwise(F.lit(1))
+    date, time = "YMWD", "HMS"
+    iso = duration(
+        lambda unit: number(rf"^P[^T]*?({value}){unit[0]}") if len(unit) == 1 else number(rf"T.*?({value}){unit[1]}"),
+        [*date, *("T" + unit for unit in time)],
+    )
+    words = rf"(?i)^\s*(?=\S)(?:{value}\s*(?:{'|'.join(units)})(?![a-z])\s*)*(?:{clock}\s*)?(?:ago\s*)?$"
+    parts = "".join(f"(?:{value}{unit})?" for unit in date)
+    later = "".join(f"(?:{value}{unit})?" for unit in time)
+    refused = F.raise_error(F.concat(F.lit("cannot read the interval "), text)).cast("decimal(38,6)")
+    seconds = (
+        F.when(text.rlike(rf"^P(?=.){parts}(?:T(?=.){later})?$"), iso)
+        .when(text.rlike(words) & text.rlike(r"\d"), ago * (spelled + sign * shown))
+        .otherwise(refused)
+    )
     return F.when(text.isNotNull(), (seconds * 1_000_000_000).cast("bigint"))
 
 
@@ -211,7 +234,8 @@ def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules:
         return F.to_json(value, {"ignoreNullFields": "false"})
     if isinstance(arrives_as, T.VariantType):
         return F.to_json(value)
-    if name.startswith("time") and isinstance(arrives_as, (T.TimestampType, T.TimestampNTZType)):
+    clock = re.fullmatch(r"time(tz)?\s*(\(\d\))?(\s*with(out)? time zone)?", name)
+    if clock and isinstance(arrives_as, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(value, "HH:mm:ss.SSSSSS")
     if name == "interval" and not rules.interval_as_text:
         if isinstance(arrives_as, T.DayTimeIntervalType):
@@ -238,8 +262,9 @@ def safe_cast(value: Column, name: str, arrives_as: T.DataType, lands_as: T.Data
     """A cast that fails the job instead of changing a value.
 
     Refused are values out of range or not readable, a fraction dropped on the
-    way to a whole number, and a whole number too large for a float to hold. It
-    does not depend on the session's ANSI or time zone settings.
+    way to a whole number or to fewer digits, a time of day dropped on the way to a date, and a
+    whole number too large for a float to hold. It does not depend on the session's ANSI or
+    time zone settings.
     """
     if arrives_as == lands_as:
         return value
@@ -253,6 +278,12 @@ def safe_cast(value: Column, name: str, arrives_as: T.DataType, lands_as: T.Data
         refused = refused | (value != F.floor(value))
     elif isinstance(lands_as, WHOLE) and isinstance(arrives_as, FRACTIONAL):
         refused = refused | (value != F.rint(value))
+    elif isinstance(lands_as, T.DecimalType) and isinstance(arrives_as, T.DecimalType):
+        refused = refused | (value != cast)
+    elif isinstance(lands_as, T.DateType) and isinstance(arrives_as, (T.TimestampType, T.TimestampNTZType)):
+        refused = refused | (cast.cast(arrives_as) != value)
+    elif isinstance(lands_as, T.FloatType) and isinstance(arrives_as, T.DoubleType):
+        refused = refused | ((F.abs(cast) == float("inf")) & (F.abs(value) != float("inf")))
     elif isinstance(arrives_as, WHOLE) and lands_as.typeName() in EXACT_WHOLE_NUMBERS:
         limit = EXACT_WHOLE_NUMBERS[lands_as.typeName()]
         refused = refused | ~value.between(-limit, limit)

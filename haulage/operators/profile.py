@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -13,9 +14,7 @@ from pyspark.sql import types as T
 
 from haulage.functions.types import named
 from haulage.operators.conform import stack_up
-
-HASH_SLOTS = 1 << 16
-MOST_PARAMETERS = 10_000
+from haulage.operators.running import number_rows
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -112,40 +111,67 @@ def in_period(df: DataFrame, column: str, first: str, before: str) -> DataFrame:
 def json_holds(text: Column, wanted: Mapping[str, Any]) -> Column:
     """Whether JSON text contains an object: all its members, at any depth, with their values.
 
-    Numbers compare as numbers. What is not JSON contains nothing.
+    A value matches one of its own kind only: 69 is not "69". Numbers compare as
+    numbers, a list is contained if each of its elements is, in any order. A
+    member that is not there matches nothing, and what is not JSON contains nothing.
     """
-
-    def member(path: str, value: Any) -> Column:
-        if isinstance(value, Mapping):
-            return all_of([member(f"{path}['{key}']", inner) for key, inner in value.items()])
-        found = F.get_json_object(text, path)
-        if isinstance(value, bool):
-            return found == F.lit("true" if value else "false")
-        if isinstance(value, (int, float)):
-            return found.try_cast("double") == F.lit(float(value))
-        if isinstance(value, str):
-            return found == F.lit(value)
-        raise TypeError(f"cannot look for {value!r} in JSON")
-
-    def all_of(conditions: list[Column]) -> Column:
-        return reduce(and_, conditions, F.lit(True))
-
-    return F.coalesce(member("$", wanted), F.lit(False))
+    return F.coalesce(_contains(F.try_parse_json(text), wanted), F.lit(False))
+
+
+def _contains(found: Column, wanted: Any) -> Column:
+    """Whether a variant contains a value; NULL or false where it does not."""
+    shown = F.to_json(found)
+    if isinstance(wanted, Mapping):
+        members = [
+            F.coalesce(_contains(F.try_variant_get(found, _member(key), "variant"), inner), F.lit(False))
+            for key, inner in wanted.items()
+        ]
+        return reduce(and_, members, shown.startswith("{"))
+    if isinstance(wanted, (list, tuple)):
+        elements = F.try_variant_get(found, "$", "array<variant>")
+        held = [F.coalesce(F.exists(elements, _containing(inner)), F.lit(False)) for inner in wanted]
+        return reduce(and_, held, shown.startswith("["))
+    if wanted is None:
+        return shown == F.lit("null")
+    if isinstance(wanted, bool):
+        return shown == F.lit("true" if wanted else "false")
+    if isinstance(wanted, (int, float, Decimal)):
+        number = F.lit(Decimal(str(wanted)))
+        exact = F.when(shown.rlike("^-?[0-9]"), shown).try_cast("decimal(38,10)")
+        return F.coalesce(exact == number, shown.try_cast("double") == F.lit(float(wanted)))
+    if isinstance(wanted, str):
+        return shown.startswith('"') & (F.try_variant_get(found, "$", "string") == F.lit(wanted))
+    raise TypeError(f"cannot look for {wanted!r} in JSON")
+
+
+def _containing(wanted: Any) -> Callable[[Column], Column]:
+    return lambda element: F.coalesce(_contains(element, wanted), F.lit(False))
+
+
+def _member(key: str) -> str:
+    for quote in "'\"":
+        if quote not in key:
+            return f"$[{quote}{key}{quote}]"
+    raise ValueError(f"a key with both kinds of quotes cannot be looked for: {key!r}")
 
 
 def with_parameters(
     df: DataFrame, key: str, names: Sequence[str], parameters: Mapping[str, Sequence], types: str
 ) -> DataFrame:
-    """Add the parameters listed for each row's key; rows with an unlisted key go.
+    """Add the parameters listed for each row's key.
 
-    The list is part of the program. It is broadcast only while it is short.
+    Every row stays. A NULL key has NULL parameters; a key that is not listed
+    fails the job. The list is part of the program.
     """
     listed = df.sparkSession.createDataFrame(
         [(k, *values) for k, values in parameters.items()], f"_key string, {types}"
     )
-    if len(parameters) <= MOST_PARAMETERS:
-        listed = F.broadcast(listed)
-    return df.join(listed, F.col(key) == F.col("_key")).select(*df.columns, *names)
+    message = F.concat(F.lit(f"no parameters are listed for {key} "), named(key).cast("string"))
+    known = F.when(
+        named(key).isNotNull() & F.col("_key").isNull(), F.raise_error(message).cast("boolean")
+    ).otherwise(F.lit(True))
+    joined = df.join(listed, named(key) == F.col("_key"), "left").where(known)
+    return joined.select(*[named(c) for c in df.columns], *names)
 
 
 def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
@@ -158,25 +184,9 @@ def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
 def sample_keys(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     """Exactly ``max(1, floor(n * ratio))`` of n unique keys, the same ones every time.
 
-    The keys with the smallest seeded hash are taken. Sorting them all for a
-    limit would bring the sample into one task, so a histogram of the hash's
-    first digits, of fixed size, finds the slot in which the sample ends: lower
-    slots are taken whole, and only the rest within that one slot is sorted.
+    The keys with the smallest seeded hash are taken: all are numbered in the
+    hash's order, stretch by stretch, and none is sorted into one task.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    slot = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
-    hashed = df.select(key).withColumns({"_hash": digest, "_slot": slot})
-    sizes = {row["_slot"]: row["count"] for row in hashed.groupBy("_slot").count().collect()}
-    left = max(1, int(sum(sizes.values()) * ratio))
-    last = HASH_SLOTS
-    for last in sorted(sizes):
-        if left < sizes[last]:
-            break
-        left -= sizes[last]
-    else:
-        last, left = HASH_SLOTS, 0
-    whole = hashed.where(F.col("_slot") < last).select(key)
-    if left == 0:
-        return whole
-    rest = hashed.where(F.col("_slot") == last).orderBy("_hash", key).limit(left).select(key)
-    return whole.unionByName(rest)
+    numbered = number_rows(df.select(key, digest.alias("_hash")), ["_hash", key], "_number")
+    return numbered.where(F.col("_number") <= max(1, int(df.count() * ratio))).select(key)

@@ -1,7 +1,8 @@
 """Foreign keys over whole tables: existence, navigation and ON DELETE actions.
 
-Where neither side is small enough for Catalyst to broadcast, the children of a
-hot parent key are joined apart from the rest, so that no task gets them all.
+How a join is done is left to Catalyst and its adaptive execution, which sends a small side
+to every task and splits a partition that a frequent key made large. It can split the side a
+join keeps, and either side of an inner join, so joins are written that way round.
 """
 
 from __future__ import annotations
@@ -9,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.operators.conform import stack_up
-from haulage.operators.skew import estimated_bytes, hot_keys, is_hot, spread, task_count
+from haulage.functions.types import named
+from haulage.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -33,57 +33,21 @@ class ForeignKey:
             raise ValueError(f"unknown action {self.on_delete!r}")
 
 
-def catalyst_broadcasts(df: DataFrame) -> bool:
-    """Whether the optimizer itself finds a side small enough to send to every task."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = estimated_bytes(df)
-    text = str(limit).lower().rstrip("b")
-    return size is not None and text.isdigit() and size <= int(text)
-
-
-def _hot_children(
-    child: DataFrame, key: str, parent: DataFrame, hot: Sequence[Any] | None
-) -> Sequence[Any]:
-    if hot is not None:
-        return hot
-    return [] if catalyst_broadcasts(parent) else hot_keys(child, key)
-
-
-def _existence(
-    child: DataFrame, key: str, parent: DataFrame, parent_key: str, how: str, hot
-) -> DataFrame:
-    keys = parent.select(F.col(parent_key).alias("_parent_key"))
-    condition = child[key] == keys["_parent_key"]
-    hot = _hot_children(child, key, keys, hot)
-    if not hot:
-        return child.join(keys, condition, how)
-    # Distinct keys out of a list shorter than the number of tasks: fit to broadcast.
-    few = keys.where(is_hot(F.col("_parent_key"), [v for v in hot if v is not None])).distinct()
-    flag = is_hot(child[key], hot)
-    ordinary = child.where(~flag).join(keys, condition, how)
-    frequent = child.where(flag).join(F.broadcast(few), child[key] == few["_parent_key"], how)
-    return ordinary.unionByName(frequent)
-
-
-def with_parent(
-    child: DataFrame, key: str, parent: DataFrame, parent_key: str, hot: Sequence[Any] | None = None
-) -> DataFrame:
+def with_parent(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose key exists in the parent."""
-    return _existence(child, key, parent, parent_key, "left_semi", hot)
+    keys = parent.select(named(parent_key).alias("_parent_key"))
+    return child.join(keys, child[key] == keys["_parent_key"], "left_semi")
 
 
-def without_parent(
-    child: DataFrame, key: str, parent: DataFrame, parent_key: str, hot: Sequence[Any] | None = None
-) -> DataFrame:
+def without_parent(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose key is missing from the parent; NULL keys are kept."""
-    return _existence(child, key, parent, parent_key, "left_anti", hot)
+    keys = parent.select(named(parent_key).alias("_parent_key"))
+    return child.join(keys, child[key] == keys["_parent_key"], "left_anti")
 
 
-def orphans(
-    child: DataFrame, key: str, parent: DataFrame, parent_key: str, hot: Sequence[Any] | None = None
-) -> DataFrame:
+def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows that break the foreign key; a NULL key refers to nothing and is no violation."""
-    return without_parent(child.where(F.col(key).isNotNull()), key, parent, parent_key, hot)
+    return without_parent(child.where(named(key).isNotNull()), key, parent, parent_key)
 
 
 def orphan_summary(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -100,21 +64,6 @@ def orphan_summary(child: DataFrame, key: str, parent: DataFrame, parent_key: st
     )
 
 
-def _salted(many: DataFrame, one: DataFrame, condition: Column, how: str) -> DataFrame:
-    """Join with the frequent side spread over all tasks and the other copied to each.
-
-    Only rows of hot keys come here, so the copies are of few rows. The salt
-    stays the same when a lost task is run again.
-    """
-    salts = task_count(many)
-    scattered = many.withColumn("_salt", F.pmod(spread(many), F.lit(salts)))
-    copies = one.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    joined = scattered.join(copies, condition & (F.col("_salt") == F.col("_copy")), how)
-    return joined.drop("_salt", "_copy")
-
-
 def _named_apart(
     left: DataFrame, key: str, right: DataFrame, right_key: str
 ) -> tuple[DataFrame, list[Column]]:
@@ -134,78 +83,44 @@ def _named_apart(
     return right.withColumnRenamed(right_key, "_right_key"), columns
 
 
-def look_up(
-    child: DataFrame,
-    key: str,
-    reference: DataFrame,
-    reference_key: str,
-    hot: Sequence[Any] | None = None,
-    hot_reference: Sequence[Any] | None = (),
-) -> DataFrame:
-    """Every child row with the columns of the reference row its key names, or NULLs.
+def _matched_and_not(left: DataFrame, key: str, right: DataFrame, columns: list[Column]) -> DataFrame:
+    """A left join as its matches and its rows without one, since only an inner join splits both sides."""
+    condition = F.col(key) == F.col("_right_key")
+    matched = left.join(right, condition)
+    alone = left.join(right.select("_right_key"), condition, "left_anti")
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+    return matched.select(columns).unionByName(alone.select("*", *missing).select(columns))
 
-    A reference key may repeat, as names do; ``hot_reference=None`` looks for
-    values so frequent there that their reference rows must be spread as well.
-    """
+
+def look_up(child: DataFrame, key: str, reference: DataFrame, reference_key: str) -> DataFrame:
+    """Every child row with the columns of each reference row its key names, or NULLs."""
     reference, columns = _named_apart(child, key, reference, reference_key)
-    condition = F.col(key) == F.col("_right_key")
-    hot = _hot_children(child, key, reference, hot)
-    if hot_reference is None:
-        hot_reference = [] if catalyst_broadcasts(reference) else hot_keys(reference, "_right_key")
-    hot_reference = [v for v in hot_reference if v is not None and v not in hot]
-    if not hot and not hot_reference:
-        return child.join(reference, condition, "left").select(columns)
-    flag, other_flag = is_hot(F.col(key), hot), is_hot(F.col(key), hot_reference)
-    parts = [child.where(~flag & ~other_flag).join(reference, condition, "left")]
-    if hot:
-        named = [value for value in hot if value is not None]
-        some = reference.where(is_hot(F.col("_right_key"), named))
-        parts.append(_salted(child.where(flag), some, condition, "left"))
-    if hot_reference:
-        # These keys do exist in the reference, so no child row goes unmatched.
-        many = reference.where(is_hot(F.col("_right_key"), hot_reference))
-        parts.append(_salted(many, child.where(other_flag), condition, "inner"))
-    return stack_up([part.select(columns) for part in parts])
+    return _matched_and_not(child, key, reference, columns)
 
 
 def children_of(
-    parent: DataFrame,
-    parent_key: str,
-    child: DataFrame,
-    child_key: str,
-    hot: Sequence[Any] | None = None,
+    parent: DataFrame, parent_key: str, child: DataFrame, child_key: str
 ) -> DataFrame:
-    """Every parent row with each of its children, or NULLs where it has none.
-
-    A hot key has children by definition, so its part of the left join is an
-    inner join, which can be salted; a left join could not split the side it
-    does not preserve.
-    """
-    if hot is None:
-        hot = [] if catalyst_broadcasts(child) else hot_keys(child, child_key)
-    hot = [value for value in hot if value is not None]
+    """Every parent row with each of its children, or NULLs where it has none."""
     child, columns = _named_apart(parent, parent_key, child, child_key)
-    condition = F.col(parent_key) == F.col("_right_key")
-    child = child.where(F.col("_right_key").isNotNull())
-    if not hot:
-        return parent.join(child, condition, "left").select(columns)
-    of_child, of_parent = is_hot(F.col("_right_key"), hot), is_hot(F.col(parent_key), hot)
-    ordinary = parent.where(~of_parent).join(child.where(~of_child), condition, "left")
-    frequent = _salted(child.where(of_child), parent.where(of_parent), condition, "inner")
-    return ordinary.select(columns).unionByName(frequent.select(columns))
+    return _matched_and_not(parent, parent_key, child, columns)
 
 
 # --- ON DELETE ----------------------------------------------------------------
 
 
-def null_deleted(
-    child: DataFrame, key: str, deleted: DataFrame, deleted_key: str, hot: Sequence[Any] | None = None
-) -> DataFrame:
+def _marked(rows: DataFrame, key: str, deleted: DataFrame, deleted_key: str) -> DataFrame:
+    """The rows with ``_gone``: whether their key names a deleted parent."""
+    keys = deleted.select(named(deleted_key).alias("_gone_key")).where("_gone_key is not null").distinct()
+    joined = rows.join(keys, rows[key] == keys["_gone_key"], "left")
+    return joined.withColumn("_gone", F.col("_gone_key").isNotNull()).drop("_gone_key")
+
+
+def null_deleted(child: DataFrame, key: str, deleted: DataFrame, deleted_key: str) -> DataFrame:
     """ON DELETE SET NULL: every child row stays, references to deleted parents go."""
     data_type = child.schema[key].dataType
-    gone = deleted.select(F.col(deleted_key).alias("_gone")).where(F.col("_gone").isNotNull())
-    marked = look_up(child, key, gone.distinct(), "_gone", hot)
-    kept = F.when(F.col("_gone").isNull(), F.col(key)).cast(data_type).alias(key)
+    kept = F.when(~F.col("_gone"), F.col(key)).cast(data_type).alias(key)
+    marked = _marked(child, key, deleted, deleted_key)
     return marked.select(*[kept if c == key else F.col(c) for c in child.columns])
 
 
@@ -218,8 +133,10 @@ def delete_rows(
     """All tables as they are after deleting the rows of one that meet a condition.
 
     Tables are visited parents first. Each one's deleted rows are known before
-    its children are visited, so chains of any length follow, one existence join
-    per foreign key that is touched.
+    its children are visited, so chains of any length follow, one marking join
+    per foreign key that is touched. A table that refers to itself is followed level by
+    level until none is left, each level written to the shared folder. Tables that refer to
+    each other in a ring are refused.
     """
     order = TopologicalSorter({name: set() for name in tables})
     for fk in foreign_keys:
@@ -229,16 +146,34 @@ def delete_rows(
     gone: dict[str, DataFrame] = {table: tables[table].where(hit)}
     after = {**tables, table: tables[table].where(~hit)}
     for name in order.static_order():
-        touching = [fk for fk in foreign_keys if fk.child == name and fk.parent in gone]
-        for fk in sorted(touching, key=lambda fk: fk.on_delete != "cascade"):
-            rows, deleted = after[name], gone[fk.parent]
-            # Looked for in the table as given: a plain scan of its key column.
-            hot = _hot_children(tables[name], fk.child_key, deleted.select(fk.parent_key), None)
-            sides = (fk.child_key, deleted, fk.parent_key, hot)
+        own = [fk for fk in foreign_keys if fk.child == name == fk.parent]
+        others = [fk for fk in foreign_keys if fk.child == name != fk.parent and fk.parent in gone]
+        for fk in sorted(others, key=lambda fk: fk.on_delete != "cascade"):
             if fk.on_delete == "cascade":
-                taken = with_parent(rows, *sides)
-                gone[name] = gone[name].unionByName(taken) if name in gone else taken
-                after[name] = without_parent(rows, *sides)
+                _take(after, gone, name, fk, gone[fk.parent])
             else:
-                after[name] = null_deleted(rows, *sides)
+                after[name] = null_deleted(after[name], fk.child_key, gone[fk.parent], fk.parent_key)
+        level = gone.get(name)
+        while own and level is not None:
+            fresh: dict[str, DataFrame] = {}
+            for fk in (fk for fk in own if fk.on_delete == "cascade"):
+                _take(after, fresh, name, fk, level)
+            level = checkpointed(fresh[name]) if fresh else None
+            if level is None or level.isEmpty():
+                break
+            after[name] = checkpointed(after[name])
+            gone[name] = gone[name].unionByName(level)
+        for fk in own if name in gone else ():
+            if fk.on_delete != "cascade":
+                after[name] = null_deleted(after[name], fk.child_key, gone[name], fk.parent_key)
     return after
+
+
+def _take(
+    after: dict[str, DataFrame], gone: dict[str, DataFrame], name: str, fk: ForeignKey, deleted: DataFrame
+) -> None:
+    """Move the rows that refer to deleted ones from what is left to what is gone."""
+    marked = _marked(after[name], fk.child_key, deleted, fk.parent_key)
+    taken = marked.where("_gone").drop("_gone")
+    gone[name] = gone[name].unionByName(taken) if name in gone else taken
+    after[name] = marked.where("not _gone").drop("_gone")

@@ -1,27 +1,20 @@
 """Running values per key that survive one key holding a third of all rows.
 
-Ordinary keys take a plain window. A hot key's rows are cut into ordered
-stretches; each stretch is summed up to one row, the few summaries are carried
-forward, and each row adds what its stretch was handed.
+The order is cut into stretches, the same for all keys. Each key's rows of a stretch are
+summed up to one row, those few are carried forward, and each row adds what its
+stretch was handed. No task needs more of a key than a stretch holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulage.operators.conform import stack_up
-from haulage.operators.skew import (
-    fits_one_task,
-    hot_keys,
-    is_hot,
-    ordered_parts,
-    task_count,
-)
+from haulage.functions.types import named
+from haulage.operators.skew import ordered_parts, task_count
 
 # An amount as the source declares it; totals get ten digits more, balances another three.
 AMOUNT = "decimal(15,2)"
@@ -32,84 +25,61 @@ MONEY = "decimal(28,2)"
 STRETCHES_PER_TASK = 4
 
 
-def _up_to_here(keys: Sequence[str], order: Sequence[str]):
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
+def running_values(
+    df: DataFrame,
+    key: str,
+    order: Sequence[str],
+    move: Column,
+    *,
+    opening: Opening | None = None,
+    parts: int | None = None,
+) -> DataFrame:
+    """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
 
-def _running(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Row count, total and lowest total so far; both windows share one shuffle and sort."""
-    upto = _up_to_here(keys, order)
-    return df.withColumns(
+    A NULL move counts as nothing. Rows without a key make a group like any
+    other. With ``opening``, each row also gets its key's ``_opening``.
+    """
+    columns = [named(c) for c in df.columns]
+    # A struct is never NULL, so a NULL key partitions and joins like the rest.
+    moved = df.withColumns(
+        {"_key": F.struct(named(key)), "_move": F.coalesce(move.cast(AMOUNT), F.lit(0).cast(AMOUNT))}
+    )
+    cut = ordered_parts(moved, order, parts or STRETCHES_PER_TASK * task_count(df), "_part")
+    upto = Window.partitionBy("_key", "_part").orderBy(*order)
+    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumns(
         {"_count": F.count(F.lit(1)).over(upto), "_total": F.sum("_move").over(upto)}
     ).withColumn("_low", F.min("_total").over(upto))
-
-
-def _carried(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
-    """The same three values for hot keys, stretch by stretch; without keys, for one group."""
-    columns = df.columns
-    cut = ordered_parts(df, order, parts, "_part")
-    local = _running(cut, [*keys, "_part"], order)
-    heads = local.groupBy(*keys, "_part").agg(
+    heads = local.groupBy("_key", "_part").agg(
         F.count(F.lit(1)).alias("_part_count"),
         F.sum("_move").alias("_part_total"),
         F.min("_low").alias("_part_low"),
     )
-    # At most one row per hot key and stretch from here on.
-    before = Window.partitionBy(*keys).orderBy("_part")
+    before = Window.partitionBy("_key").orderBy("_part")
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0).cast(TOTAL)
     heads = heads.withColumns(
         {
             "_count_before": F.coalesce(F.sum("_part_count").over(before), F.lit(0)),
-            "_total_before": F.coalesce(F.sum("_part_total").over(before), none).cast(TOTAL),
+            "_total_before": F.coalesce(F.sum("_part_total").over(before), F.lit(0)).cast(TOTAL),
         }
     )
     low_here = (F.col("_total_before") + F.col("_part_low")).cast(TOTAL)
     heads = heads.withColumn("_low_before", F.min(low_here).over(before))
+    handed = ["_count_before", "_total_before", "_low_before"]
+    if opening:
+        heads = opening.added_to(heads)
+        handed.append("_opening")
     # Joined on what the rows are already partitioned by.
-    joined = local.join(
-        heads.drop("_part_count", "_part_total", "_part_low"), [*keys, "_part"]
-    )
+    joined = local.join(heads.select("_key", "_part", *handed), ["_key", "_part"])
     return joined.select(
         *columns,
         (F.col("_count") + F.col("_count_before")).alias("_count"),
         (F.col("_total") + F.col("_total_before")).cast(TOTAL).alias("_total"),
-        F.least(
-            "_low_before", (F.col("_low") + F.col("_total_before")).cast(TOTAL)
-        ).alias("_low"),
+        F.least("_low_before", (F.col("_low") + F.col("_total_before")).cast(TOTAL)).alias("_low"),
+        *(["_opening"] if opening else []),
     )
 
 
-def running_values(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    move: Column,
-    *,
-    hot: Sequence[Any] | None = None,
-    parts: int | None = None,
-) -> list[DataFrame]:
-    """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
-
-    Ordinary keys come first, still partitioned by key; then come hot keys and
-    the rows without a key, if those are many.
-    """
-    moved = df.withColumn("_move", move.cast(AMOUNT))
-    if hot is None:
-        hot = hot_keys(df, key)
-    if not hot:
-        return [_running(moved, [key], order)]
-    parts = parts or STRETCHES_PER_TASK * task_count(df)
-    walked = [_running(moved.where(~is_hot(F.col(key), hot)), [key], order)]
-    named = [value for value in hot if value is not None]
-    if named:
-        walked.append(_carried(moved.where(is_hot(F.col(key), named)), [key], order, parts))
-    if None in hot:
-        walked.append(_carried(moved.where(F.col(key).isNull()), [], order, parts))
-    return walked
-
-
 @dataclass(frozen=True)
 class Opening:
     """Opening balances kept in a table of their own, one row per account."""
@@ -118,21 +88,12 @@ class Opening:
     key: str
     balance: str
 
-    def added_to(self, walked: list[DataFrame], account: str, hot: Sequence[Any]) -> list[DataFrame]:
-        """Join the balances on, which after the window needs no shuffle of the movements.
-
-        Accounts without an opening balance start from nothing.
-        """
+    def added_to(self, heads: DataFrame) -> DataFrame:
+        """The balances beside one row per account and stretch; nothing where there is none."""
         balances = self.accounts.select(
-            F.col(self.key).alias("_account"), F.col(self.balance).alias("_opening")
+            F.struct(named(self.key)).alias("_key"), named(self.balance).cast(AMOUNT).alias("_opening")
         )
-        joined = []
-        for i, rows in enumerate(walked):
-            # All parts but the first hold hot accounts only, fewer than there are tasks.
-            few = balances.where(is_hot(F.col("_account"), hot)) if i else balances
-            side = F.broadcast(few) if i else few
-            joined.append(rows.join(side, F.col(account) == F.col("_account"), "left"))
-        return joined
+        return heads.join(balances.where(F.col("_key")[self.key].isNotNull()), "_key", "left")
 
 
 def ledger(
@@ -143,41 +104,42 @@ def ledger(
     kind: str,
     amount: str,
     credits: Sequence[str],
+    debits: Sequence[str],
     opening: Column | Opening,
-    hot: Sequence[Any] | None = None,
     parts: int | None = None,
 ) -> DataFrame:
-    """Replay movements per account: credits add, all others subtract, never below zero.
+    """Replay movements per account: credits add, debits subtract, never below zero.
 
     Flooring at every step is a fold, yet it has a closed form. With the
     unfloored total S, starting from the opening balance, every unit the floor
     ever gave back is the deepest S went below zero so far:
     balance = S - least(0, lowest S so far).
 
-    ``opening`` is a column of the rows (one value per account) or a table.
+    A NULL amount moves nothing. A kind in neither list, or none, fails the job.
+    ``opening`` is a column of the rows (one value per account) or a table;
+    without an opening balance an account starts from nothing.
     """
-    value = F.col(amount).cast(AMOUNT)
-    signed = F.when(F.col(kind).isin(list(credits)), value).otherwise(-value)
-    if hot is None:
-        hot = hot_keys(df, account)
-    walked = running_values(df, account, order, signed, hot=hot, parts=parts)
+    both = set(credits) & set(debits)
+    if both:
+        raise ValueError(f"kinds {sorted(both)} are both credits and debits")
+    value, which = named(amount).cast(AMOUNT), named(kind)
+    shown = F.coalesce(which.cast("string"), F.lit("NULL"))
+    unknown = F.raise_error(F.concat(F.lit("neither a credit nor a debit: "), shown)).cast(AMOUNT)
+    signed = (
+        F.when(which.isin(list(credits)), value).when(which.isin(list(debits)), -value).otherwise(unknown)
+    )
+    kept = opening if isinstance(opening, Opening) else None
+    rows = running_values(df, account, order, signed, opening=kept, parts=parts)
     nothing = F.lit(0).cast(AMOUNT)
-    if isinstance(opening, Opening):
-        walked = opening.added_to(walked, account, hot)
-        opening = F.coalesce(F.col("_opening").cast(AMOUNT), nothing)
-    start = opening.cast(AMOUNT)
+    start = F.coalesce((F.col("_opening") if kept else opening).cast(AMOUNT), nothing)
     total = start + F.col("_total")
     low = F.least(nothing, start + F.col("_low"))
-    replayed = [
-        rows.select(
-            *df.columns,
-            F.col("_count").alias("position"),
-            total.cast(MONEY).alias("unfloored_balance"),
-            (total - low).cast(MONEY).alias("balance_after"),
-        )
-        for rows in walked
-    ]
-    return stack_up(replayed)
+    return rows.select(
+        *[named(c) for c in df.columns],
+        F.col("_count").alias("position"),
+        total.cast(MONEY).alias("unfloored_balance"),
+        (total - low).cast(MONEY).alias("balance_after"),
+    )
 
 
 def ledger_mismatches(replayed: DataFrame, stored: str, cent: str = "0.01") -> DataFrame:
@@ -199,16 +161,11 @@ def running_count(
     order: Sequence[str],
     *,
     name: str = "running_count",
-    hot: Sequence[Any] | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """How many rows of its key there are up to and including each row."""
-    if hot is None:
-        hot = hot_keys(df, key)
-    if not hot:
-        return df.withColumn(name, F.count(F.lit(1)).over(_up_to_here([key], order)))
-    counted = running_values(df, key, order, F.lit(0), hot=hot, parts=parts)
-    return stack_up([rows.select(*df.columns, F.col("_count").alias(name)) for rows in counted])
+    counted = running_values(df, key, order, F.lit(0), parts=parts)
+    return counted.select(*[named(c) for c in df.columns], F.col("_count").alias(name))
 
 
 def flag_first(
@@ -253,13 +210,8 @@ def number_rows(
     into stretches instead: count each, add up the counts before it, and number
     within it.
     """
-    if parts is None:
-        parts = 1 if fits_one_task(df) else STRETCHES_PER_TASK * task_count(df)
-    if parts == 1:
-        number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-        return df.withColumn(name, number + F.lit(start - 1))
-    cut = ordered_parts(df, order, parts, "_part")
-    # One row per stretch, so a single task and a broadcast are enough for it.
+    cut = ordered_parts(df, order, parts or STRETCHES_PER_TASK * task_count(df), "_part")
+    # One row per stretch: as many as there are tasks, enough for a single one.
     sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -268,7 +220,7 @@ def number_rows(
     )
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")
     numbered = cut.withColumn("_within", within)
-    joined = numbered.join(
-        F.broadcast(starts), numbered["_part"] == starts["_of_part"]
+    joined = numbered.join(starts, numbered["_part"] == starts["_of_part"])
+    return joined.select(
+        *[named(c) for c in df.columns], (F.col("_within") + F.col("_offset")).alias(name)
     )
-    return joined.select(*df.columns, (F.col("_within") + F.col("_offset")).alias(name))

@@ -1,17 +1,11 @@
-"""Keep any one task from getting a hot key's rows whole.
-
-A key is hot when it alone holds more rows than an average task should get.
-Fewer than one key per task can be, so the list of hot keys is short whatever
-the size of the table.
-"""
+"""Cut work so that its pieces follow the size of the input, whatever the keys look like."""
 
 from __future__ import annotations
 
 import math
 import sys
 from collections import Counter
-from collections.abc import Sequence
-from typing import Any
+from collections.abc import Iterator, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -20,30 +14,34 @@ from pyspark.sql import types as T
 
 from haulage.functions.types import named, wall_clock_micros
 
-# Up to this size a whole table is fit for one task, and so is any group in it.
-ONE_TASK_BYTES = 16 * 1024 * 1024
 TASK_BYTES = 128 * 1024 * 1024
-MOST_PARTS = 4096
+# What the optimizer says of a relation whose size it does not know is of this order.
+UNKNOWN_BYTES = 1 << 60
+# A double holds any six bytes exactly.
+BYTES_A_CUT = 6
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, the one it decides about broadcasts with."""
+    """The optimizer's size estimate, where it has one."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except AttributeError:
         return None
+    return size if size < UNKNOWN_BYTES else None
 
 
-def task_count(df: DataFrame, most: int = MOST_PARTS) -> int:
+def task_count(df: DataFrame) -> int:
     """How many tasks to spread a table over: the session's number, or more by its size."""
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_size = (estimated_bytes(df) or 0) // TASK_BYTES
-    return max(1, min(most, max(wanted, by_size)))
+    return max(1, wanted, (estimated_bytes(df) or 0) // TASK_BYTES)
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= ONE_TASK_BYTES
+def _has_map(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _has_map(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return any(_has_map(f.dataType) for f in data_type.fields)
+    return isinstance(data_type, (T.MapType, T.VariantType))
 
 
 def spread(df: DataFrame) -> Column:
@@ -53,90 +51,71 @@ def spread(df: DataFrame) -> Column:
     row scatter too, since they do not all come from one partition.
     """
     hashable = [
-        F.to_json(named(f.name))
-        if isinstance(f.dataType, (T.MapType, T.VariantType))
-        else named(f.name)
+        F.to_json(F.struct(named(f.name))) if _has_map(f.dataType) else named(f.name)
         for f in df.schema.fields
     ]
     return F.xxhash64(*hashable, F.spark_partition_id())
 
 
-def hot_values(df: DataFrame, key: str, share: float | None = None) -> list[Any]:
-    """Values of a key column (None included) that hold more than a share of the rows.
+def _positions(df: DataFrame, field: T.StructField) -> Iterator[Column]:
+    """A column as doubles that never decrease, one after another, when the column increases.
 
-    Two narrow passes over one column. The first keeps a fixed number of
-    counters and cannot miss a frequent value, only add others; the second
-    counts those candidates exactly. Nothing of the size of the key set is
-    shuffled or collected.
+    Text and bytes take as many as the longest value needs, six bytes each.
     """
-    if share is None:
-        share = 1.0 / task_count(df)
-    share = min(1.0, max(share, 1e-4))
-    hashed = df.select(F.col(key).alias("value"), F.xxhash64(key).alias("hash"))
-    # The counters keep a value whose share exceeds the support; half leaves room.
-    candidates = hashed.stat.freqItems(["hash"], max(share / 2, 1e-4)).first()[0]
-    if not candidates:
-        return []
-    frequent = F.col("hash").isin(list(candidates))
-    counts = (
-        hashed.select(frequent.alias("frequent"), F.when(frequent, F.col("value")).alias("value"))
-        .groupBy("frequent", "value")
-        .count()
-        .collect()
-    )
-    total = sum(row["count"] for row in counts)
-    return [r["value"] for r in counts if r["frequent"] and r["count"] > share * total]
-
-
-def hot_keys(df: DataFrame, key: str) -> list[Any]:
-    """Hot values of a table; a table small enough for one task has none worth splitting."""
-    return [] if fits_one_task(df) else hot_values(df, key)
-
-
-def is_hot(key: Column, hot: Sequence[Any]) -> Column:
-    """Whether a key is among the hot ones; never NULL, so it splits a table in two."""
-    found = F.coalesce(key.isin([v for v in hot if v is not None]), F.lit(False))
-    return found | key.isNull() if None in hot else found & key.isNotNull()
-
-
-def _position(field: T.StructField) -> Column:
-    """A column as a double that never decreases when the column increases."""
-    value = F.col(field.name)
+    value = named(field.name)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        raw = value.cast("binary")
+        longest = df.agg(F.max(F.octet_length(raw))).first()[0] or 0
+        for at in range(1, longest + 1, BYTES_A_CUT):
+            digits = F.rpad(F.hex(F.substring(raw, at, BYTES_A_CUT)), 2 * BYTES_A_CUT, "0")
+            yield F.when(value.isNull(), -1.0).otherwise(F.conv(digits, 16, 10).cast("double"))
+        # Values that differ in nothing but bytes of zero at their end.
+        yield F.coalesce(F.octet_length(raw).cast("double"), F.lit(-1.0))
+        return
+    whole = isinstance(field.dataType, (T.LongType, T.TimestampType, T.TimestampNTZType))
     if isinstance(field.dataType, T.DateType):
         value = F.unix_date(value)
     elif isinstance(field.dataType, T.TimestampType):
         value = F.unix_micros(value)
     elif isinstance(field.dataType, T.TimestampNTZType):
         value = wall_clock_micros(value)
+    elif isinstance(field.dataType, T.BooleanType):
+        value = value.cast("int")
     elif not isinstance(field.dataType, T.NumericType):
         raise TypeError(f"cannot cut the order of {field.name}: {field.dataType.simpleString()}")
     # NULLs sort first and NaN last; as finite numbers they take part in the cuts.
     largest = F.lit(sys.float_info.max)
-    number = F.nanvl(value.cast("double"), largest)
+    number = F.shiftright(value, 32) if whole else value
+    number = F.nanvl(number.cast("double"), largest)
     number = F.greatest(F.least(number, largest), -largest)
-    return F.when(value.isNull(), -largest).otherwise(number)
+    yield F.when(value.isNull(), -largest).otherwise(number)
+    # A double holds 53 bits; what is over comes second.
+    if whole:
+        yield F.coalesce(value.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"), F.lit(-1.0))
+    elif isinstance(field.dataType, T.DecimalType):
+        near = value.cast("double").try_cast(field.dataType)
+        yield F.coalesce((value - near).cast("double"), F.lit(0.0))
 
 
 def ordered_parts(
     df: DataFrame, order: Sequence[str], parts: int, name: str = "part"
 ) -> DataFrame:
-    """Number stretches of an ordering so that none holds many more rows than the others.
+    """Name stretches of an ordering so that none holds many more rows than the others.
 
-    Rows of a lower number come before rows of a higher one. The cuts are
+    A stretch's name is a list of numbers; rows of a lower name come before rows of a higher one. The cuts are
     quantiles of the first ordering column, a list of ``parts`` numbers. A value
     that spans several cuts is too frequent for one stretch: its rows are cut
-    again by the next ordering column. The cuts are constants in the plan, so
-    every use and every retry of it numbers alike.
+    again by what comes next in the order. The cuts are constants in the plan, so
+    every use and every retry of it names alike.
     """
-    parts = min(parts, MOST_PARTS)
     if parts <= 1:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
+        return df.withColumn(name, F.array(F.lit(0).cast("bigint")))
     fields = {field.name: field for field in df.schema.fields}
-    number = F.lit(0).cast("bigint")
-    undecided = F.lit(True)
-    for level, column in enumerate(order):
+    slots, undecided = [], F.lit(True)
+    levels = (p for column in order for p in _positions(df, fields[column]))
+    for level, position in enumerate(levels):
         at, slot = f"_at{level}", f"_slot{level}"
-        df = df.withColumn(at, _position(fields[column]))
+        df = df.withColumn(at, position)
         fractions = [i / parts for i in range(1, parts)]
         cuts = df.where(undecided).select(at).approxQuantile(at, fractions, 1 / (4 * parts))
         frequent = sorted(cut for cut, times in Counter(cuts).items() if times > 2)
@@ -145,12 +124,10 @@ def ordered_parts(
         edges = [edge for edge in edges if edge < math.inf] or [0.0]
         splits = [-math.inf, *edges, math.inf]
         df = Bucketizer(splits=splits, inputCol=at, outputCol=slot).transform(df)
-        found = F.when(undecided, F.col(slot).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        number = number * (2 * parts) + found
-        if not frequent or level + 1 == len(order):
+        # Never NULL, and known to be: joins on it then add no filter to either side.
+        slots.append(F.coalesce(F.when(undecided, F.col(slot).cast("bigint")), F.lit(0).cast("bigint")))
+        if not frequent:
             break
         undecided = undecided & F.col(at).isin(frequent)
     scratch = [c for c in df.columns if c not in fields]
-    # Never NULL, and known to be: joins on it then add no filter to either side.
-    return df.withColumn(name, F.coalesce(number, F.lit(0).cast("bigint"))).drop(*scratch)
-
+    return df.withColumn(name, F.array(*slots)).drop(*scratch)

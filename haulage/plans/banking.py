@@ -283,6 +283,7 @@ def check_rules(table: str, as_of: Column | None = None) -> list[Rule]:
         return [
             Rule("loan type is known", quality.in_set(c("loan_type"), LOAN_TYPES)),
             Rule("principal is positive", quality.positive(c("principal_amount"))),
+            Rule("principal fits the loan type", principal_in_range()),
             Rule("outstanding is not negative", quality.not_negative(c("outstanding_balance"))),
             Rule("term is positive", quality.positive(c("term_months"))),
             Rule("maturity follows origination", c("maturity_date") > c("origination_date")),
@@ -312,6 +313,15 @@ def check_rules(table: str, as_of: Column | None = None) -> list[Rule]:
     raise ValueError(f"unknown table {table!r}")
 
 
+def principal_in_range() -> Column:
+    """Whether a loan's principal lies in the range of its type; NULL for an unknown type."""
+    amount, kind = F.col("principal_amount"), F.col("loan_type")
+    holds = F.lit(None).cast("boolean")
+    for name, (_, _, lowest, highest) in LOAN_TERMS.items():
+        holds = F.when(kind == name, quality.in_range(amount, lowest, highest)).otherwise(holds)
+    return holds
+
+
 def all_rules(table: str, as_of: Column | None = None) -> list[Rule]:
     return declared_rules(table) + check_rules(table, as_of)
 
@@ -342,9 +352,7 @@ def delete_users(tables: Mapping[str, DataFrame], condition: Column) -> dict[str
 def with_merchants(transactions: DataFrame, merchants: DataFrame) -> DataFrame:
     """Every transaction with the id of the merchants its free text names, if any."""
     names = merchants.select("merchant_id", F.col("name").alias("merchant_name"))
-    matched = relate.look_up(
-        transactions, "merchant", names, "merchant_name", hot_reference=None
-    )
+    matched = relate.look_up(transactions, "merchant", names, "merchant_name")
     return matched.drop("merchant_name")
 
 
@@ -360,5 +368,6 @@ def replay_transactions(transactions: DataFrame, users: DataFrame) -> DataFrame:
         kind="transaction_type",
         amount="amount",
         credits=CREDITS,
+        debits=[kind for kind in TRANSACTION_TYPES if kind not in CREDITS],
         opening=Opening(users, "user_id", "balance"),
     )

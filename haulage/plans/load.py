@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from graphlib import TopologicalSorter
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.functions.types import SourceColumn, columns_of, landing_schema, parse_type
-from haulage.operators.conform import conform, with_defaults
+from haulage.functions.types import SourceColumn, columns_of, landing_schema, named, parse_type
+from haulage.operators.conform import conform, stack_up, with_defaults
+from haulage.operators.quality import Rule, judged
 from haulage.operators.running import number_rows
+from haulage.operators.skew import spread
 from haulage.plans.spec import LoadSpec
 from haulage.sources import files, jdbc
 from haulage.tables.snapshots import Commit, SnapshotTables
@@ -48,19 +52,31 @@ def load(
     spec: LoadSpec,
     tables: SnapshotTables | None = None,
     snapshot_id: int | None = None,
+    checks: Sequence[Rule] = (),
+    unique: Sequence[Sequence[str]] = (),
 ) -> Commit:
     """Run one load: scan, conform, guard, write and commit, in a single Spark job.
 
     A plain load has no shuffle; every source partition is converted and written
-    by the task that read it.
+    by the task that read it. With ``checks``, only rows that break none are loaded. With
+    ``unique``, a list of keys, neither are rows whose key is in the table that is
+    appended to, nor all but one of the rows that share a key. The rest goes to the table
+    ``<target>_rejected``, appended or overwritten likewise, with the names of the rules
+    each row breaks.
     """
     if tables is None:
         if spec.warehouse is None:
             raise ValueError("name a bucket in the spec or pass the target tables")
         tables = SnapshotTables(spark, spec.warehouse)
     df, columns = describe_source(spark, spec)
+    rows = conform(df, columns, spec.rules)
+    if checks or unique:
+        there = spec.mode == "append" and tables.exists(spec.target)
+        stored = tables.read(spec.target) if there else None
+        rows, rejected = screened(rows, checks, unique, stored)
+        tables.write(rejected, f"{spec.target}_rejected", spec.mode, snapshot_id=snapshot_id)
     return tables.write(
-        conform(df, columns, spec.rules),
+        rows,
         spec.target,
         spec.mode,
         schema=landing_schema(columns, spec.rules, df.schema),
@@ -70,6 +86,36 @@ def load(
     )
 
 
+def screened(
+    rows: DataFrame,
+    checks: Sequence[Rule],
+    unique: Sequence[Sequence[str]],
+    stored: DataFrame | None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be loaded, and the others with ``broken_rules``.
+
+    Of new rows that share a key, the one with the least hash of all its columns stays, and of equal rows
+    one. A key with a NULL in it equals no other. A key of rows that break a rule is free.
+    """
+    names = rows.columns
+    judged_rows = judged(rows, checks)
+    refused = [judged_rows.where("not accepted").drop("accepted")]
+    left = judged_rows.where("accepted").select(*names)
+    for keys in unique:
+        rule = F.array(F.lit(f"{', '.join(keys)} is unique")).alias("broken_rules")
+        whole = reduce(and_, [named(key).isNotNull() for key in keys])
+        if stored is not None:
+            taken = stored.select(*[named(k).alias(f"_stored{i}") for i, k in enumerate(keys)]).distinct()
+            same = reduce(and_, [named(k) == F.col(f"_stored{i}") for i, k in enumerate(keys)])
+            refused.append(left.join(taken, same, "left_semi").select(*names, rule))
+            left = left.join(taken, same, "left_anti")
+        order = Window.partitionBy(*map(named, keys)).orderBy(spread(left))
+        ranked = left.where(whole).withColumn("_rank", F.row_number().over(order))
+        refused.append(ranked.where("_rank > 1").select(*names, rule))
+        left = ranked.where("_rank = 1").select(*names).unionByName(left.where(~whole))
+    return left, stack_up(refused)
+
+
 def insert(
     tables: SnapshotTables,
     name: str,

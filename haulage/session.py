@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -28,22 +26,25 @@ def build_session(app: str = "haulage", master: str | None = None, **extra: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the session names it in spark.checkpoint.dir.
 
-    A machine-local folder is used only where the setting is absent and the
-    session itself is local, as in tests.
+    Where the setting is absent from a session that is itself local, as in tests, a folder
+    beside its warehouse is taken.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return local_folder()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
 
 
-@cache
-def local_folder() -> str:
-    return tempfile.mkdtemp(prefix="haulage-")
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder, their lineage cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def fresh_warehouse(spark: SparkSession) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.operators.conform import align
+from haulage.operators.skew import spread
 from haulage.tables.snapshots import Commit, split_name
 
 LOAD_ID = "haulage-load-id"
@@ -101,8 +102,9 @@ class IcebergTables:
             layout = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
             self.spark.sql(f"CREATE OR REPLACE TABLE {full} ({schema.toDDL()}) USING iceberg{layout}")
         if cluster_by:
-            df = df.repartitionByRange(*partition_by, *cluster_by)
-            df = df.sortWithinPartitions(*partition_by, *cluster_by)
+            df = df.withColumn("_spread", spread(df))
+            df = df.repartitionByRange(*partition_by, *cluster_by, "_spread")
+            df = df.sortWithinPartitions(*partition_by, *cluster_by).drop("_spread")
         writer = df.writeTo(full)
         if snapshot_id is not None:
             writer = writer.option(f"snapshot-property.{LOAD_ID}", str(snapshot_id))

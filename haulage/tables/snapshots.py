@@ -36,7 +36,6 @@ LOG_SCHEMA = T.StructType(
 
 STARTS_OVER = ("overwrite", "truncate")
 NAMESPACE_MARK = ""
-MOST_FILES = 20_000
 
 
 @dataclass(frozen=True)
@@ -241,18 +240,28 @@ class SnapshotTables:
             df = align(df, schema)
         schema = schema or T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
 
-        counter = Observation()
-        rows = df.observe(counter, F.count(F.lit(1)).alias("rows_loaded"))
+        if "load_snapshot" in df.columns:
+            raise ValueError("load_snapshot is the name of the folders' column; rename the source's")
+        for field in df.schema.fields:
+            if field.name in partition_by and isinstance(field.dataType, T.StringType):
+                # A folder's name cannot tell an empty text from NULL.
+                message = F.lit(f"column {field.name} cannot lay out a table: it holds an empty text")
+                own = named(field.name)
+                guarded = F.when(own == "", F.raise_error(message)).otherwise(own)
+                df = df.withColumn(field.name, guarded)
+        rows = df
         if cluster_by:
             # Neighbouring keys share files and row groups, so that lookups on
             # them skip the rest by the min/max in the footers.
             # What ends the ordering splits a key, or copies of a row, too
             # frequent for one task.
             order = [*partition_by, *cluster_by]
-            files = task_count(rows, MOST_FILES)
             rows = rows.withColumn("_spread", spread(rows))
-            rows = rows.repartitionByRange(files, *order, "_spread")
+            rows = rows.repartitionByRange(task_count(rows), *order, "_spread")
             rows = rows.sortWithinPartitions(*order).drop("_spread")
+        # Counted behind the shuffle, which reads what is below it twice.
+        counter = Observation()
+        rows = rows.observe(counter, F.count(F.lit(1)).alias("rows_loaded"))
         # Whatever a dead attempt left in the folder goes, whole.
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
         if partition_by:

@@ -13,11 +13,11 @@ from haulage.workload import query
 
 # Term in months and yearly rate per order priority.
 TERMS = {
-    "1-URGENT": (360, "5.500"),
-    "2-HIGH": (60, "7.200"),
-    "3-MEDIUM": (36, "11.900"),
-    "4-NOT SPECIFIED": (120, "6.100"),
-    "5-LOW": (24, "17.500"),
+    "1-URGENT": (12, "4.250"),
+    "2-HIGH": (18, "8.750"),
+    "3-MEDIUM": (30, "9.400"),
+    "4-NOT SPECIFIED": (48, "3.300"),
+    "5-LOW": (96, "10.050"),
 }
 TERM_VALUES = ", ".join(f"('{k}', {term}, {rate})" for k, (term, rate) in TERMS.items())
 
@@ -58,6 +58,16 @@ def surrogate_key(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(events, ["ts", "event_id"], "audit_id")
 
 
+@query(
+    "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) AS row_id, o_orderkey, o_orderpriority"
+    " FROM orders"
+)
+def number_by_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Gapless numbers in the order of a text that few values fill."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return number_rows(orders, ["o_orderpriority", "o_orderkey"])
+
+
 @query("SELECT p_partkey, substr(p_name, 1, 8) AS short_name FROM part")
 def text_truncate(spark: SparkSession, folder: str) -> DataFrame:
     short = derive.truncated(F.col("p_name"), 8)

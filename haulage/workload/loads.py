@@ -15,6 +15,7 @@ from haulage.functions.types import (
 )
 from haulage.operators import conform as shaping
 from haulage.operators import profile
+from haulage.operators.quality import Rule
 from haulage.plans.load import insert, load, load_all
 from haulage.plans.spec import LoadSpec
 from haulage.session import fresh_warehouse
@@ -113,15 +114,56 @@ def load_retried(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("sales.orders")
 
 
-@query("SELECT * FROM orders")
+@query("SELECT *, (SELECT count(*) FROM orders) AS reported FROM orders")
 def load_clustered(spark: SparkSession, folder: str) -> DataFrame:
-    """A load laid out by status and customer, for lookups to skip what they do not need."""
+    """A load laid out by status and customer, for lookups to skip what they do not need, and its row count."""
     tables = new_tables(spark)
     spec = file_spec(
         folder, "orders", partition_by=("o_orderstatus",), cluster_by=("o_custkey", "o_orderkey")
     )
-    load(spark, spec, tables)
-    return tables.read("default.orders")
+    done = load(spark, spec, tables)
+    return tables.read("default.orders").withColumn("reported", F.lit(done.rows_loaded).cast("bigint"))
+
+
+@query(
+    "SELECT 'loaded' AS part, count(*) AS rows, count(*) AS reported FROM orders"
+    " WHERE o_totalprice <= 300000 AND o_orderstatus <> 'P'"
+    " UNION ALL SELECT 'rejected', count(*), count(*) FROM orders"
+    " WHERE o_totalprice > 300000 OR o_orderstatus = 'P'"
+)
+def load_with_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that break a rule go to a table of their own; both are reported and read back."""
+    tables = new_tables(spark)
+    checks = [
+        Rule("price is at most 300000", F.col("o_totalprice") <= 300000),
+        Rule("order is decided", F.col("o_orderstatus") != "P"),
+    ]
+    load(spark, file_spec(folder, "orders", namespace="sales"), tables, checks=checks)
+    return counted_back(tables, {"loaded": "sales.orders", "rejected": "sales.orders_rejected"})
+
+
+@query(
+    "SELECT 'loaded' AS part, count(*) AS rows, count(*) AS reported FROM orders"
+    " UNION ALL SELECT 'rejected', count(*), count(*) FROM orders WHERE o_orderstatus = 'F'"
+)
+def append_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Appending all orders to those already there adds only the ones whose key is new."""
+    tables = new_tables(spark)
+    orders = table(spark, folder, "orders")
+    tables.write(orders.where(F.col("o_orderstatus") == "F"), "sales.orders", "append")
+    spec = file_spec(folder, "orders", namespace="sales", mode="append")
+    load(spark, spec, tables, unique=[["o_orderkey"]])
+    return counted_back(tables, {"loaded": "sales.orders", "rejected": "sales.orders_rejected"})
+
+
+def counted_back(tables: SnapshotTables, names: dict[str, str]) -> DataFrame:
+    """Rows read back from tables, beside the rows their loads reported."""
+    read = profile.table_stats({part: tables.read(name) for part, name in names.items()})
+    told = tables.row_counts().withColumnRenamed("rows", "reported")
+    full = F.concat_ws(".", "namespace", "table_name")
+    parts = F.coalesce(*[F.when(full == name, F.lit(part)) for part, name in names.items()])
+    told = told.select(parts.alias("table_name"), "reported")
+    return read.join(told, "table_name").withColumnRenamed("table_name", "part")
 
 
 @query(
@@ -225,13 +267,13 @@ def drop_tables(spark: SparkSession, folder: str) -> DataFrame:
     " UNION ALL SELECT 'sales.line', count(*), 'append' FROM lineitem"
 )
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Three loads in dependency order, one report row each."""
+    """Three loads in dependency order, the last one clustered, one report row each."""
     specs = {
         "customers": file_spec(folder, "customer", namespace="sales"),
         "orders": file_spec(folder, "orders", namespace="sales", depends_on=("customers",)),
         "lines": file_spec(
             folder, "lineitem", namespace="sales", target_name="line", mode="append",
-            depends_on=("orders",),
+            depends_on=("orders",), cluster_by=("l_partkey",),
         ),
     }
     return load_all(spark, specs, new_tables(spark))
@@ -306,17 +348,25 @@ def conform_types(spark: SparkSession, folder: str) -> DataFrame:
     " to_json({'brand': p_brand, 'size': p_size})::VARCHAR AS metadata,"
     " '\\x' || lower(hex(p_brand)) AS token,"
     " (p_size::BIGINT * 86400000000000)::VARCHAR AS grace,"
+    " (p_size::BIGINT * 604800000000000)::VARCHAR AS weeks,"
+    " (-p_size::BIGINT * 3600000000000)::VARCHAR AS hours_ago,"
+    " (p_size::BIGINT * 86400000000000 + 7200000000000)::VARCHAR AS spell,"
+    " make_timestamp(p_partkey * 1000001) AS seen_at,"
     " strftime(make_timestamp(p_partkey * 1000001), '%H:%M:%S.%f') AS due_time,"
     " p_type AS part_uuid FROM part"
 )
 def unmapped_to_string(spark: SparkSession, folder: str) -> DataFrame:
-    """Arrays, JSON, bytes, intervals and times land as text."""
+    """Arrays, JSON, bytes, intervals and times land as text; a timestamp of six digits as itself."""
     columns = [
         SourceColumn("p_partkey", "bigint"),
         SourceColumn("tags", "ARRAY"),
         SourceColumn("metadata", "jsonb"),
         SourceColumn("token", "bytea"),
         SourceColumn("grace", "interval"),
+        SourceColumn("weeks", "interval"),
+        SourceColumn("hours_ago", "interval"),
+        SourceColumn("spell", "interval"),
+        SourceColumn("seen_at", "timestamp(6) without time zone"),
         SourceColumn("due_time", "time without time zone"),
         SourceColumn("part_uuid", "uuid"),
     ]
@@ -326,6 +376,10 @@ def unmapped_to_string(spark: SparkSession, folder: str) -> DataFrame:
         F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")).alias("metadata"),
         F.encode("p_brand", "UTF-8").alias("token"),
         F.make_dt_interval(F.col("p_size")).alias("grace"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" weeks")).alias("weeks"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" hours ago")).alias("hours_ago"),
+        F.concat(F.lit("P"), F.col("p_size").cast("string"), F.lit("DT2H")).alias("spell"),
+        wall_clock(F.col("p_partkey") * 1_000_001).alias("seen_at"),
         wall_clock(F.col("p_partkey") * 1_000_001).alias("due_time"),
         F.col("p_type").alias("part_uuid"),
     )

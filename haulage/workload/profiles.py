@@ -85,10 +85,24 @@ def lookup_composite(spark: SparkSession, folder: str) -> DataFrame:
     return profile.where_equal(table(spark, folder, "lineitem"), l_returnflag="R", l_suppkey=5)
 
 
-@query("SELECT event_id, props FROM events WHERE props ->> '$.k' = '69'")
+@query(
+    "SELECT event_id, props, (props ->> '$.k')::INT = 69 AS number, false AS text, true AS any_object,"
+    " true AS nested, true AS listed FROM events"
+)
 def json_contains(spark: SparkSession, folder: str) -> DataFrame:
+    """What each event's properties contain, also wrapped in an object and in a list."""
     events = table(spark, folder, "events").select("event_id", "props")
-    return events.where(profile.json_holds(F.col("props"), {"k": 69}))
+    props = F.col("props")
+    wrapped = F.concat(F.lit('{"of": '), props, F.lit(', "none": null, "tags": [1, "a", {"b": [2]}]}'))
+    return events.withColumns(
+        {
+            "number": profile.json_holds(props, {"k": 69}),
+            "text": profile.json_holds(props, {"k": "69"}),
+            "any_object": profile.json_holds(props, {}),
+            "nested": profile.json_holds(wrapped, {"of": {}, "none": None}),
+            "listed": profile.json_holds(wrapped, {"tags": [{"b": []}, "a"]}),
+        }
+    )
 
 
 # --- ledger -------------------------------------------------------------------
@@ -113,6 +127,7 @@ def event_ledger(spark: SparkSession, folder: str) -> DataFrame:
         kind="event_type",
         amount="value",
         credits=["signup", "view"],
+        debits=["click", "error", "purchase"],
         opening=F.lit(1000),
     )
 
@@ -157,11 +172,36 @@ def ledger_from_opening(spark: SparkSession, folder: str) -> DataFrame:
         kind="o_orderstatus",
         amount="o_totalprice",
         credits=["F"],
+        debits=["O", "P"],
         opening=Opening(customers, "c_custkey", "balance"),
     )
     return replayed.select("o_orderkey", "o_custkey", "balance_after")
 
 
+@query(
+    "SELECT event_id, s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY event_id"
+    " ROWS UNBOUNDED PRECEDING)) AS balance_after FROM (SELECT *, 1000::DECIMAL(28,2) +"
+    " sum(CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 WHEN 'view' THEN 1 ELSE -1 END"
+    " * value::DECIMAL(15,2)) OVER (PARTITION BY user_id ORDER BY event_id"
+    " ROWS UNBOUNDED PRECEDING) AS s FROM events)"
+)
+def ledger_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Movements without an amount, here those of every error, move nothing."""
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", value.alias("value"))
+    replayed = running.ledger(
+        events,
+        account="user_id",
+        order=["event_id"],
+        kind="event_type",
+        amount="value",
+        credits=["signup", "view"],
+        debits=["click", "error", "purchase"],
+        opening=F.lit(1000),
+    )
+    return replayed.select("event_id", F.col("balance_after"))
+
+
 @query(
     "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1"
     " AS is_primary FROM orders"

@@ -29,7 +29,7 @@ USER = dict(
     created_at=dt.datetime(2020, 1, 1), last_login=dt.datetime(2024, 1, 10),
 )
 LOAN = dict(
-    loan_id=1, user_id=1, account_id=2**53 + 1, loan_type="auto", principal_amount=Decimal(100),
+    loan_id=1, user_id=1, account_id=2**53 + 1, loan_type="auto", principal_amount=Decimal(15_000),
     outstanding_balance=Decimal(0), interest_rate=Decimal("7.2"), term_months=60,
     monthly_payment=Decimal("1.92"), grace_period="30 days",
     payment_due_time=dt.datetime(1970, 1, 1, 9), origination_date=dt.date(2020, 1, 1),
@@ -112,6 +112,9 @@ def test_loans_land_and_check(spark, tables):
     assert broken(frame(spark, "loans", bad), "loans") == [
         ["maturity follows origination", "paid off loans owe nothing", "collateral only where secured"]
     ]
+    for amount, wrong in ((14_999, True), (60_000, False), (60_001, True)):
+        loan = frame(spark, "loans", {**LOAN, "principal_amount": Decimal(amount)})
+        assert broken(loan, "loans") == [["principal fits the loan type"] * wrong]
 
 
 def test_merchants_and_audit_rows_land_as_text(spark):

@@ -5,9 +5,6 @@ from haulage.operators import relate
 from haulage.operators.relate import ForeignKey
 from tests.conftest import plan_of, rows
 
-HOT = [None, [], [7], [7, None], [7, 1, 55]]
-
-
 @pytest.fixture
 def parent(spark):
     return spark.createDataFrame([(k, f"p{k}") for k in (1, 2, 3, 7, 8)], "pk bigint, name string")
@@ -19,76 +16,61 @@ def child(spark):
     return spark.createDataFrame(data, "id int, fk int")
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_existence(parent, child, hot):
-    found = relate.with_parent(child, "fk", parent, "pk", hot)
+def test_existence(parent, child):
+    found = relate.with_parent(child, "fk", parent, "pk")
     assert len(rows(found)) == 32
-    assert rows(relate.orphans(child, "fk", parent, "pk", hot)) == [(102, 55)]
-    kept = rows(relate.without_parent(child, "fk", parent, "pk", hot))
+    assert rows(relate.orphans(child, "fk", parent, "pk")) == [(102, 55)]
+    kept = rows(relate.without_parent(child, "fk", parent, "pk"))
     assert [r[0] for r in kept] == [102, 103, 104]
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_look_up_keeps_every_child(parent, child, hot):
-    found = rows(relate.look_up(child, "fk", parent, "pk", hot), "id", "name")
+def test_look_up_keeps_every_child(parent, child):
+    found = rows(relate.look_up(child, "fk", parent, "pk"), "id", "name")
     assert len(found) == 35
     assert dict(found)[102] is None and dict(found)[103] is None and dict(found)[5] == "p7"
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_children_of_keeps_every_parent(parent, child, hot):
-    found = rows(relate.children_of(parent, "pk", child, "fk", hot), "pk", "name", "id")
+def test_children_of_keeps_every_parent(parent, child):
+    found = rows(relate.children_of(parent, "pk", child, "fk"), "pk", "name", "id")
     assert sorted({pk for pk, _, _ in found}) == [1, 2, 3, 7, 8]
     assert len(found) == 30 + 1 + 1 + 2
     assert [i for pk, _, i in found if pk in (3, 8)] == [None, None]
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_reference_with_repeated_names(spark, child, hot):
+def test_reference_with_repeated_names(spark, child):
     names = spark.createDataFrame([(7, "a"), (7, "b")], "pk int, name string")
-    found = rows(relate.look_up(child, "fk", names, "pk", hot), "id", "name")
+    found = rows(relate.look_up(child, "fk", names, "pk"), "id", "name")
     assert len(found) == 30 * 2 + 5
 
 
-@pytest.mark.parametrize("hot", [None, [7]])
-def test_keys_of_the_same_name_appear_once(parent, child, hot):
+def test_keys_of_the_same_name_appear_once(parent, child):
     parent, child = parent.withColumnRenamed("pk", "k"), child.withColumnRenamed("fk", "k")
-    found = relate.children_of(parent, "k", child, "k", hot)
+    found = relate.children_of(parent, "k", child, "k")
     assert found.columns == ["k", "name", "id"] and found.where("k IS NULL").count() == 0
-    found = relate.look_up(child, "k", parent, "k", hot)
+    found = relate.look_up(child, "k", parent, "k")
     assert found.columns == ["id", "k", "name"] and found.count() == 35
     with pytest.raises(ValueError, match="both sides have columns"):
-        relate.look_up(child, "k", parent.withColumnRenamed("name", "id"), "k", hot)
+        relate.look_up(child, "k", parent.withColumnRenamed("name", "id"), "k")
 
 
-@pytest.mark.parametrize("hot", [[], [7], [1, None]])
-@pytest.mark.parametrize("hot_reference", [(), [1, 2], [7, 2]])
-def test_names_that_repeat_in_the_reference(spark, child, hot, hot_reference):
+def test_names_that_repeat_in_the_reference(spark, child):
     names = spark.createDataFrame(
         [(1, f"one{i}") for i in range(40)] + [(2, "two"), (2, "zwei"), (7, "seven")],
         "pk int, name string",
     )
-    found = relate.look_up(child, "fk", names, "pk", hot, hot_reference)
-    assert rows(found) == rows(relate.look_up(child, "fk", names, "pk", [], ()))
+    found = relate.look_up(child, "fk", names, "pk")
     assert found.count() == 30 + 40 + 2 + 3
 
 
-def test_hot_rows_are_salted(parent, child):
-    plan = plan_of(relate.children_of(parent, "pk", child, "fk", [7]))
-    assert "_salt" in plan or "_copy" in plan
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
-
-
 def test_orphan_summary(parent, child):
     assert rows(relate.orphan_summary(child, "fk", parent, "pk")) == [(55, 1)]
 
 
-@pytest.mark.parametrize("hot", HOT)
-def test_set_null_keeps_rows(parent, child, hot):
+def test_set_null_keeps_rows(parent, child):
     deleted = parent.where("pk = 7")
-    found = rows(relate.null_deleted(child, "fk", deleted, "pk", hot))
+    found = rows(relate.null_deleted(child, "fk", deleted, "pk"))
     assert len(found) == 35 and sum(fk is None for _, fk in found) == 32
-    assert relate.null_deleted(child, "fk", deleted, "pk", hot).schema == child.schema
+    assert relate.null_deleted(child, "fk", deleted, "pk").schema == child.schema
 
 
 def test_delete_follows_chains_and_mixed_actions(spark):
@@ -117,6 +99,17 @@ def test_delete_follows_chains_and_mixed_actions(spark):
     assert rows(untouched["loans"])[0] == (100, 1, None)
 
 
+def test_delete_follows_a_table_that_refers_to_itself(spark):
+    staff = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None)], "id int, boss int")
+    logs = spark.createDataFrame([(10, 4), (11, 5)], "log int, id int")
+    keys = [ForeignKey("staff", "boss", "staff", "id"), ForeignKey("logs", "id", "staff", "id")]
+    after = relate.delete_rows({"staff": staff, "logs": logs}, keys, "staff", F.col("id") == 1)
+    assert rows(after["staff"]) == [(5, None)] and rows(after["logs"]) == [(11, 5)]
+    keys = [ForeignKey("staff", "boss", "staff", "id", "set null")]
+    after = relate.delete_rows({"staff": staff}, keys, "staff", F.col("id") == 2)
+    assert rows(after["staff"]) == [(1, None), (3, None), (4, 3), (5, None)]
+
+
 def test_unknown_action():
     with pytest.raises(ValueError, match="unknown action"):
         ForeignKey("a", "b", "c", "d", "restrict")

@@ -9,6 +9,7 @@ from haulage.operators import running, skew
 from tests.conftest import plan_of, rows
 
 CREDITS = ["deposit", "interest"]
+DEBITS = ["withdrawal", "transfer", "payment", "fee"]
 
 
 def fold(opening, moves):
@@ -23,7 +24,7 @@ def fold(opening, moves):
 def replay(df, **how):
     return running.ledger(
         df, account="user_id", order=["id"], kind="kind", amount="amount",
-        credits=CREDITS, opening=F.col("opening"), **how,
+        credits=CREDITS, debits=DEBITS, opening=F.col("opening"), **how,
     )
 
 
@@ -59,8 +60,7 @@ def movements(spark):
 
 @pytest.mark.parametrize(
     "how",
-    [{}, {"hot": [3]}, {"hot": [3, None], "parts": 7}, {"hot": [3, None, 5, 99], "parts": 1},
-     {"hot": [3], "parts": 500}],
+    [{}, {"parts": 1}, {"parts": 7}, {"parts": 500}],
 )
 def test_ledger_equals_a_fold(movements, how):
     df, expected = movements
@@ -68,57 +68,59 @@ def test_ledger_equals_a_fold(movements, how):
     assert found == expected
 
 
-@pytest.mark.parametrize("hot", [[], [3, None], [3, 5]])
-def test_opening_balances_from_a_table(movements, hot):
+def test_opening_balances_from_a_table(movements):
     df, expected = movements
     accounts = df.select("user_id", "opening").distinct().withColumnRenamed("user_id", "key")
     accounts = accounts.where("key IS NOT NULL")
     found = running.ledger(
         df.drop("opening"), account="user_id", order=["id"], kind="kind", amount="amount",
-        credits=CREDITS, opening=running.Opening(accounts, "key", "opening"), hot=hot, parts=5,
+        credits=CREDITS, debits=DEBITS, opening=running.Opening(accounts, "key", "opening"), parts=5,
     ).collect()
     assert len(found) == len(expected)
     known = {(r.user_id, r.id): r.balance_after for r in found if r.user_id is not None}
     assert known == {k: v for k, v in expected.items() if k[0] is not None}
 
 
-def test_opening_balances_need_no_second_shuffle(spark, data):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        orders = spark.read.parquet(f"{data}/orders.parquet")
-        customers = spark.read.parquet(f"{data}/customer.parquet")
-        replayed = running.ledger(
-            orders, account="o_custkey", order=["o_orderkey"], kind="o_orderstatus",
-            amount="o_totalprice", credits=["F"],
-            opening=running.Opening(customers, "c_custkey", "c_acctbal"), hot=[],
-        )
-        assert plan_of(replayed).count("Exchange hashpartitioning") == 2
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-def test_running_count_with_and_without_hot_keys(movements):
+def test_running_count_of_any_cut(movements):
     df, _ = movements
-    plain = rows(running.running_count(df, "user_id", ["id"], hot=[]), "user_id", "id", "running_count")
-    split = rows(
-        running.running_count(df, "user_id", ["id"], hot=[3, None], parts=6),
-        "user_id", "id", "running_count",
-    )
-    assert plain == split
-    assert max(n for _, _, n in plain) == 700
+    whole = rows(running.running_count(df, "user_id", ["id"], parts=1), "user_id", "id", "running_count")
+    cut = rows(running.running_count(df, "user_id", ["id"], parts=6), "user_id", "id", "running_count")
+    assert whole == cut
+    assert max(n for _, _, n in whole) == 700
 
 
-def test_hot_keys_are_found_exactly(movements):
+def test_a_key_is_never_one_window_group(movements):
     df, _ = movements
-    assert set(skew.hot_values(df, "user_id", 0.3)) == {3, None}
-    assert skew.hot_values(df, "user_id", 0.9) == []
-    assert skew.hot_values(df.limit(0), "user_id") == []
+    plan = plan_of(replay(df, parts=8))
+    assert "hashpartitioning(_key" in plan and "_part" in plan
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_null_amount_moves_nothing(spark, parts):
+    data = [(i, 1, "deposit", None if i % 3 == 0 else Decimal(i)) for i in range(30)]
+    df = spark.createDataFrame(data, "id int, user_id int, kind string, amount decimal(15,2)")
+    df = df.withColumn("opening", F.lit(10))
+    found = [r.balance_after for r in replay(df, parts=parts).orderBy("id").collect()]
+    total, expected = 10, []
+    for i in range(30):
+        total += i if i % 3 else 0
+        expected.append(Decimal(total))
+    assert found == expected
 
 
-def test_a_hot_key_is_never_one_window_group(movements):
-    df, _ = movements
-    plan = plan_of(replay(df, hot=[3], parts=8))
-    assert "hashpartitioning(user_id" in plan and "_part" in plan
+@pytest.mark.parametrize("kind", ["refund", None])
+def test_a_kind_in_neither_list_fails(spark, kind):
+    df = spark.createDataFrame(
+        [(1, 1, kind, Decimal(5), Decimal(0))],
+        "id int, user_id int, kind string, amount decimal(15,2), opening decimal(15,2)",
+    )
+    with pytest.raises(Exception, match="neither a credit nor a debit"):
+        replay(df).collect()
+    with pytest.raises(ValueError, match="both credits and debits"):
+        running.ledger(
+            df, account="user_id", order=["id"], kind="kind", amount="amount",
+            credits=["fee"], debits=["fee"], opening=F.lit(0),
+        )
 
 
 def test_mismatches_allow_a_cent_per_step(movements):
@@ -196,7 +198,34 @@ def test_many_rows_without_an_order_value_are_cut_too(timeline):
 
 def test_parts_need_an_order_that_can_be_cut(spark):
     with pytest.raises(TypeError, match="cannot cut"):
-        skew.ordered_parts(spark.createDataFrame([("a",)], "v string"), ["v"], 4)
+        skew.ordered_parts(spark.createDataFrame([([1],)], "v array<int>"), ["v"], 4)
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "boolean", "bigint", "decimal(30,3)", "date", "timestamp"])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_any_sortable_type_is_cut_in_order(spark, kind, parts):
+    values = {
+        "string": ["", "a", "a\0", "prefix-shared-by-many-1", "prefix-shared-by-many-2", "é", "zz", None],
+        "binary": [b"", b"\0", b"\0\0", b"abcdefgh", b"abcdefgi", b"\xff", None],
+        "boolean": [True, False, None],
+        "bigint": [2**60 + 1, 2**60 + 2, 2**60 + 3, -(2**60), -1, 0, 1, None],
+        "decimal(30,3)": [Decimal(10) ** 20 + Decimal("0.001") * k for k in range(4)] + [None, Decimal(-1)],
+        "date": [dt.date(1969, 1, 1), dt.date(2024, 2, 29), None],
+        "timestamp": [dt.datetime(1969, 1, 1, 0, 0, 0, 1), dt.datetime(2024, 2, 29), None],
+    }[kind]
+    data = [(values[i % len(values)], i) for i in range(200)]
+    df = spark.createDataFrame(data, f"v {kind}, id int").repartition(3)
+    numbered = running.number_rows(df, ["v", "id"], "n", parts=parts)
+    found = [(r.v, r.id) for r in numbered.orderBy("n").collect()]
+    assert found == [(r.v, r.id) for r in df.orderBy("v", "id").collect()]
+    if parts > 1 and kind != "boolean":
+        sizes = skew.ordered_parts(df, ["v", "id"], parts).groupBy("part").count().collect()
+        assert max(r["count"] for r in sizes) < 120
+
+
+def test_rows_with_maps_inside_scatter(spark):
+    df = spark.sql("SELECT array(map('a', id)) AS v, struct(map(id, 1) AS m) AS w FROM range(20)")
+    assert df.select(skew.spread(df).alias("s")).distinct().count() == 20
 
 
 def test_parts_of_an_empty_or_constant_table(spark):
