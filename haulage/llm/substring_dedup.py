@@ -2,12 +2,15 @@
 
 Of every window of words the least hash of its word runs is its anchor: equal windows have equal
 anchors at the same place. Neighbouring windows with one anchor make a piece of text. Only
-anchors seen twice matter. Equal pieces are counted, and the earliest keeps its place in the order;
+anchors seen twice matter. Equal pieces are found by hash and the earliest keeps its place in the order;
 so copies and boilerplate shrink before anything is compared. All different pieces at one anchor are
 a shard: they go, earliest first, through the suffix automaton of those before, word for word,
 and a matching statistic of a window's length or more marks a window that starts earlier
 elsewhere. A shard with too many pieces for one automaton is dealt by window instead: equal windows
 are counted and all but the earliest are marked.
+
+Texts are dealt into blocks once. A block sends its distinct anchors and pieces, never one row for each
+copy it holds, and gets back which of them to act on: no key has more rows than there are blocks.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from haulage.llm.text import Words, find_words, hash_runs, hash_words, mixed, ragged, slices
 
 RUN = 5
 MOST_PIECES = 2000
+BLOCK_BYTES = 8 << 20
 BASE = 0x2545F4914F6CDD1D
 NO_ID = -(1 << 63)
-RESULT = "struct<n_words:bigint,n_removed:bigint,kept_sha256:string>"
+RESULT = "n_words long, n_removed long, kept_sha256 string"
 
 
 @dataclass
@@ -165,39 +171,71 @@ def scan(texts: list[bytes], window: int) -> tuple[Words, np.ndarray, Pieces, np
     return words, hashes, pieces, np.searchsorted(words.first, pieces.first, side="right") - 1
 
 
-def marked_pieces(pieces: Pieces, own: np.ndarray, words: Words, listed: list) -> tuple[np.ndarray, np.ndarray]:
-    """Which pieces a joined list names, by text, anchor place and hash, and where in the list."""
-    texts = np.repeat(np.arange(len(listed)), [len(x or ()) for x in listed])
-    flat = [m for x in listed for m in x or ()]
-    if not flat or not len(own):
-        none = np.empty(0, dtype=np.int64)
-        return none, none
-    at = np.fromiter((m["pos"] for m in flat), dtype=np.int64, count=len(flat)) + words.first[texts]
-    code = np.fromiter((m["code"] for m in flat), dtype=np.int64, count=len(flat)).view(np.uint64)
-    place = np.minimum(np.searchsorted(pieces.anchor_at, at), len(own) - 1)
-    hit = (pieces.anchor_at[place] == at) & (own[place] == texts) & (pieces.code[place] == code)
-    return place[hit], np.flatnonzero(hit)
-
-
-def candidates(documents: DataFrame, window: int) -> DataFrame:
-    """(anchor, code, id, pos) of every piece of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "_text"):
-                words, _, pieces, own = scan(texts, window)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        signed(pieces.anchor),
-                        signed(pieces.code),
-                        pa.array(ids[own], pa.int64()),
-                        pa.array((pieces.anchor_at - words.first[own]).astype(np.int32)),
-                    ],
-                    names=["anchor", "code", "id", "pos"],
-                )
-
-    return documents.select("_id", "_text").mapInArrow(run, "anchor long, code long, id long, pos int")
+def cuts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in table.to_batches():
+        yield from slices(batch, "_text")
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def found_in(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the sorted known ones, and where those are."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return known[at] == values, at
+
+
+def anchors_of(documents: DataFrame, window: int) -> DataFrame:
+    """(_block, anchor, n): the distinct anchors of each block and how often it has them."""
+
+    def run(texts: pa.Table) -> pa.Table:
+        found = [scan(cut, window)[2].anchor for _, cut in cuts(texts)]
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        block = np.full(len(values), texts.column("_block")[0].as_py(), dtype=np.int64)
+        return pa.table([pa.array(block), signed(values), pa.array(counts)], names=["_block", "anchor", "n"])
+
+    return documents.groupBy("_block").applyInArrow(run, "_block long, anchor long, n long")
+
+
+def pieces_of(documents: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """The distinct pieces at the given anchors of each block: their first place in it, and how many there are."""
+
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        names = ["_block", "anchor", "code", "id", "pos", "n"]
+        known = np.sort(column(wanted, "anchor").view(np.uint64))
+        held: list[list[np.ndarray]] = [[np.empty(0, dtype=t)] for t in (np.uint64, np.uint64, np.int64, np.int64)]
+        for part, cut in cuts(texts):
+            words, _, pieces, own = scan(cut, window)
+            hit, _ = found_in(pieces.anchor, known)
+            ids = part.column("_id").to_numpy(zero_copy_only=False)[own[hit]]
+            place = pieces.anchor_at[hit] - words.first[own[hit]]
+            for kept, values in zip(held, (pieces.anchor[hit], pieces.code[hit], ids, place), strict=True):
+                kept.append(values)
+        anchor, code, ids, place = map(np.concatenate, held)
+        order = np.lexsort((place, ids, anchor, code))
+        anchor, code, ids, place = anchor[order], code[order], ids[order], place[order]
+        fresh = np.ones(len(code), dtype=bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (anchor[1:] != anchor[:-1])
+        starts = np.flatnonzero(fresh)
+        block = np.full(len(starts), texts.column("_block")[0].as_py() if len(texts) else 0, dtype=np.int64)
+        counts = np.diff(np.append(starts, len(code)))
+        return pa.table(
+            [
+                pa.array(block),
+                signed(anchor[starts]),
+                signed(code[starts]),
+                pa.array(ids[starts].astype(np.int64)),
+                pa.array(place[starts].astype(np.int32)),
+                pa.array(counts.astype(np.int32)),
+            ],
+            names=names,
+        )
+
+    both = documents.groupBy("_block").cogroup(anchors.groupBy("_block"))
+    return both.applyInArrow(run, "_block long, anchor long, code long, id long, pos int, n int")
 
 
 def automaton_marks(shards: DataFrame, window: int) -> DataFrame:
@@ -244,39 +282,43 @@ def window_marks(shards: DataFrame) -> DataFrame:
 
 def shard_pieces(documents: DataFrame, wanted: DataFrame, window: int, most_pieces: int) -> DataFrame:
     """The words of the wanted pieces, or their windows one by one where a shard has too many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "code", "id", "pos", "piece", "window_a", "window_b", "bit", "start"]
-        kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        for batch in batches:
-            for part, texts in slices(batch, "_text"):
-                words, hashes, pieces, own = scan(texts, window)
-                ids = part.column(0).to_pylist()
-                listed = part.column("_wanted").to_pylist()
-                rows: list[tuple] = []
-                chosen, where = marked_pieces(pieces, own, words, listed)
-                flat = [m for x in listed for m in x or ()]
-                for k, w in zip(chosen.tolist(), where.tolist(), strict=True):
-                    low, high = int(pieces.first[k]), int(pieces.last[k])
-                    base = int(words.first[own[k]])
-                    head = (flat[w]["anchor"], flat[w]["code"], ids[own[k]], flat[w]["pos"])
-                    if flat[w]["pieces"] <= most_pieces:
-                        held = words.buffer[words.starts[low] : words.ends[high + window - 1]].tobytes()
-                        rows.append((*head, b" ".join(held.split()), None, None, None, None))
-                        continue
-                    for bit, start in enumerate(range(low, high + 1)):
-                        one = hashes[start : start + window]
-                        both = [int(hash_runs(x, window)[0].view(np.int64)) for x in (one, mixed(one + np.uint64(1)))]
-                        rows.append((*head, None, *both, bit, start - base))
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names
-                )
+    names = ["anchor", "code", "id", "pos", "piece", "window_a", "window_b", "bit", "start"]
+    kinds = [pa.int64()] * 3 + [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(texts: pa.Table, wanted: pa.Table) -> pa.Table:
+        order = np.lexsort((column(wanted, "anchor"), column(wanted, "code").view(np.uint64)))
+        anchor, code, ids, place, pieces_at = (
+            column(wanted, k)[order] for k in ("anchor", "code", "id", "pos", "pieces")
+        )
+        rows: list[tuple] = []
+        done = np.zeros(len(code), dtype=bool)
+        for part, cut in cuts(texts) if len(wanted) else ():
+            words, hashes, pieces, own = scan(cut, window)
+            hit, at = found_in(pieces.code, code.view(np.uint64))
+            own_ids = part.column("_id").to_numpy(zero_copy_only=False)[own]
+            here = pieces.anchor_at - words.first[own]
+            hit &= (ids[at] == own_ids) & (place[at] == here) & (anchor[at] == pieces.anchor.view(np.int64))
+            for k in np.flatnonzero(hit):
+                if done[at[k]]:
+                    continue
+                done[at[k]] = True
+                w, low, high = at[k], int(pieces.first[k]), int(pieces.last[k])
+                head = (int(anchor[w]), int(code[w]), int(ids[w]), int(place[w]))
+                if pieces_at[w] <= most_pieces:
+                    held = words.buffer[words.starts[low] : words.ends[high + window - 1]].tobytes()
+                    rows.append((*head, b" ".join(held.split()), None, None, None, None))
+                    continue
+                for bit, start in enumerate(range(low, high + 1)):
+                    one = hashes[start : start + window]
+                    both = [int(hash_runs(x, window)[0].view(np.int64)) for x in (one, mixed(one + np.uint64(1)))]
+                    rows.append((*head, None, *both, bit, start - int(words.first[own[k]])))
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     schema = (
         "anchor long, code long, id long, pos int, piece binary, window_a long, window_b long, bit int, start int"
     )
-    return documents.join(wanted, documents["_id"] == wanted["_key"]).drop("_key").mapInArrow(run, schema)
+    return documents.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(run, schema)
 
 
 def remove_repeats(
@@ -302,72 +344,89 @@ def remove_repeats(
         raise ValueError(f"a window is {RUN} to {48 + RUN} words")
     others = [c for c in df.columns if c not in (text, "repeats")]
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    documents = df.select(key.alias("_id"), F.col(text).alias("_text"), F.struct(*others).alias("_rest"))
-
-    found = candidates(documents, window)
-    repeated = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    found = found.join(repeated, "anchor")
-    unlike = found.groupBy("anchor", "code").agg(F.min(F.struct("id", "pos")).alias("least"))
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // BLOCK_BYTES)))).alias("_block")
+    documents = df.select(block, key.alias("_id"), F.col(text).alias("_text"), F.struct(*others).alias("_rest"))
+
+    anchors = anchors_of(documents, window)
+    anchors = anchors.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).where("all > 1")
+    pieces = pieces_of(documents, anchors.select("_block", "anchor"), window)
+    least = F.min(F.struct("id", "pos")).over(Window.partitionBy("anchor", "code"))
+    pieces = pieces.withColumn("_first", F.struct("id", "pos") == least)
+    unlike = pieces.where("_first").select("_block", "anchor", "code", "id", "pos")
     crowded = unlike.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
-    wanted = unlike.join(crowded, "anchor").select("anchor", "code", "least.*", "pieces")
-    wanted = wanted.groupBy(F.col("id").alias("_key")).agg(
-        F.collect_list(F.struct("pos", "anchor", "code", "pieces")).alias("_wanted")
-    )
+    wanted = unlike.join(crowded, "anchor").select("_block", "anchor", "code", "id", "pos", "pieces")
     shards = shard_pieces(documents, wanted, window, most_pieces)
     marks = automaton_marks(shards, window).union(window_marks(shards))
-    verdicts = unlike.join(marks, ["anchor", "code"], "left")
-    first = F.struct("id", "pos") <= F.col("least")
-    gone = (
-        found.join(verdicts, ["anchor", "code"])
-        .select("id", "pos", "code", F.when(first, F.col("mask")).otherwise(F.lit(-1).cast("long")).alias("mask"))
-        .where("mask is not null")
-        .groupBy(F.col("id").alias("_key"))
-        .agg(F.collect_list(F.struct("pos", "code", "mask")).alias("_gone"))
+    acted = pieces.join(marks, ["anchor", "code"], "left")
+    gone = acted.where("not _first or n > 1 or mask is not null").select(
+        "_block",
+        "code",
+        F.when(F.col("_first"), F.col("id")).alias("id"),
+        F.when(F.col("_first"), F.col("pos")).alias("pos"),
+        F.when(F.col("_first"), F.coalesce("mask", F.lit(0))).alias("mask"),
+    )
+    fields = pa.schema(
+        [
+            ("n_words", pa.int64()),
+            ("n_removed", pa.int64()),
+            ("kept_sha256", pa.string()),
+        ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, "_text"):
-                words, _, pieces, own = scan(texts, window)
-                listed = part.column("_gone").to_pylist()
-                chosen, where = marked_pieces(pieces, own, words, listed)
-                mask = np.array([m["mask"] for x in listed for m in x or ()], dtype=np.int64)[where]
-                edges = np.zeros(len(words.starts) + 1, dtype=np.int64)
+    def run(texts: pa.Table, gone: pa.Table) -> pa.Table:
+        code = column(gone, "code").view(np.uint64)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = gone.column("id").is_valid().to_numpy()[order]
+        first_id, first_pos, first_mask = (
+            gone.column(k).fill_null(0).to_numpy()[order] for k in ("id", "pos", "mask")
+        )
+        out = []
+        for part, cut in cuts(texts):
+            words, _, pieces, own = scan(cut, window)
+            hit, at = found_in(pieces.code, code)
+            chosen, at = np.flatnonzero(hit), at[hit]
+            edges = np.zeros(len(words.starts) + 1, dtype=np.int64)
+            if len(chosen):
+                ids = part.column("_id").to_numpy(zero_copy_only=False)[own[chosen]]
+                place = pieces.anchor_at[chosen] - words.first[own[chosen]]
+                is_first = first[at] & (first_id[at] == ids) & (first_pos[at] == place)
+                mask = np.where(is_first, first_mask[at], -1)
                 length = pieces.last[chosen] - pieces.first[chosen] + 1
                 start = ragged(pieces.first[chosen], length)
                 bit = ragged(np.zeros(len(chosen), dtype=np.int64), length)
                 start = start[(np.repeat(mask, length) >> bit) & 1 == 1]
                 np.add.at(edges, start, 1)
                 np.add.at(edges, start + window, -1)
-                stays = np.cumsum(edges[:-1]) == 0
-                counts = words.counts
-                kept, flags = [], np.split(stays, words.first[1:-1])
-                for t, flag in zip(texts, flags, strict=True):
-                    every = t.split()
-                    kept.append(b" ".join(every if flag.all() else [w for w, f in zip(every, flag, strict=True) if f]))
-                left = np.array([int(f.sum()) for f in flags], dtype=np.int64)
-                result = pa.StructArray.from_arrays(
-                    [
-                        pa.array(counts),
-                        pa.array(counts - left),
-                        pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-                    ],
-                    names=["n_words", "n_removed", "kept_sha256"],
-                )
-                known = part.column("_text").is_valid().to_pylist()
-                whole = left == counts
-                if with_text:
-                    out = [
-                        None if not v else t.decode() if w else k.decode()
-                        for t, k, v, w in zip(texts, kept, known, whole.tolist(), strict=True)
-                    ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out, pa.string()) if with_text else part.column("_text"), part.column("_rest"), result],
-                    names=["_text", "_rest", "repeats"],
-                )
-
-    rest = documents.schema["_rest"].dataType.simpleString()
-    done = documents.join(gone, documents["_id"] == gone["_key"], "left").drop("_key")
-    done = done.mapInArrow(run, f"_text string, _rest {rest}, repeats {RESULT}")
+            flags = np.split(np.cumsum(edges[:-1]) == 0, words.first[1:-1])
+            kept, whole, left = [], [], []
+            for t, flag in zip(cut, flags, strict=True):
+                every = t.split()
+                left.append(int(flag.sum()))
+                whole.append(left[-1] == len(every))
+                kept.append(b" ".join(every if whole[-1] else [w for w, f in zip(every, flag, strict=True) if f]))
+            result = pa.StructArray.from_arrays(
+                [
+                    pa.array(words.counts),
+                    pa.array(words.counts - np.array(left, dtype=np.int64)),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                ],
+                fields=list(fields),
+            )
+            shown = part.column("_text")
+            if with_text:
+                known = shown.is_valid().to_pylist()
+                rows = zip(cut, kept, known, whole, strict=True)
+                shown = pa.array([None if not v else t.decode() if w else k.decode() for t, k, v, w in rows], pa.string())
+            out.append(pa.table([shown, part.column("_rest"), result], names=["_text", "_rest", "repeats"]))
+        if out:
+            return pa.concat_tables(out)
+        kinds = [texts.schema.field("_text").type, texts.schema.field("_rest").type, pa.struct(list(fields))]
+        return pa.table([pa.array([], k) for k in kinds], names=["_text", "_rest", "repeats"])
+
+    shape = [StructField("_text", StringType()), documents.schema["_rest"], StructField("repeats", StructType.fromDDL(RESULT))]
+    done = documents.groupBy("_block").cogroup(gone.groupBy("_block"))
+    done = done.applyInArrow(run, StructType(shape))
     order = [F.col("_text").alias(c) if c == text else F.col(f"_rest.`{c}`") for c in df.columns if c != "repeats"]
     return done.select(*order, "repeats")
