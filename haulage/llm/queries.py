@@ -114,7 +114,40 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
-@query()
+@query("""
+    WITH words AS (
+        SELECT doc_id, coalesce(text, '') AS t,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    sizes AS (SELECT *, len(w) AS n, greatest(51, len(w) // 10 + 1) AS m FROM words),
+    spans AS (
+        SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, h) AS times FROM (
+            SELECT doc_id, k, i, sha256(array_to_string(w[i:i + k - 1], ' ')) AS h FROM (
+                SELECT doc_id, w, k, unnest(range(1, n - k + 2)) AS i
+                FROM (SELECT doc_id, w, n, unnest([4, 5, m]) AS k FROM sizes) WHERE n >= k
+            )
+        )
+    ),
+    repeated AS (SELECT * FROM spans WHERE times > 1),
+    covered AS (
+        SELECT doc_id, count(DISTINCT p) FILTER (k = 4) AS four, count(DISTINCT p) FILTER (k = 5) AS five,
+               count(*) FILTER (k > 5) AS long
+        FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM repeated) GROUP BY doc_id
+    ),
+    counts AS (
+        SELECT doc_id, n AS n_words, length(array_to_string(w, '')) AS word_chars,
+               length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+               list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+               coalesce(five, 0) AS n_repeat_words, coalesce(four, 0) AS covered_words, coalesce(long, 0) > 0 AS long
+        FROM sizes LEFT JOIN covered USING (doc_id)
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+           n_repeat_words, covered_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+           AND NOT (100 * covered_words > 60 * n_words OR long) AS kept
+    FROM counts
+""")
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, folder, "documents")).drop("longest_repeat")
 
