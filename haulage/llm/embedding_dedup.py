@@ -136,7 +136,11 @@ def block_pairs(turned: DataFrame) -> DataFrame:
         return F.struct(*(x.cast("int").alias(n) for x, n in zip(parts, names, strict=True)))
 
     cell_, block = F.col("_cell"), F.col("_block")
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    nothing = F.array().cast("array<int>")
+
+    def upto(n):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(nothing)
+
     pairs = F.concat(
         F.transform(
             upto("_blocks"),

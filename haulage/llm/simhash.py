@@ -131,7 +131,8 @@ def large_group(homes: np.ndarray, others: np.ndarray, most: int) -> tuple[np.nd
             break
         pivot = alone[len(alone) // 2]
         near = np.flatnonzero(np.bitwise_count(values ^ values[pivot]) <= most)
-        root = roots(len(values), np.concatenate([np.arange(len(root)), near]), np.concatenate([root, np.full(len(near), pivot)]))
+        joined = np.concatenate([root, np.full(len(near), pivot)])
+        root = roots(len(values), np.concatenate([np.arange(len(root)), near]), joined)
         if len(near) == 1:
             break
     order = np.argsort(root, kind="stable")

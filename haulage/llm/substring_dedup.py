@@ -418,7 +418,8 @@ def remove_repeats(
             if with_text:
                 known = shown.is_valid().to_pylist()
                 rows = zip(cut, kept, known, whole, strict=True)
-                shown = pa.array([None if not v else t.decode() if w else k.decode() for t, k, v, w in rows], pa.string())
+                changed = [None if not v else t.decode() if w else k.decode() for t, k, v, w in rows]
+                shown = pa.array(changed, pa.string())
             out.append(pa.table([shown, part.column("_rest"), result], names=["_text", "_rest", "repeats"]))
         if out:
             return pa.concat_tables(out)
