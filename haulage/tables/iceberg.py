@@ -81,7 +81,9 @@ class IcebergTables:
         cluster_by: Sequence[str] = (),
         partition_by: Sequence[str] = (),
     ) -> Commit:
-        """Overwrite or append in one commit; history stays.
+        """Overwrite or append; history stays.
+
+        One commit, and one more before it where an overwrite changes the table's columns.
 
         ``snapshot_id`` is kept with the commit as the load's id, and a load
         whose id is already there is not written again.
