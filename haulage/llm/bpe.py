@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -18,15 +19,16 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from haulage.llm.chunks import PieceEncoder
-from haulage.llm.text import slices
+from haulage.llm.chunks import PieceEncoder, library_encode
+from haulage.llm.text import ragged, slices
 
 NONE = np.int32(2**31 - 1)
-BLANKS = regex.compile(r"\p{White_Space}+")
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 ROWS = 20_000
+COMMON = "\u0250"
 
 
 def byte_letters() -> list[str]:
@@ -36,19 +38,27 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-class WordBpe:
-    """Encoder for a vocabulary file whose words are lower-cased and carry a mark at their end."""
+class Bpe:
+    """Encoder for a byte-level vocabulary file.
+
+    Two kinds of files are read: with words lower-cased, blanks dropped and a mark at a word's end, or
+    with all bytes kept and the blank before a word its first byte.
+    """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, vocab = spec["model"], spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
+        self.blanks = spec["pre_tokenizer"]["type"] == "ByteLevel"
+        split = PATTERN if self.blanks else spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(split.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        # The same for text of lower-case ASCII, as bytes.
+        plain = split.replace(r"[^\s\p{L}\p{N}]", r"[^\x20\x09-\x0Da-z0-9]").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
+        self.split_ascii = None if self.blanks else re.compile(plain.encode())
         self.special = special
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")
-        end = model["end_of_word_suffix"]
+        end = model["end_of_word_suffix"] or ""
         letters = byte_letters()
         self.inner = np.array([vocab[x] for x in letters], dtype=np.int64)
         self.last = np.array([vocab[x + end] for x in letters], dtype=np.int64)
@@ -155,9 +165,12 @@ class WordBpe:
 
     def cut(self, text: str) -> list[bytes]:
         """The words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [w.encode() for w in self.split.findall(BLANKS.sub(" ", text).lower())]
+        if self.blanks:
+            return [w.encode() for w in self.split.findall(text)]
+        if text.isascii():
+            return [text.lower().encode()] if text.isalpha() else self.split_ascii.findall(text.lower().encode())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return [w.encode() for w in self.split.findall(text.lower())]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, and how many each has. Special tokens in a text count as such."""
@@ -184,14 +197,38 @@ class WordBpe:
         return b" ".join(map(self.tokens.__getitem__, ids))
 
 
+@cache
+def codec(path: str) -> Bpe:
+    return Bpe(path)
+
+
 @cache
 def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(WordBpe(path).encode, blanks=False)
+    return PieceEncoder(codec(path).encode, codec(path).blanks)
 
 
 @cache
-def codec(path: str) -> WordBpe:
-    return WordBpe(path)
+def checked_encoder(path: str) -> PieceEncoder:
+    """The same for pieces of common letters; the tokenizers library takes all others.
+
+    Code points that one Unicode version has and another has not are then the library's to judge.
+    """
+    own, library = codec(path), library_encode(path)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        common = np.array([t.isascii() or max(t) < COMMON for t in texts], dtype=bool)
+        if common.all():
+            return own.encode(texts)
+        parts = [own.encode([t for t, c in zip(texts, common, strict=True) if c])]
+        parts.append(library([t for t, c in zip(texts, common, strict=True) if not c]))
+        lengths = np.empty(len(texts), dtype=np.int64)
+        lengths[common], lengths[~common] = parts[0][1], parts[1][1]
+        starts, flat = np.cumsum(lengths) - lengths, np.empty(int(lengths.sum()), dtype=np.uint32)
+        for which, (ids, counts) in zip((common, ~common), parts, strict=True):
+            flat[ragged(starts[which], counts)] = ids
+        return flat, lengths
+
+    return PieceEncoder(encode, own.blanks)
 
 
 def encode_texts(df: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:

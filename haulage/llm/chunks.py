@@ -2,8 +2,8 @@
 
 Both tokenizers used here never let a token cross from one non-blank run into the blanks
 behind it, so a text is cut there and the ids of the pieces are put together. Pieces are
-kept, up to a number, and forgotten all at once. Texts with blanks beyond ASCII go
-through the tokenizer whole.
+told apart by a 64-bit hash, kept up to a number, and forgotten all at once. Texts with blanks
+beyond ASCII go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -12,15 +12,14 @@ import os
 import re
 import zlib
 from collections.abc import Callable
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 
-from haulage.llm.text import ragged
+from haulage.llm.text import Words, find_words, found_in, hash_words, ragged
 
-PIECE = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 OTHER_BLANKS = re.compile("[\x1c-\x1f\x85\xa0  -‏ -  -⁠　﻿]")
-KEPT_PIECES = 700_000
+KEPT_PIECES = 1_000_000
 
 
 class PieceEncoder:
@@ -39,49 +38,77 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.keys = np.empty(0, dtype=np.uint64)
+        self.numbers = np.empty(0, dtype=np.int64)
         self.flat = np.empty(0, dtype=np.uint32)
         self.bounds = np.zeros(1, dtype=np.int64)
 
-    def learn(self, pieces: list[bytes]) -> None:
-        ids, lengths = self.encode([p.decode() for p in pieces])
-        first, used = len(self.place), int(self.bounds[len(self.place)])
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        ids, lengths = self.encode(pieces)
+        first, used = len(self.keys), int(self.bounds[len(self.keys)])
         if used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.empty(used + 2 * len(ids), dtype=np.uint32)])
         if first + len(pieces) >= len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.empty(first + 2 * len(pieces), dtype=np.int64)])
         self.flat[used : used + len(ids)] = ids
         self.bounds[first + 1 : first + 1 + len(pieces)] = used + np.cumsum(lengths)
-        self.place.update(zip(pieces, range(first, first + len(pieces)), strict=True))
-
-    def pieces(self, text: bytes) -> list[bytes]:
-        return PIECE.findall(text) if self.blanks else text.split()
-
-    def places(self, pieces: list[bytes]) -> np.ndarray:
+        return np.arange(first, first + len(pieces))
+
+    def spans(self, texts: list[bytes]) -> Words:
+        """The pieces of texts: their words, or words with the blanks before them and the blanks at an end."""
+        words = find_words(texts)
+        if not self.blanks:
+            return words
+        begin, end = words.text_starts[:-1], words.text_starts[1:] - 1
+        full = words.counts > 0
+        starts = np.concatenate([[0], words.ends[:-1]])[: len(words.ends)]
+        starts[words.first[:-1][full]] = begin[full]
+        last = begin.copy()
+        last[full] = words.ends[words.first[1:][full] - 1]
+        rest = np.flatnonzero(last < end)
+        places = words.first[1:][rest]
+        first = words.first + np.concatenate([[0], np.cumsum(last < end)])
+        starts, ends = np.insert(starts, places, last[rest]), np.insert(words.ends, places, end[rest])
+        return Words(words.buffer, starts, ends, first, words.text_starts)
+
+    def places(self, pieces: Words) -> np.ndarray:
         """The number of each piece, new ones learnt. Numbers hold until the next call."""
-        found = list(map(self.place.get, pieces))
-        if None in found:
-            new = list(dict.fromkeys(compress(pieces, map(_is_none, found))))
-            if self.place and len(self.place) + len(new) > self.kept:
-                self._forget()
-                new = list(dict.fromkeys(pieces))
-            self.learn(new)
-            found = map(self.place.__getitem__, pieces)
-        return np.fromiter(found, dtype=np.int64, count=len(pieces))
+        keys, first, inverse = np.unique(hash_words(pieces), return_index=True, return_inverse=True)
+        known, at = found_in(keys, self.keys)
+        if len(self.keys) + np.count_nonzero(~known) > self.kept:
+            self._forget()
+            known, at = found_in(keys, self.keys)
+        numbers = np.empty(len(keys), dtype=np.int64)
+        numbers[known] = self.numbers[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = pieces.buffer.tobytes()
+            starts, ends = pieces.starts[first[new]].tolist(), pieces.ends[first[new]].tolist()
+            numbers[new] = self.learn([raw[s:e].decode() for s, e in zip(starts, ends, strict=True)])
+            places = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, places, keys[new])
+            self.numbers = np.insert(self.numbers, places, numbers[new])
+        return numbers[inverse]
 
     def batch(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text. The texts should be a bounded slice, as one call keeps all their pieces."""
-        cut = [[t] if odd_blanks(t) else self.pieces(t) for t in texts]
-        found = self.places(list(chain.from_iterable(cut)))
+        if not texts:
+            return []
+        odd = [k for k, t in enumerate(texts) if odd_blanks(t)]
+        plain = list(texts)
+        for k in odd:
+            plain[k] = b""
+        pieces = self.spans(plain)
+        found = self.places(pieces) if len(pieces.starts) else np.empty(0, dtype=np.int64)
         lengths = self.bounds[found + 1] - self.bounds[found]
         ids = self.flat[ragged(self.bounds[found], lengths)]
-        counts = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return np.split(ids, ends[:-1]) if len(texts) else []
-
-
-def _is_none(x: int | None) -> bool:
-    return x is None
+        ends = np.concatenate([[0], np.cumsum(lengths)])[pieces.first[1:]]
+        result = np.split(ids, ends[:-1])
+        if odd:
+            whole, counts = self.encode([texts[k].decode() for k in odd])
+            for k, own in zip(odd, np.split(whole, np.cumsum(counts)[:-1]), strict=True):
+                result[k] = own
+        return result
 
 
 def odd_blanks(text: bytes) -> bool:

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulage.llm.chunks import PieceEncoder, crc, library_encode
+from haulage.llm.bpe import checked_encoder
+from haulage.llm.chunks import crc
 from haulage.llm.text import binary, slices
 
 SCHEMA = (
@@ -141,11 +141,6 @@ def cut_to_powers(parts: list[Piece]) -> list[list[Piece]]:
     return found
 
 
-@cache
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(library_encode(path), blanks=False)
-
-
 def pack(
     df: DataFrame,
     tokenizer: str,
@@ -168,7 +163,7 @@ def pack(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = checked_encoder(tokenizer)
         number = TaskContext.get().partitionId() << 33
 
         def rows(sequences: list[list[Piece]]) -> pa.RecordBatch:

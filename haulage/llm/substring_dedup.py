@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from haulage.llm.text import Words, find_words, hash_runs, hash_words, mixed, ragged, slices
+from haulage.llm.text import Words, find_words, found_in, hash_runs, hash_words, mixed, ragged, slices
 
 RUN = 5
 MOST_PIECES = 2000
@@ -180,14 +180,6 @@ def column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def found_in(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are among the sorted known ones, and where those are."""
-    if not len(known):
-        return np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-    return known[at] == values, at
-
-
 def anchors_of(documents: DataFrame, window: int) -> DataFrame:
     """(_block, anchor, n): the distinct anchors of each block and how often it has them."""
 
