@@ -10,7 +10,6 @@ of Parquet files, which carry the bytes to any store that Spark writes to.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from haulage.llm.chunks import PieceEncoder, crc, library_encode
+from haulage.llm.bpe import checked_encoder
+from haulage.llm.chunks import crc
 from haulage.llm.text import slices
 
 BLOCK_TOKENS = 1 << 20
@@ -32,11 +32,11 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids by falling count, ties by id, and each id's place among them."""
-    values, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    place = np.empty(len(order), dtype=np.uint32)
+    counts = np.bincount(ids)
+    order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.empty(len(counts), dtype=np.uint32)
     place[order] = np.arange(len(order), dtype=np.uint32)
-    return values[order].astype("<u4"), place[inverse]
+    return order.astype("<u4"), place[ids]
 
 
 def to_bytes(codes: np.ndarray) -> tuple[bytes, bytes]:
@@ -61,11 +61,6 @@ def from_bytes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return found & MASKS[lengths]
 
 
-@cache
-def _encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(library_encode(path), blanks=True)
-
-
 def write_tokens(
     df: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text: str = "text", end: int = 0
 ) -> None:
@@ -78,7 +73,7 @@ def write_tokens(
     id_type = pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = checked_encoder(tokenizer), TaskContext.get().partitionId()
         keys: list = []
         held: list[np.ndarray] = []
         tokens, block, before = 0, 0, 0
@@ -148,7 +143,8 @@ def read_tokens(spark: SparkSession, path: str, id_column: str = "doc_id", with_
     whole = blocks.groupBy("part").agg(F.sum("tokens").alias("all"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = whole.select("part", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead"))
-    placed = blocks.join(ahead, "part").withColumn("start", F.col("ahead") + F.col("before"))
+    # Two numbers for each file.
+    placed = blocks.join(F.broadcast(ahead), "part").withColumn("start", F.col("ahead") + F.col("before"))
     return placed.drop("ahead", "before", "part", "block").mapInArrow(
         run, f"`{id_column}` long, start long, n_tokens long, ids_crc32 long, ids binary"
     )
