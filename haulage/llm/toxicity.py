@@ -24,6 +24,8 @@ from haulage.llm.training import Calibration, class_weights, held_out, labelled_
 
 RUNS = (3, 4, 5)
 EMPTY = -30.0
+CHUNK_TEXTS = 100
+CHUNK_WORDS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -94,7 +96,8 @@ def inputs(texts: list[bytes], shape: Shape) -> Inputs:
     text_of = np.repeat(np.arange(len(texts)), number)
     start = ragged(np.zeros(len(texts), dtype=np.int64), number) * shape.stride + words.first[:-1][text_of]
     at = start[:, None] + np.arange(shape.window)
-    windows = np.where(at < words.first[1:][text_of][:, None], places[np.minimum(at, max(0, len(places) - 1))] if len(places) else -1, -1)
+    there = places[np.minimum(at, len(places) - 1)] if len(places) else np.full(at.shape, -1)
+    windows = np.where(at < words.first[1:][text_of][:, None], there, -1)
     word = (values % np.uint64(shape.buckets)).astype(np.int32)
     return Inputs(word, run, counts, windows.astype(np.int32), text_of)
 
@@ -126,10 +129,15 @@ class Network:
 
     def vectors(self, x: Inputs) -> np.ndarray:
         """An input vector for each distinct word."""
-        ends = np.cumsum(x.run_counts)
-        runs = self.p["run"][x.run]
-        sums = np.add.reduceat(runs, ends - x.run_counts, axis=0) if len(ends) else np.empty((0, self.shape.vector))
-        return np.concatenate([self.p["word"][x.word], sums / x.run_counts[:, None]], axis=1).astype(np.float32)
+        found = np.empty((len(x.word), 2 * self.shape.vector), dtype=np.float32)
+        found[:, : self.shape.vector] = self.p["word"][x.word]
+        bounds = np.concatenate([[0], np.cumsum(x.run_counts)])
+        for k in range(0, len(x.word), CHUNK_WORDS):
+            low, high = k, min(k + CHUNK_WORDS, len(x.word))
+            runs = self.p["run"][x.run[bounds[low] : bounds[high]]]
+            sums = np.add.reduceat(runs, bounds[low:high] - bounds[low], axis=0)
+            found[low:high, self.shape.vector :] = sums / x.run_counts[low:high, None]
+        return found
 
     def _pass(self, given: np.ndarray, weights: np.ndarray, windows: np.ndarray, keep: list | None) -> np.ndarray:
         """States after each word, read from left to right; a missing word leaves the state as it is."""
@@ -238,7 +246,7 @@ class Network:
         self.squares[name][rows] = 0.99 * self.squares[name][rows] + 0.01 * grad**2
         self.p[name][rows] -= (rate or self.shape.rate) * grad / (np.sqrt(self.squares[name][rows]) + 1e-6)
 
-    def logits(self, x: Inputs, most: int = 8192) -> np.ndarray:
+    def logits(self, x: Inputs, most: int = 2048) -> np.ndarray:
         vectors = self.vectors(x)
         parts = [self.forward(vectors, x.windows[k : k + most]) for k in range(0, len(x.windows), most)]
         return np.concatenate(parts) if parts else np.empty(0, dtype=np.float32)
@@ -251,15 +259,25 @@ def highest(logits: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
     return found
 
 
-def evidence(owner: np.ndarray, bucket: np.ndarray, labels: np.ndarray, buckets: int) -> np.ndarray:
-    """How much oftener a bucket occurs in toxic texts than in clean ones, as a log ratio.
+class Evidence:
+    """How much oftener buckets occur in toxic texts than in clean ones."""
 
-    It is smoothed, and shrunk for buckets of few texts.
-    """
-    pairs = np.unique(owner.astype(np.int64) * buckets + bucket)
-    seen = [np.bincount(pairs[labels[pairs // buckets] == k] % buckets, minlength=buckets) for k in (0, 1)]
-    share, all_ = labels.mean(), seen[0] + seen[1]
-    return all_ / (all_ + 4) * np.log((seen[1] + 4 * share) / (seen[0] + 4 * (1 - share)) * (1 - share) / share).clip(-4, 4)
+    def __init__(self, labels: np.ndarray, buckets: int) -> None:
+        self.labels, self.buckets = labels, buckets
+        self.seen = [np.zeros(buckets, dtype=np.int64) for _ in range(2)]
+
+    def add(self, owner: np.ndarray, bucket: np.ndarray) -> None:
+        """Count each bucket once for each text that owns it; a text comes whole."""
+        pairs = np.unique(owner.astype(np.int64) * self.buckets + bucket)
+        for k in (0, 1):
+            own = pairs[self.labels[pairs // self.buckets] == k] % self.buckets
+            self.seen[k] += np.bincount(own, minlength=self.buckets)
+
+    def ratio(self) -> np.ndarray:
+        """A smoothed log ratio, shrunk for buckets of few texts."""
+        share, both = self.labels.mean(), self.seen[0] + self.seen[1]
+        odds = (self.seen[1] + 4 * share) / (self.seen[0] + 4 * (1 - share)) * (1 - share) / share
+        return both / (both + 4) * np.log(odds).clip(-4, 4)
 
 
 def train(found: dict[int, list[bytes]], shape: Shape, seed: int = 7) -> Network:
@@ -273,10 +291,14 @@ def train(found: dict[int, list[bytes]], shape: Shape, seed: int = 7) -> Network
     pair = np.unique(owner.astype(np.int64) * len(x.word) + word)
     owner, word = pair // len(x.word), pair % len(x.word)
     ends = np.cumsum(x.run_counts)
-    network.p["word"][:, 0] += evidence(owner, x.word[word], labels, shape.buckets) / 2
-    counts = x.run_counts[word]
-    runs = x.run[ragged((ends - x.run_counts)[word], counts)]
-    network.p["run"][:, 0] += evidence(np.repeat(owner, counts), runs, labels, shape.buckets) / 2
+    of_words, of_runs = (Evidence(labels, shape.buckets) for _ in range(2))
+    starts = np.searchsorted(owner, np.arange(0, len(texts) + CHUNK_TEXTS, CHUNK_TEXTS))
+    for low, high in zip(starts[:-1], starts[1:], strict=True):
+        some, counts = word[low:high], x.run_counts[word[low:high]]
+        of_words.add(owner[low:high], x.word[some])
+        of_runs.add(np.repeat(owner[low:high], counts), x.run[ragged((ends - x.run_counts)[some], counts)])
+    network.p["word"][:, 0] += of_words.ratio() / 2
+    network.p["run"][:, 0] += of_runs.ratio() / 2
     first = np.searchsorted(x.text_of, np.arange(len(texts)))
     number = np.bincount(x.text_of, minlength=len(texts))
     logits = None
