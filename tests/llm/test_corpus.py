@@ -309,6 +309,22 @@ def test_filter_levels():
     assert lm_score.levels_of(counts, 3).tolist() == [0, 0, 0, 1, 1, 2, 2, 9]
 
 
+def test_counts_over_a_million_keep_their_level():
+    hashes, counts = np.arange(1, 6, dtype=np.uint64), [3, 1 << 20, (1 << 20) + 1, 25_000_000, 5_000_000_000]
+    levels = lm_score.levels_of(np.array(counts), 2)
+    held = lm_score.Filter(lm_score.stretch(hashes, levels, 4096), 1, 4096, 2, int(levels.max()))
+    assert held.counts(hashes).tolist() == [2, 1 << 20, 1 << 20, 1 << 24, 1 << 32]
+    assert held.counts(hashes + np.uint64(100)).tolist() == [0] * 5
+
+
+def test_a_pair_seen_two_million_times(spark):
+    n = 2_200_000
+    df = spark.range(n, n + 1).selectExpr("CAST(NULL AS LONG) AS doc_id", "repeat('a ', CAST(id AS INT)) AS text")
+    row = lm_score.score(df).first()
+    single, end = math.log10(0.8 * (n + 1) / (n + 4) + 0.2 * 2**21 / n), 2 / (n + 4)
+    assert math.isclose(row.score, single * (n - 1) + math.log10(0.8 * (n + 1) / (n + 4)) + math.log10(0.8 * end), rel_tol=1e-6)
+
+
 # --- pipeline -----------------------------------------------------------------
 
 
