@@ -312,9 +312,15 @@ def test_filter_levels():
 def test_counts_over_a_million_keep_their_level():
     hashes, counts = np.arange(1, 6, dtype=np.uint64), [3, 1 << 20, (1 << 20) + 1, 25_000_000, 5_000_000_000]
     levels = lm_score.levels_of(np.array(counts), 2)
-    held = lm_score.Filter(lm_score.stretch(hashes, levels, 4096), 1, 4096, 2, int(levels.max()))
-    assert held.counts(hashes).tolist() == [2, 1 << 20, 1 << 20, 1 << 24, 1 << 32]
-    assert held.counts(hashes + np.uint64(100)).tolist() == [0] * 5
+    held = lm_score.Filter(lm_score.stretch(hashes, levels, 4096), 4096, int(levels.max()))
+    assert lm_score.counts_of(held.find(hashes)).tolist() == [2, 1 << 20, 1 << 20, 1 << 24, 1 << 32]
+    assert lm_score.counts_of(held.find(hashes + np.uint64(100))).tolist() == [0] * 5
+
+
+def test_the_filter_grows_with_the_pairs(spark):
+    documents = [(k, " ".join(f"w{(k // 2 * 7 + j) % 900}x{k // 2}" for j in range(300))) for k in range(1, 400)]
+    rows = lm_score.score(spark.createDataFrame(documents, "doc_id long, text string"), most_bits=1 << 12).collect()
+    check_model(rows, documents)
 
 
 def test_a_pair_seen_two_million_times(spark):
