@@ -26,7 +26,8 @@ def labelled_sample(
 
     Only rows whose crc32 of the id as text is no multiple of `parts` are used. Null labels and ids
     are left out; of several labels of an id the largest counts. Texts over `longest` bytes are not
-    drawn into the sample, so it holds at most 2 x per_class x longest bytes.
+    drawn into the sample, and rows beyond `per_class` of a label stay on the executors, however many a drawn
+    id has; so the driver gets at most 2 x per_class x longest bytes.
     """
     marked = (
         labels.select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("_label"))
@@ -39,13 +40,13 @@ def labelled_sample(
     chosen = [
         marked.where(F.col("_label") == k).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for k in (0, 1)
     ]
-    drawn = chosen[0].union(chosen[1])
     rows = documents.select(F.col(id_column).alias("_id"), F.col(text).cast("binary").alias("_text"))
     rows = rows.where(F.octet_length("_text") <= longest)
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_text")]
+    texts = [rows.join(F.broadcast(ids), "_id").orderBy(*order).limit(per_class) for ids in chosen]
     found: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in rows.join(F.broadcast(drawn), "_id").orderBy(F.xxhash64("_id"), "_id", "_text").collect():
-        if len(found[row["_label"]]) < per_class:
-            found[row["_label"]].append(bytes(row["_text"]))
+    for row in texts[0].union(texts[1]).orderBy(*order).collect():
+        found[row["_label"]].append(bytes(row["_text"]))
     return found, totals
 
 

@@ -9,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from haulage.llm import bpe, compression_classifier, packing, quality_rules, token_files, toxicity
+from haulage.llm import bpe, compression_classifier, packing, quality_rules, token_files, toxicity, training
 from haulage.llm.chunks import PieceEncoder, library_encode
 from haulage.llm.queries import BYTE_BPE, QUERIES, WORD_BPE, table
 from haulage.llm.text import find_words, hash_words
@@ -287,6 +288,21 @@ def test_classifiers_on_odd_rows(spark, odd, none, labels, module, label, prior)
     module.fit(none, labels, label)
 
 
+def test_a_drawn_id_of_many_rows_stays_off_the_driver(spark, monkeypatch):
+    rows = [(k, f"text {k}") for k in range(1, 30)] + [(7, f"copy {k:04}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    sizes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sizes.append(len(found := collect(self))) or found)
+    sample, totals = training.labelled_sample(df, labels, "toxic", 12, 1 << 10)
+    assert max(sizes) <= 24
+    order = [tuple(r) for r in collect(df.orderBy(F.xxhash64("doc_id"), "doc_id", F.col("text").cast("binary")))]
+    fit = [(k, t.encode()) for k, t in order if zlib.crc32(str(k).encode()) % 5]
+    ids = {y: list(dict.fromkeys(k for k, _ in fit if k % 2 == y))[:12] for y in (0, 1)}
+    assert sample == {y: [t for k, t in fit if k in ids[y]][:12] for y in (0, 1)}
+    assert totals == {y: len({k for k, _ in fit if k % 2 == y}) for y in (0, 1)}
+
+
 def test_vocabulary_kinds_are_told_apart():
     with open(BYTE_BPE, encoding="utf-8") as file:
         assert json.load(file)["pre_tokenizer"]["type"] == "ByteLevel"
