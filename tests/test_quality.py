@@ -173,18 +173,20 @@ def test_lookups_reach_the_scan(spark, data):
 def test_json_contains_an_object(spark):
     texts = [
         '{"a": 1, "b": {"c": "x", "d": true}}', '{"a": 1.0, "b": {"c": "x"}}', '{"b": 2}', "[1]",
-        "no json", None,
+        "no json", None, '{"a": [2, 1]}',
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
 
     def found(wanted):
         return [r[0] for r in df.select(profile.json_holds(F.col("t"), wanted)).collect()]
 
-    assert found({"a": 1}) == [True, True, False, False, False, False]
-    assert found({"a": 1, "b": {"c": "x", "d": True}}) == [True] + [False] * 5
-    assert found({"b": 2}) == [False, False, True, False, False, False]
+    assert found({"a": 1}) == [True, True] + [False] * 5
+    assert found({"a": 1, "b": {"c": "x", "d": True}}) == [True] + [False] * 6
+    assert found({"b": 2}) == [False, False, True] + [False] * 4
+    assert found({"a": [1]}) == [False] * 6 + [True]
+    assert found({"a": [1, 3]}) == [False] * 7
     with pytest.raises(TypeError, match="cannot look for"):
-        profile.json_holds(F.col("t"), {"a": [1]})
+        profile.json_holds(F.col("t"), {"a": object()})
 
 
 def test_column_stats_of_nested_columns(spark):
