@@ -19,6 +19,7 @@ from haulage.llm import (
     substring_dedup,
     token_files,
     toxicity,
+    url_filter,
 )
 from haulage.llm.ship import ship
 from haulage.session import shared_folder
@@ -179,3 +180,36 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"))
+
+
+#: The rules of the url query, fixed by its contract.
+URL_RULES = [
+    url_filter.UrlRule("net", "/", "block"),
+    url_filter.UrlRule("example.net", "/en/", "allow"),
+    url_filter.UrlRule("example.com", "/de/", "block"),
+    url_filter.UrlRule("org", "/fr/", "allow"),
+]
+
+
+@query("""
+    WITH rests AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+        FROM pages
+    ),
+    parts AS (
+        SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+               translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+        FROM rests
+    ),
+    fits AS (
+        SELECT page_id, host, path, list_filter([
+            {'h': 'example.net', 'p': '/en/', 'v': 'allow'}, {'h': 'example.com', 'p': '/de/', 'v': 'block'},
+            {'h': 'org', 'p': '/fr/', 'v': 'allow'}, {'h': 'net', 'p': '/', 'v': 'block'}
+        ], lambda r: (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))[1] AS r
+        FROM parts
+    )
+    SELECT page_id, host, path, r.h || r.p AS rule, coalesce(r.v, 'allow') AS verdict FROM fits
+""")
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
