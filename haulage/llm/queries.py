@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haulage.llm import (
     bpe,
@@ -14,6 +15,7 @@ from haulage.llm import (
     embedding_dedup,
     lm_score,
     packing,
+    periodic_runs,
     quality_rules,
     simhash,
     substring_dedup,
@@ -182,6 +184,87 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.score(table(spark, folder, "documents"))
 
 
+def with_planted_runs(key: Column, text: Column) -> Column:
+    """The text, or for a tenth of the keys its words with a stretch from some word on that repeats, as op11's contract draws it."""
+    drawn = F.crc32(key.cast("string"))
+    words = F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
+    n, seed = F.size(words), F.floor(drawn / 10).cast("bigint")
+    at = F.try_mod(seed, n).cast("int")
+    period = (F.lit(1) + F.floor((n - at) / (F.lit(3) + seed % 8))).cast("int")
+    times = F.ceil((n - at) / period).cast("int")
+    repeated = F.flatten(F.array_repeat(F.slice(words, at + 1, period), times))
+    planted = F.array_join(F.concat(F.slice(words, 1, at), F.slice(repeated, 1, n - at)), " ")
+    return F.when((drawn % 10 == 0) & (n > 0), planted).otherwise(text)
+
+
+@query("""
+    WITH keyed AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+               xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                   lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+                   CAST(4294967295 AS BIGINT))) AS h
+        FROM documents
+    ),
+    drawn AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM keyed),
+    cut AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM drawn),
+    texts AS (
+        SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+            THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w
+        FROM cut
+    ),
+    tokens AS (
+        SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM texts
+    ),
+    alike AS (
+        SELECT a.r, b.i - a.i AS q, a.i FROM tokens a JOIN tokens b
+        ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+    ),
+    islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM alike),
+    stretches AS (
+        SELECT r, q, min(i) AS s, min(i) + count(*) + q AS e FROM islands
+        GROUP BY r, q, g HAVING count(*) + q >= greatest(6, 4 * q)
+    ),
+    runs AS (
+        SELECT r, s, e - s AS l, q FROM stretches x WHERE NOT EXISTS (
+            SELECT 1 FROM stretches y WHERE y.r = x.r AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)
+    ),
+    shown AS (
+        SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+               first({'s': s, 'l': l, 'q': q} ORDER BY l / q DESC, s, q) AS best
+        FROM runs GROUP BY r
+    ),
+    gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+    kept AS (
+        SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM tokens ANTI JOIN gone USING (r, i) GROUP BY r
+    )
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period,
+           1000 * best.l // best.q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+           sha256(coalesce(t, '')) AS collapsed_sha256
+    FROM texts LEFT JOIN shown USING (r) LEFT JOIN kept USING (r)
+""")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", with_planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.collapse_runs(documents, with_text=False).select("doc_id", "periodic.*")
+    # Of greatest length/period, then of smallest start and period; the runs come in that order.
+    by_exponent = F.array_sort(
+        "runs", lambda a, b: F.signum(b["length"] * a["period"] - a["length"] * b["period"]).cast("int")
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.get(by_exponent, 0)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 #: The rules of the url query, fixed by its contract.
 URL_RULES = [
     url_filter.UrlRule("net", "/", "block"),
