@@ -19,6 +19,7 @@ from haulage.llm import (
     quality_rules,
     simhash,
     substring_dedup,
+    token_alignment,
     token_files,
     toxicity,
     url_filter,
@@ -31,6 +32,7 @@ ORACLES: dict[str, str] = {}
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(sql: str | None = None) -> Callable:
@@ -265,6 +267,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_tokenizers(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)[0]
+
+
 #: The rules of the url query, fixed by its contract.
 URL_RULES = [
     url_filter.UrlRule("net", "/", "block"),

@@ -1,0 +1,148 @@
+"""Alignment of two tokenizers, against the libraries on whole texts and dense products."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from haulage.llm import token_alignment
+from haulage.llm.queries import BYTE_BPE, PIECE_BPE, QUERIES, table
+from haulage.llm.token_alignment import Aligner, align_tokenizers, byte_table, incidence, membership, product, transposed
+from tests.conftest import DATA
+from tests.llm.conftest import LONG, ROWS
+from tests.llm.test_texts import ALPHABET
+
+MORE = ["\r", "\r\n", ";\r", " {\r", "▁", "<s>", "</s>", "<0x0A>", "    ", "naïve", "Straße", "中文字", "　", "hello", "ing"]
+
+
+def texts(n, seed):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choices(ALPHABET + MORE, k=rnd.randrange(1, 16))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    a = Tokenizer.from_file(BYTE_BPE)
+    a.encode_special_tokens = True
+    return a, byte_table(a), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+
+
+def aligned(text, libraries):
+    """Groups of a whole text as (ids of a, ids of b), or none."""
+    a, bytes_a, b = libraries
+    if not text:
+        return []
+    ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    piece = [b.id_to_piece(k) for k in ids_b]
+    parts_a = [bytes_a[k] for k in ids_a]
+    parts_b = [bytes([int(p[3:5], 16)]) if b.is_byte(k) else p.replace("▁", " ").encode() for k, p in zip(ids_b, piece, strict=True)]
+    if not b"".join(parts_a) == b"".join(parts_b) == (" " + text).encode():
+        return []
+    ends_a, ends_b = np.cumsum(list(map(len, parts_a))).tolist(), np.cumsum(list(map(len, parts_b))).tolist()
+    both, groups, i, j = set(ends_a) & set(ends_b), [([], [])], 0, 0
+    for end in sorted(both):
+        while i < len(ids_a) and ends_a[i] <= end:
+            groups[-1][0].append(ids_a[i])
+            i += 1
+        while j < len(ids_b) and ends_b[j] <= end:
+            groups[-1][1].append(ids_b[j])
+            j += 1
+        groups.append(([], []))
+    return groups[:-1]
+
+
+def digest(groups):
+    shown = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    return hashlib.sha256(shown.encode()).hexdigest() if groups else ""
+
+
+def expected(rows, libraries):
+    """Per (id, text) the query's row, and the corpus-wide counts."""
+    every = [(key, aligned(text, libraries)) for key, text in rows]
+    links = [Counter((x, y) for a, b in groups for x in a for y in b) for _, groups in every]
+    documents = Counter(pair for own in links for pair in own)
+    most = defaultdict(int)
+    for (x, _), n in documents.items():
+        most[x] = max(most[x], n)
+    found = []
+    for (key, groups), own in zip(every, links, strict=True):
+        best = sum(t for (x, y), t in own.items() if documents[x, y] == most[x])
+        total = sum(t * documents[pair] for pair, t in own.items())
+        n_a, n_b = (sum(len(g[side]) for g in groups) for side in (0, 1))
+        found.append((key, n_a, n_b, len(groups), sum(own.values()), best, total, digest(groups)))
+    return found, documents, most
+
+
+def test_products_against_dense_ones():
+    rnd = np.random.default_rng(3)
+    for shape in ((7, 5, 9), (1, 1, 1), (12, 30, 4), (3, 4, 3)):
+        x, y = rnd.integers(0, 3, shape[:2]), rnd.integers(0, 3, shape[1:])
+
+        def sparse(m):
+            row, column = np.nonzero(m)
+            starts = np.concatenate([[0], np.cumsum((m != 0).sum(axis=1))])
+            return token_alignment.Csr(starts, column, m[row, column], m.shape[1])
+
+        def dense(m):
+            out = np.zeros((len(m.starts) - 1, m.width), dtype=np.int64)
+            out[m.rows, m.columns] = m.values
+            return out
+
+        assert (dense(product(sparse(x), sparse(y))) == x @ y).all()
+        assert (dense(transposed(sparse(x))) == x.T).all()
+    overlap = product(incidence(np.array([2, 3, 1])), transposed(incidence(np.array([1, 4, 1]))))
+    assert list(zip(overlap.rows.tolist(), overlap.columns.tolist(), overlap.values.tolist(), strict=True)) == [
+        (0, 0, 1), (0, 1, 1), (1, 1, 3), (2, 2, 1),
+    ]
+    group_a, group_b = token_alignment.groups_of(overlap, 3)
+    assert group_a.tolist() == [0, 0, 1] and group_b.tolist() == [0, 0, 1]
+    shared = product(membership(group_a, 2), transposed(membership(group_b, 2)))
+    assert list(zip(shared.rows.tolist(), shared.columns.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.parametrize("kept, expanded", [(200_000, 1 << 21), (40, 3)])
+def test_texts_from_pieces_against_the_libraries(libraries, monkeypatch, kept, expanded):
+    monkeypatch.setattr(token_alignment, "EXPANDED", expanded)
+    own = Aligner(BYTE_BPE, PIECE_BPE, kept)
+    cases = texts(3000, 5) + ["a " * 40, " ", "  ", "\n", "x", "中文" * 300, "é" * 50]
+    found = []
+    for k in range(0, len(cases), 50):
+        found += own.align([t.encode() for t in cases[k : k + 50]])
+    full = 0
+    for text, (counts, shown, pairs, times) in zip(cases, found, strict=True):
+        groups = aligned(text, libraries)
+        links = Counter((x, y) for a, b in groups for x in a for y in b)
+        n_a, n_b = (sum(len(g[side]) for g in groups) for side in (0, 1))
+        assert (counts, shown) == ([n_a, n_b, len(groups), sum(links.values())], digest(groups))
+        assert {(p >> 15, p & 32767): t for p, t in zip(pairs.tolist(), times.tolist(), strict=True)} == dict(links)
+        full += bool(groups)
+    assert full > 2000
+
+
+@pytest.mark.parametrize("block", [8 << 20, 200])
+def test_odd_rows(odd, none, spark, libraries, monkeypatch, block):
+    monkeypatch.setattr(token_alignment, "BLOCK_BYTES", block)
+    rows, counts = align_tokenizers(odd, BYTE_BPE, PIECE_BPE)
+    found, documents, most = expected([(k, t) for k, t, _ in ROWS], libraries)
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(found, key=repr)
+    assert {(r.a, r.b): (r.documents, r.best) for r in counts.collect()} == {p: (n, n == most[p[0]]) for p, n in documents.items()}
+    for made in align_tokenizers(none, BYTE_BPE, PIECE_BPE):
+        assert made.count() == 0
+
+
+def test_query_against_the_libraries(spark, libraries):
+    documents = table(spark, DATA, "documents").select("doc_id", "text").collect()
+    found = QUERIES["op12_token_alignment"](spark, DATA)
+    assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert sorted(map(tuple, found.collect())) == sorted(expected([tuple(r) for r in documents], libraries)[0])
+
+
+def test_all_empty(spark, libraries):
+    df = spark.createDataFrame([(1, None), (None, ""), (3, "a▁b")], "doc_id long, text string")
+    rows, counts = align_tokenizers(df, BYTE_BPE, PIECE_BPE)
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted([(k, 0, 0, 0, 0, 0, 0, "") for k in (1, None, 3)], key=repr)
+    assert counts.count() == 0
