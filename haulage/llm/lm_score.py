@@ -30,7 +30,7 @@ CHUNK_PAIRS = 1 << 20
 MOST_BITS = 1 << 28  # more than a bucket of BUCKET_PAIRS takes
 BITS_PER_ITEM = 14
 PROBES = 6
-LEAST_COUNT = 2
+LEAST_COUNT = 1
 PAIR = np.uint64(0xD1342543DE82EF95)
 LEVEL = 0xA24BAED4963EE407
 
@@ -116,7 +116,7 @@ def stretch(hashes: np.ndarray, levels: np.ndarray, size: int) -> np.ndarray:
 
 
 def pair_filter(training: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, size, levels, bits): the filter over all pairs seen LEAST_COUNT times or more, one row a bucket."""
+    """(bucket, size, levels, bits): the filter over all pairs, one row a bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -280,7 +280,7 @@ def score(
     trains. Tokens are the words with A-Z lower-cased and one end, which also stands before the first.
     base_score adds log10((c + 1) / (N + V + 1)) with exact counts. score mixes that chance with the share of
     the pair among what follows the word before, `weight` for the latter; behind an untrained word only
-    the former. All pairs of two counts or more are held; there are as many buckets as it takes for one to fill
+    the former. All pairs are held, those seen once too; there are as many buckets as it takes for one to fill
     `most_bits` bits or fewer, and scores do not depend on it but for pairs found by mistake. Words are
     told apart by 64-bit hashes. A null text is an empty one: one token, the end. Repeated rows are counted and
     returned one by one; other columns are not carried; a table without rows gives none.
@@ -296,7 +296,7 @@ def score(
     counts = checkpointed(counts)
     whole, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    blocked = rows.withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
+    blocked = rows.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)))
     words = words_asked(blocked).join(counts, "word").select("_block", "word", "c", F.lit(None).cast("binary").alias("levels"))
     levels = pair_levels(pairs_asked(blocked, buckets), pair_filter(training, buckets))
     answers = words.union(levels.select("_block", F.col("bucket").cast("long"), F.lit(None).cast("long"), "levels"))
