@@ -141,6 +141,15 @@ def cut_to_powers(parts: list[Piece]) -> list[list[Piece]]:
     return found
 
 
+def without_padding(sequences: list[list[Piece]], limits: Limits) -> list[list[Piece]]:
+    """The sequences, those short of full by `limits.shortest` or more cut to powers of two."""
+    found = []
+    for parts in sequences:
+        short = sum(p.length for p in parts) + limits.shortest <= limits.tokens
+        found += cut_to_powers(parts) if short else [parts]
+    return found
+
+
 def pack(
     df: DataFrame,
     tokenizer: str,
@@ -158,8 +167,8 @@ def pack(
     before the other whose ids bear no loss; none by default. ids: little-endian 32-bit, null
     unless `with_ids`. A null or empty text is one piece that holds the end id alone. Repeated
     ids and rows are packed one by one; columns not named here are not carried; a table
-    without rows gives none. Only the last sequences of a task are shorter than full by more
-    than a gap of `limits.shortest`, unless the limit on segments or loss holds first.
+    without rows gives none. A sequence that is short of full by `limits.shortest` or more, as the limit on
+    segments or loss held first or the task ended, is cut to several of a power of two each, which need no padding.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +213,9 @@ def pack(
                     yield rows([[p] for p in done])
                 if len(open_) >= waiting:
                     found, open_ = fill(open_, limits, last=False)
-                    yield rows(found)
+                    yield rows(without_padding(found, limits))
         if open_:
-            found, _ = fill(open_, limits, last=True)
-            full = [s for s in found if sum(p.length for p in s) + limits.shortest > limits.tokens]
-            short = [s for s in found if sum(p.length for p in s) + limits.shortest <= limits.tokens]
-            yield rows(full + [t for s in short for t in cut_to_powers(s)])
+            yield rows(without_padding(fill(open_, limits, last=True)[0], limits))
 
     if prompt is None:
         before = F.lit("")

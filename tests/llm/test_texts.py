@@ -117,6 +117,13 @@ def test_packing_limits(spark, limits):
     check_packed(packing.pack(df, WORD_BPE, limits).collect(), documents, limits)
 
 
+@pytest.mark.parametrize("words", [4, 10, 29, 59])
+def test_many_tiny_texts_need_no_padding(spark, words):
+    documents = [(k, " ".join(["cat"] * words)) for k in range(4500)]
+    df = spark.createDataFrame(documents, "doc_id long, text string").repartition(2)
+    assert check_packed(packing.pack(df, WORD_BPE).collect(), documents, packing.Limits()) < 0.02
+
+
 def test_prompts_bear_no_loss(spark):
     data = [(1, "what is this ?", "a cat"), (2, None, "yes"), (3, "only asked", None)]
     df = spark.createDataFrame(data, "doc_id long, prompt string, text string")
