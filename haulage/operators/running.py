@@ -1,8 +1,8 @@
 """Running values per key that survive one key holding a third of all rows.
 
-The order is cut into stretches, the same for all keys. Each key's rows of a stretch are
-summed up to one row, those few are carried forward, and each row adds what its
-stretch was handed. No task needs more of a key than a stretch holds.
+Rows go through a range exchange by key and order, so a stretch holds rows that follow one another, whatever
+the keys look like. Each stretch is worked through by itself and written once. Only its last key can
+go on in the next stretch: one row a stretch is handed forward, and a stretch's first key adds what it was handed.
 """
 
 from __future__ import annotations
@@ -12,17 +12,29 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from haulage.functions.types import named
-from haulage.operators.skew import ordered_parts, task_count
+from haulage.operators.skew import task_count
+from haulage.session import checkpointed
 
 # An amount as the source declares it; totals get ten digits more, balances another three.
 AMOUNT = "decimal(15,2)"
 TOTAL = "decimal(25,2)"
 MONEY = "decimal(28,2)"
 
-# Stretches go to tasks by hash; several per task even out what each gets.
-STRETCHES_PER_TASK = 4
+# The row within its partition, in what monotonically_increasing_id gives.
+ROW_BITS = 33
+
+
+def ranged(df: DataFrame, order: Sequence[str], parts: int, name: str = "_part") -> DataFrame:
+    """The rows dealt to `parts` stretches of an order, with each one's stretch; all of a lower stretch come first.
+
+    Spark draws the cuts from a sample of bounded size. The numbers hold for this exchange alone, so whatever
+    needs them twice must write them first.
+    """
+    cut = df.repartitionByRange(parts, *[named(c) for c in order])
+    return cut.withColumn(name, F.spark_partition_id())
 
 
 def running_values(
@@ -36,47 +48,67 @@ def running_values(
 ) -> DataFrame:
     """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
 
-    A NULL move counts as nothing. Rows without a key make a group like any
-    other. With ``opening``, each row also gets its key's ``_opening``.
+    A NULL move counts as nothing. Rows without a key make a group like any other. With
+    ``opening``, a key's balance is in every total, and is itself neither counted nor a lowest total.
     """
-    columns = [named(c) for c in df.columns]
+    parts = parts or task_count(df)
+    nothing = F.lit(0).cast(AMOUNT)
     # A struct is never NULL, so a NULL key partitions and joins like the rest.
     moved = df.withColumns(
-        {"_key": F.struct(named(key)), "_move": F.coalesce(move.cast(AMOUNT), F.lit(0).cast(AMOUNT))}
+        {"_key": F.struct(named(key).alias("k")), "_move": F.coalesce(move.cast(AMOUNT), nothing), "_counts": F.lit(1)}
     )
-    cut = ordered_parts(moved, order, parts or STRETCHES_PER_TASK * task_count(df), "_part")
-    upto = Window.partitionBy("_key", "_part").orderBy(*order)
+    if opening:
+        # Balances travel with the movements, ahead of them, so no join has to find them.
+        moved = opening.rows(df.schema[key].dataType).unionByName(moved, allowMissingColumns=True)
+    sequence = ["_counts", *order] if opening else list(order)
+    # The windows find each stretch whole in a task; the exchange between moves it there unsplit.
+    cut = ranged(moved, ["_key", *sequence], parts).repartitionById(parts, "_part")
+    upto = Window.partitionBy("_part", "_key").orderBy(*[named(c) for c in sequence])
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.withColumns(
-        {"_count": F.count(F.lit(1)).over(upto), "_total": F.sum("_move").over(upto)}
-    ).withColumn("_low", F.min("_total").over(upto))
-    heads = local.groupBy("_key", "_part").agg(
-        F.count(F.lit(1)).alias("_part_count"),
-        F.sum("_move").alias("_part_total"),
-        F.min("_low").alias("_part_low"),
-    )
-    before = Window.partitionBy("_key").orderBy("_part")
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumns(
-        {
-            "_count_before": F.coalesce(F.sum("_part_count").over(before), F.lit(0)),
-            "_total_before": F.coalesce(F.sum("_part_total").over(before), F.lit(0)).cast(TOTAL),
-        }
-    )
-    low_here = (F.col("_total_before") + F.col("_part_low")).cast(TOTAL)
-    heads = heads.withColumn("_low_before", F.min(low_here).over(before))
-    handed = ["_count_before", "_total_before", "_low_before"]
+        {"_count": F.sum("_counts").over(upto), "_total": F.sum("_move").over(upto).cast(TOTAL)}
+    ).withColumn("_low", F.min(F.when(F.col("_counts") == 1, F.col("_total"))).over(upto))
+    local = checkpointed(local.select(*df.columns, "_part", "_key", *sequence[: 1 if opening else 0], "_count", "_total", "_low"))
+    handed = _handed_forward(local, sequence)
+    joined = local.join(handed, ["_part", "_key"], "left")
     if opening:
-        heads = opening.added_to(heads)
-        handed.append("_opening")
-    # Joined on what the rows are already partitioned by.
-    joined = local.join(heads.select("_key", "_part", *handed), ["_key", "_part"])
+        joined = joined.where("_counts = 1")
+    before = F.coalesce("_total_before", F.lit(0).cast(TOTAL))
     return joined.select(
-        *columns,
-        (F.col("_count") + F.col("_count_before")).alias("_count"),
-        (F.col("_total") + F.col("_total_before")).cast(TOTAL).alias("_total"),
-        F.least("_low_before", (F.col("_low") + F.col("_total_before")).cast(TOTAL)).alias("_low"),
-        *(["_opening"] if opening else []),
+        *[named(c) for c in df.columns],
+        (F.col("_count") + F.coalesce("_count_before", F.lit(0))).alias("_count"),
+        (F.col("_total") + before).cast(TOTAL).alias("_total"),
+        F.least("_low_before", (F.col("_low") + before).cast(TOTAL)).alias("_low"),
+    )
+
+
+def _handed_forward(local: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """(_part, _key, _count_before, _total_before, _low_before) of each stretch whose first key began in one before.
+
+    One row a stretch: its first key, and its last key with the values at the stretch's end.
+    """
+    last = F.struct("_key", *[named(c) for c in sequence])
+    ends = local.groupBy("_part").agg(
+        F.min("_key").alias("_key"),
+        F.max_by(F.struct("_key", "_count", "_total", "_low"), last).alias("_end"),
+    )
+    upto = Window.partitionBy("_end._key").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_t", F.sum("_end._total").over(upto).cast(TOTAL))
+    low = (F.col("_t") - F.col("_end._total") + F.col("_end._low")).cast(TOTAL)
+    so_far = F.struct(
+        F.col("_end._key").alias("key"),
+        F.sum("_end._count").over(upto).alias("count"),
+        F.col("_t").alias("total"),
+        F.min(low).over(upto).alias("low"),
+    )
+    ends = ends.select("_part", "_key", so_far.alias("_so_far"))
+    ends = ends.withColumn("_handed", F.lag("_so_far").over(Window.orderBy("_part")))
+    return ends.where("_handed.key = _key").select(
+        "_part",
+        "_key",
+        F.col("_handed.count").alias("_count_before"),
+        F.col("_handed.total").alias("_total_before"),
+        F.col("_handed.low").alias("_low_before"),
     )
 
 
@@ -88,12 +120,14 @@ class Opening:
     key: str
     balance: str
 
-    def added_to(self, heads: DataFrame) -> DataFrame:
-        """The balances beside one row per account and stretch; nothing where there is none."""
-        balances = self.accounts.select(
-            F.struct(named(self.key)).alias("_key"), named(self.balance).cast(AMOUNT).alias("_opening")
+    def rows(self, kind: DataType) -> DataFrame:
+        """The balances as movements that come before all others of their account and are not counted."""
+        nothing = F.lit(0).cast(AMOUNT)
+        return self.accounts.where(named(self.key).isNotNull()).select(
+            F.struct(named(self.key).cast(kind).alias("k")).alias("_key"),
+            F.coalesce(named(self.balance).cast(AMOUNT), nothing).alias("_move"),
+            F.lit(0).alias("_counts"),
         )
-        return heads.join(balances.where(F.col("_key")[self.key].isNotNull()), "_key", "left")
 
 
 def ledger(
@@ -131,7 +165,7 @@ def ledger(
     kept = opening if isinstance(opening, Opening) else None
     rows = running_values(df, account, order, signed, opening=kept, parts=parts)
     nothing = F.lit(0).cast(AMOUNT)
-    start = F.coalesce((F.col("_opening") if kept else opening).cast(AMOUNT), nothing)
+    start = nothing if kept else F.coalesce(opening.cast(AMOUNT), nothing)
     total = start + F.col("_total")
     low = F.least(nothing, start + F.col("_low"))
     return rows.select(
@@ -206,21 +240,19 @@ def number_rows(
 ) -> DataFrame:
     """Number all rows without gaps in a unique order, as a serial key does.
 
-    A window over the whole table would sort it in one task. The order is cut
-    into stretches instead: count each, add up the counts before it, and number
-    within it.
+    A window over the whole table would sort it in one task. A range exchange deals out stretches of
+    the order instead; each is sorted and its rows get their places in it as they are written. The stretches' sizes
+    are added up, one row for each, and every row adds what lies before its stretch.
     """
-    cut = ordered_parts(df, order, parts or STRETCHES_PER_TASK * task_count(df), "_part")
-    # One row per stretch: as many as there are tasks, enough for a single one.
-    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    sequence = [named(c) for c in order]
+    cut = ranged(df, order, parts or task_count(df), "_part").drop("_part")
+    placed = cut.sortWithinPartitions(*sequence).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(placed).withColumn("_part", F.shiftright("_at", ROW_BITS))
+    # One row per stretch: enough for a single task.
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("_part").alias("_of_part"),
-        (F.coalesce(F.sum("_size").over(before), F.lit(0)) + F.lit(start - 1)).alias("_offset"),
-    )
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)).cast("bigint")
-    numbered = cut.withColumn("_within", within)
-    joined = numbered.join(starts, numbered["_part"] == starts["_of_part"])
-    return joined.select(
-        *[named(c) for c in df.columns], (F.col("_within") + F.col("_offset")).alias(name)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return placed.join(starts, "_part").select(
+        *[named(c) for c in df.columns], (within + F.col("_before") + F.lit(start)).alias(name)
     )

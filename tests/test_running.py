@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulage.operators import running, skew
-from tests.conftest import plan_of, rows
+from tests.conftest import rows
 
 CREDITS = ["deposit", "interest"]
 DEBITS = ["withdrawal", "transfer", "payment", "fee"]
@@ -91,8 +91,20 @@ def test_running_count_of_any_cut(movements):
 
 def test_a_key_is_never_one_window_group(movements):
     df, _ = movements
-    plan = plan_of(replay(df, parts=8))
-    assert "hashpartitioning(_key" in plan and "_part" in plan
+    sizes = [r["count"] for r in running.ranged(df, ["user_id", "id"], 16).groupBy("_part").count().collect()]
+    assert len(sizes) > 8 and sum(sizes) == df.count() and max(sizes) < 700 / 2
+
+
+def test_stretches_are_handed_forward_over_many(spark):
+    data = [(k, "a" if k < 300 else "b", Decimal(k % 7 - 3)) for k in range(600)] + [(0, None, Decimal(1))]
+    df = spark.createDataFrame(data, "id int, k string, amount decimal(15,2)").repartition(3)
+    found = {(r.k, r.id): (r._count, r._total, r._low) for r in running.running_values(df, "k", ["id"], F.col("amount"), parts=40).collect()}
+    for key in ("a", "b", None):
+        total, low, n = Decimal(0), None, 0
+        for k, own, amount in sorted((d for d in data if d[1] == key)):
+            total, n = total + amount, n + 1
+            low = total if low is None else min(low, total)
+            assert found[own, k] == (n, total, low)
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -182,25 +194,20 @@ def test_numbers_are_gapless_and_in_order(timeline, parts):
 
 
 def test_a_frequent_value_is_cut_by_the_next_column(timeline):
-    cut = skew.ordered_parts(timeline, ["ts", "id"], 16)
-    sizes = [row["count"] for row in cut.groupBy("part").count().collect()]
+    cut = running.ranged(timeline, ["ts", "id"], 16)
+    sizes = [row["count"] for row in cut.groupBy("_part").count().collect()]
     assert sum(sizes) == 900 and max(sizes) <= 3 * 900 / 16 + 10
 
 
 def test_many_rows_without_an_order_value_are_cut_too(timeline):
     hollow = timeline.withColumn("ts", F.when(F.col("id") % 2 == 0, F.col("ts")))
-    cut = skew.ordered_parts(hollow, ["ts", "id"], 16)
-    assert max(row["count"] for row in cut.groupBy("part").count().collect()) < 250
+    cut = running.ranged(hollow, ["ts", "id"], 16)
+    assert max(row["count"] for row in cut.groupBy("_part").count().collect()) < 250
     numbered = running.number_rows(hollow, ["ts", "id"], "n", parts=16).orderBy("n").collect()
     keys = [(r.ts is not None, r.ts, r.id) for r in numbered]
     assert keys == sorted(keys)
 
 
-def test_parts_need_an_order_that_can_be_cut(spark):
-    with pytest.raises(TypeError, match="cannot cut"):
-        skew.ordered_parts(spark.createDataFrame([([1],)], "v array<int>"), ["v"], 4)
-
-
 @pytest.mark.parametrize("kind", ["string", "binary", "boolean", "bigint", "decimal(30,3)", "date", "timestamp"])
 @pytest.mark.parametrize("parts", [1, 8])
 def test_any_sortable_type_is_cut_in_order(spark, kind, parts):
@@ -219,7 +226,7 @@ def test_any_sortable_type_is_cut_in_order(spark, kind, parts):
     found = [(r.v, r.id) for r in numbered.orderBy("n").collect()]
     assert found == [(r.v, r.id) for r in df.orderBy("v", "id").collect()]
     if parts > 1 and kind != "boolean":
-        sizes = skew.ordered_parts(df, ["v", "id"], parts).groupBy("part").count().collect()
+        sizes = running.ranged(df, ["v", "id"], parts).groupBy("_part").count().collect()
         assert max(r["count"] for r in sizes) < 120
 
 
