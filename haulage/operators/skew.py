@@ -36,14 +36,19 @@ def _has_map(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.MapType, T.VariantType))
 
 
+def row_hash(df: DataFrame, *more: Column) -> Column:
+    """A hash of all columns, and of what else is given."""
+    hashable = [
+        F.to_json(F.struct(named(f.name))) if _has_map(f.dataType) else named(f.name)
+        for f in df.schema.fields
+    ]
+    return F.xxhash64(*hashable, *more)
+
+
 def spread(df: DataFrame) -> Column:
     """A number to scatter rows by, the same on every attempt of a task, unlike a random one.
 
     A hash of the whole row, and of the partition it comes from: copies of one
     row scatter too, since they do not all come from one partition.
     """
-    hashable = [
-        F.to_json(F.struct(named(f.name))) if _has_map(f.dataType) else named(f.name)
-        for f in df.schema.fields
-    ]
-    return F.xxhash64(*hashable, F.spark_partition_id())
+    return row_hash(df, F.spark_partition_id())

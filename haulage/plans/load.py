@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 from graphlib import TopologicalSorter
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulage.functions.types import SourceColumn, columns_of, landing_schema, named, parse_type
+from haulage.functions.types import SourceColumn, columns_of, landing_schema, parse_type
+from haulage.operators import unique as unique_keys
 from haulage.operators.conform import conform, stack_up, with_defaults
 from haulage.operators.quality import Rule, judged
 from haulage.operators.running import number_rows
-from haulage.operators.skew import spread
 from haulage.plans.spec import LoadSpec
 from haulage.sources import files, jdbc
 from haulage.tables.snapshots import Commit, SnapshotTables
@@ -95,25 +93,23 @@ def screened(
     """Rows that may be loaded, and the others with ``broken_rules``.
 
     Of new rows that share a key, the one with the least hash of all its columns stays, and of equal rows
-    one. A key with a NULL in it equals no other. A key of rows that break a rule is free.
+    one; both results come from rows written once, so they agree. A key with a NULL in it equals no other. A key of rows that break a rule is free.
     """
     names = rows.columns
     judged_rows = judged(rows, checks)
     refused = [judged_rows.where("not accepted").drop("accepted")]
     left = judged_rows.where("accepted").select(*names)
+    if unique:
+        left = unique_keys.arrived(left)
+        count = left.count() if stored is not None else 0
     for keys in unique:
         rule = F.array(F.lit(f"{', '.join(keys)} is unique")).alias("broken_rules")
-        whole = reduce(and_, [named(key).isNotNull() for key in keys])
         if stored is not None:
-            taken = stored.select(*[named(k).alias(f"_stored{i}") for i, k in enumerate(keys)]).distinct()
-            same = reduce(and_, [named(k) == F.col(f"_stored{i}") for i, k in enumerate(keys)])
-            refused.append(left.join(taken, same, "left_semi").select(*names, rule))
-            left = left.join(taken, same, "left_anti")
-        order = Window.partitionBy(*map(named, keys)).orderBy(spread(left))
-        ranked = left.where(whole).withColumn("_rank", F.row_number().over(order))
-        refused.append(ranked.where("_rank > 1").select(*names, rule))
-        left = ranked.where("_rank = 1").select(*names).unionByName(left.where(~whole))
-    return left, stack_up(refused)
+            left, known = unique_keys.against_stored(left, stored, keys, count)
+            refused.append(known.select(*names, rule))
+        left, repeated = unique_keys.winners(left, keys)
+        refused.append(repeated.select(*names, rule))
+    return left.select(*names), stack_up(refused)
 
 
 def insert(

@@ -156,6 +156,32 @@ def append_unique(spark: SparkSession, folder: str) -> DataFrame:
     return counted_back(tables, {"loaded": "sales.orders", "rejected": "sales.orders_rejected"})
 
 
+@query(
+    "SELECT 'loaded' AS part, count(DISTINCT (l_partkey, l_suppkey)) AS rows,"
+    " count(DISTINCT (l_partkey, l_suppkey)) AS keys, count(DISTINCT (l_partkey, l_suppkey)) AS reported FROM lineitem"
+    " UNION ALL SELECT 'rejected', n - k, r, n - k FROM"
+    " (SELECT count(*) FILTER (l_returnflag <> 'R') AS n, count(DISTINCT (l_partkey, l_suppkey))"
+    " - count(DISTINCT (l_partkey, l_suppkey)) FILTER (l_returnflag = 'R') AS k FROM lineitem),"
+    " (SELECT count(*) AS r FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL"
+    " HAVING count(*) > 1 OR (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')))"
+)
+def load_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines whose part and supplier repeat, within a load and against those already there: one of each is loaded."""
+    tables = new_tables(spark)
+    lines = table(spark, folder, "lineitem")
+    key = ["l_partkey", "l_suppkey"]
+    tables.write(lines.where(F.col("l_returnflag") == "R").dropDuplicates(key), "sales.lineitem", "append")
+    new = f"{fresh_warehouse(spark)}/lines"
+    lines.where(F.col("l_returnflag") != "R").write.parquet(new)
+    load(spark, LoadSpec("lineitem", path=new, namespace="sales", mode="append"), tables, unique=[key])
+    names = {"loaded": "sales.lineitem", "rejected": "sales.lineitem_rejected"}
+    keys = [
+        tables.read(name).select(*key).distinct().agg(F.count(F.lit(1)).alias("keys")).withColumn("part", F.lit(part))
+        for part, name in names.items()
+    ]
+    return counted_back(tables, names).join(shaping.stack_up(keys), "part")
+
+
 def counted_back(tables: SnapshotTables, names: dict[str, str]) -> DataFrame:
     """Rows read back from tables, beside the rows their loads reported."""
     read = profile.table_stats({part: tables.read(name) for part, name in names.items()})
