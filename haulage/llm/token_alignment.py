@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from haulage.llm.bpe import byte_letters, checked_encoder
 from haulage.llm.chunks import PieceEncoder, odd_blanks
 from haulage.llm.text import SPACE, Words, ragged, slices
 from haulage.session import shared_folder
 
 #: Pieces kept by a worker, bytes of text in a block, and links that are expanded at a time.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 500_000
 BLOCK_BYTES = 8 << 20
 EXPANDED = 1 << 21
 PIECE_SPACE = "▁".encode()
@@ -106,15 +108,54 @@ def grouped_sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nda
     return key[head], np.add.reduceat(value[order], head)
 
 
-def byte_table(tokenizer) -> dict[int, bytes]:
-    """The bytes of each id of a byte-level vocabulary: visible characters of Latin-1 stand for themselves, other bytes for 256 and on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [k for k in range(256) if k not in set(visible)]
-    byte = {chr(k): k for k in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
-    return {
-        k: bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-        for token, k in tokenizer.get_vocab().items()
-    }
+class Strings:
+    """Byte strings one after another, copied by number."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.sizes = np.array(list(map(len, strings)), dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.buffer = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        return self.buffer[ragged(self.starts[numbers], self.sizes[numbers])]
+
+
+def byte_table(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary; a token that is not written in its letters stands for itself."""
+    byte = {letter: k for k, letter in enumerate(byte_letters())}
+    found = [b""] * tokenizer.get_vocab_size()
+    for token, k in tokenizer.get_vocab().items():
+        found[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    return found
+
+
+class Grown:
+    """An array that rows are appended to."""
+
+    def __init__(self, like: np.ndarray) -> None:
+        self.held, self.size = np.empty_like(like[:0]), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.size + len(rows) > len(self.held):
+            more = np.empty((2 * len(rows) + self.size // 2, *self.held.shape[1:]), dtype=self.held.dtype)
+            self.held = np.concatenate([self.held[: self.size], more])
+        self.held[self.size : self.size + len(rows)] = rows
+        self.size += len(rows)
+
+
+@dataclass(frozen=True)
+class Measured:
+    """Of some pieces: whether both sides give a piece's bytes, its counts, its groups as text with `;` behind each, its pairs with
+    their links; and the overlaps of all tokens. Bounds say where a piece's share of shown and pairs begins."""
+
+    valid: np.ndarray
+    counts: np.ndarray
+    shown_bounds: np.ndarray
+    shown: np.ndarray
+    pair_bounds: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+    overlaps: Csr
 
 
 class Aligner(PieceEncoder):
@@ -129,23 +170,28 @@ class Aligner(PieceEncoder):
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
+        self.common = checked_encoder(path_a).encode
+        self.special = [token.content for token in self.a.get_added_tokens_decoder().values()]
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_a = byte_table(self.a)
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.encode().replace(PIECE_SPACE, b" ")
-            for k, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
-        ]
+        self.bytes_a = Strings(byte_table(self.a))
+        self.bytes_b = Strings(
+            [
+                bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.encode().replace(PIECE_SPACE, b" ")
+                for k, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
+            ]
+        )
+        self.decimals = Strings([b"%d" % k for k in range(max(len(self.bytes_a.sizes), len(self.bytes_b.sizes)))])
         self.blank = self.b.piece_to_id("▁")
         super().__init__(None, True, kept)
 
     def _forget(self) -> None:
         super()._forget()
-        self.valid = np.empty(0, dtype=bool)
-        self.counts = np.empty((0, len(COUNTS)), dtype=np.int64)
-        self.shown: list[bytes] = []
-        self.pair_starts = np.zeros(1, dtype=np.int64)
-        self.pairs = np.empty(0, dtype=np.int64)
-        self.times = np.empty(0, dtype=np.int64)
+        self.valid = Grown(np.empty(0, dtype=bool))
+        self.counts = Grown(np.empty((0, len(COUNTS)), dtype=np.int64))
+        self.shown_starts, self.shown_sizes = Grown(np.empty(0, dtype=np.int64)), Grown(np.empty(0, dtype=np.int64))
+        self.shown = Grown(np.empty(0, dtype=np.uint8))
+        self.pair_starts, self.pair_sizes = Grown(np.empty(0, dtype=np.int64)), Grown(np.empty(0, dtype=np.int64))
+        self.pairs, self.times = Grown(np.empty(0, dtype=np.int32)), Grown(np.empty(0, dtype=np.int32))
 
     def spans(self, texts: list[bytes]) -> Words:
         """Pieces that begin with a blank behind a character that is none; each text begins with one."""
@@ -163,32 +209,41 @@ class Aligner(PieceEncoder):
         ends[last] = bounds[1:][np.diff(first) > 0] - 1
         return Words(buffer, starts, ends, first, bounds)
 
-    def ids(self, pieces: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """The ids of pieces that begin with a blank, which the second tokenizer puts in front by itself."""
-        texts = [p.decode() for p in pieces]
-        a = [e.ids for k in range(0, len(texts), 1024) for e in self.a.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False)]
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces that begin with a blank, which the second tokenizer puts in front by itself, and how many each has."""
+        a, n_a = self.common(texts)
+        # The strings of special tokens are ordinary text here, which is a setting of the library.
+        marked = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if marked:
+            each = np.split(a, np.cumsum(n_a)[:-1])
+            for k in marked:
+                each[k] = np.array(self.a.encode(texts[k], add_special_tokens=False).ids, dtype=a.dtype)
+                n_a[k] = len(each[k])
+            a = np.concatenate(each)
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return a, [[self.blank] if t == " " else list(ids) for t, ids in zip(texts, b, strict=True)]
+        b = [[self.blank] if t == " " else ids for t, ids in zip(texts, b, strict=True)]
+        n_b = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
+        return a.astype(np.int64), n_a, np.fromiter(chain.from_iterable(b), dtype=np.int64, count=int(n_b.sum())), n_b
 
-    def measure(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray, Csr]:
-        """Of each piece: whether both sides give its bytes, its counts, its groups as text, its pairs with their links; and all overlaps."""
-        ids_a, ids_b = self.ids(pieces)
-        valid = np.array(
-            [
-                b"".join([self.bytes_a[k] for k in a]) == p == b"".join([self.bytes_b[k] for k in b])
-                for p, a, b in zip(pieces, ids_a, ids_b, strict=True)
-            ],
-            dtype=bool,
-        )
-        ids_a = [a if v else [] for a, v in zip(ids_a, valid, strict=True)]
-        ids_b = [b if v else [] for b, v in zip(ids_b, valid, strict=True)]
-        n_a, n_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (ids_a, ids_b))
-        a = np.array([k for x in ids_a for k in x], dtype=np.int64)
-        b = np.array([k for x in ids_b for k in x], dtype=np.int64)
+    @staticmethod
+    def faithful(pieces: Strings, table: Strings, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each piece's ids are the piece."""
+        of = np.repeat(np.arange(len(n)), n)
+        size = np.bincount(of, table.sizes[ids], len(n)).astype(np.int64)
+        same = size == pieces.sizes
+        unlike = table.joined(ids[same[of]]) != pieces.joined(np.flatnonzero(same))
+        bounds = np.concatenate([[0], np.cumsum(size[same])])
+        same[same] = np.diff(np.concatenate([[0], np.cumsum(unlike)])[bounds]) == 0
+        return same
+
+    def measure(self, pieces: list[str]) -> Measured:
+        a, n_a, b, n_b = self.ids(pieces)
+        held = Strings([p.encode() for p in pieces])
+        valid = self.faithful(held, self.bytes_a, a, n_a) & self.faithful(held, self.bytes_b, b, n_b)
+        a, b = a[np.repeat(valid, n_a)], b[np.repeat(valid, n_b)]
+        n_a, n_b = n_a * valid, n_b * valid
         of = np.repeat(np.arange(len(pieces)), n_a)
-        matrix_a = incidence(np.array([len(self.bytes_a[k]) for k in a.tolist()], dtype=np.int64))
-        matrix_b = incidence(np.array([len(self.bytes_b[k]) for k in b.tolist()], dtype=np.int64))
-        overlaps = product(matrix_a, transposed(matrix_b))
+        overlaps = product(incidence(self.bytes_a.sizes[a]), transposed(incidence(self.bytes_b.sizes[b])))
         group_a, group_b = groups_of(overlaps, len(b))
         n_groups = int(group_a[-1]) + 1 if len(group_a) else 0
         of_group = np.zeros(n_groups, dtype=np.int64)
@@ -204,69 +259,99 @@ class Aligner(PieceEncoder):
             to = max(at + 1, int(np.searchsorted(cost, before + EXPANDED, side="right")))
             shared = product(membership(group_a[at:to], n_groups), to_b)
             row = shared.rows + at
-            own = np.unique((of[row] << PAIR_BITS) | (a[row] << 15) | b[shared.columns], return_counts=True)
+            key = (of[row] << PAIR_BITS) | (a[row] << 15) | b[shared.columns]
+            own = grouped_sums(key, np.ones(len(key), dtype=np.int64))
             keys.append(own[0])
             times.append(own[1])
             at = to
         key, time = grouped_sums(np.concatenate(keys), np.concatenate(times))
         links = np.bincount(of, size_b[group_a], len(pieces)).astype(np.int64) if len(a) else np.zeros(len(pieces), dtype=np.int64)
         counts = np.stack([n_a, n_b, np.bincount(of_group, minlength=len(pieces)), links], axis=1)
-        shown = self.show(a, b, group_a, group_b, of_group, len(pieces))
-        per_piece = np.searchsorted(key >> PAIR_BITS, np.arange(len(pieces) + 1))
-        return valid, counts, shown, per_piece, key & ((1 << PAIR_BITS) - 1), time, overlaps
-
-    @staticmethod
-    def show(a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, of_group: np.ndarray, pieces: int) -> list[bytes]:
-        """Groups as `a1,a2|b1;a3|b2,b3`."""
-        texts_a, texts_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut = np.arange(len(of_group) + 1)
-        ends_a, ends_b = np.searchsorted(group_a, cut).tolist(), np.searchsorted(group_b, cut).tolist()
-        groups = [
-            ",".join(texts_a[ends_a[g] : ends_a[g + 1]]) + "|" + ",".join(texts_b[ends_b[g] : ends_b[g + 1]])
-            for g in range(len(of_group))
-        ]
-        bounds = np.searchsorted(of_group, np.arange(pieces + 1)).tolist()
-        return [";".join(groups[x:y]).encode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        shown, size = self.show(a, b, group_a, group_b)
+        token_of = np.concatenate([of, np.repeat(np.arange(len(pieces)), n_b)])
+        shown_bounds = np.concatenate([[0], np.cumsum(np.bincount(token_of, size, len(pieces)).astype(np.int64))])
+        bounds = np.searchsorted(key >> PAIR_BITS, np.arange(len(pieces) + 1))
+        return Measured(valid, counts, shown_bounds, shown, bounds, key & ((1 << PAIR_BITS) - 1), time, overlaps)
+
+    def show(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Groups as `a1,a2|b1;a3|b2,b3;`, and how many bytes each token takes, the separator behind it included."""
+        ids = np.concatenate([a, b])
+        last_a = np.append(np.diff(group_a) != 0, True)[: len(a)]
+        last_b = np.append(np.diff(group_b) != 0, True)[: len(b)]
+        marks = np.concatenate([np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))]).astype(np.uint8)
+        size = self.decimals.sizes[ids] + 1
+        # By group, the first side's tokens before the second's.
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        ends = np.cumsum(size[order])
+        shown = np.empty(int(size.sum()), dtype=np.uint8)
+        shown[ends - 1] = marks[order]
+        digits = ragged(ends - size[order], size[order] - 1)
+        shown[digits] = self.decimals.joined(ids[order])
+        return shown, size
 
     def learn(self, pieces: list[str]) -> np.ndarray:
-        first = len(self.valid)
-        valid, counts, shown, starts, pairs, times, _ = self.measure([p.encode() for p in pieces])
-        self.valid = np.concatenate([self.valid, valid])
-        self.counts = np.concatenate([self.counts, counts])
-        self.shown += shown
-        self.pair_starts = np.concatenate([self.pair_starts, self.pair_starts[-1] + starts[1:]])
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        first, m = self.valid.size, self.measure(pieces)
+        self.valid.add(m.valid)
+        self.counts.add(m.counts)
+        self.shown_starts.add(self.shown.size + m.shown_bounds[:-1])
+        self.shown_sizes.add(np.diff(m.shown_bounds))
+        self.shown.add(m.shown)
+        self.pair_starts.add(self.pairs.size + m.pair_bounds[:-1])
+        self.pair_sizes.add(np.diff(m.pair_bounds))
+        self.pairs.add(m.pairs)
+        self.times.add(m.times)
         return np.arange(first, first + len(pieces))
 
-    def align(self, texts: list[bytes]) -> list[tuple[list[int], str, np.ndarray, np.ndarray]]:
-        """Per text, which is not empty: its counts, the digest of its groups, its pairs in order, and their links."""
+    def align(self, texts: list[bytes]) -> list[Aligned]:
+        """Each text, none of them empty, as its pieces make it."""
         spaced = [b" " + t for t in texts]
-        plain = [b"" if odd_blanks(t) else t for t in spaced]
-        pieces = self.spans(plain)
+        odd = {k for k, t in enumerate(spaced) if odd_blanks(t)}
+        pieces = self.spans([b"" if k in odd else t for k, t in enumerate(spaced)])
         numbers = self.places(pieces) if len(pieces.starts) else np.empty(0, dtype=np.int64)
+        of = pieces.text_of()
+        # A piece's pairs once for each text that has it, by how often.
+        kinds, often = grouped_sums((of << 32) | numbers, np.ones(len(numbers), dtype=np.int64))
+        text, kind = kinds >> 32, kinds & 0xFFFFFFFF
+        sizes = self.pair_sizes.held[kind]
+        at = ragged(self.pair_starts.held[kind], sizes)
+        key, time = grouped_sums(
+            (np.repeat(text, sizes) << PAIR_BITS) | self.pairs.held[at], self.times.held[at] * np.repeat(often, sizes)
+        )
+        every = np.arange(len(texts) + 1)
+        bounds = np.searchsorted(key >> PAIR_BITS, every)
+        counts = np.diff(np.concatenate([np.zeros((1, len(COUNTS)), np.int64), np.cumsum(self.counts.held[numbers], axis=0)])[pieces.first], axis=0)
+        broken = np.bincount(of, ~self.valid.held[numbers], len(texts)) > 0
+        sizes = self.shown_sizes.held[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[pieces.first]
+        shown = self.shown.held[ragged(self.shown_starts.held[numbers], sizes)]
         found = []
-        for k, text in enumerate(spaced):
-            if not plain[k]:
-                valid, counts, shown, _, pairs, times, _ = self.measure([text])
-                found.append(self.one(bool(valid[0]), counts[0], shown[0], pairs, times))
-                continue
-            own = numbers[pieces.first[k] : pieces.first[k + 1]]
-            if not self.valid[own].all():
-                found.append(self.one(False, self.counts[0], b"", self.pairs[:0], self.times[:0]))
-                continue
-            kinds, often = np.unique(own, return_counts=True)
-            sizes = self.pair_starts[kinds + 1] - self.pair_starts[kinds]
-            at = ragged(self.pair_starts[kinds], sizes)
-            pairs, times = grouped_sums(self.pairs[at], self.times[at] * np.repeat(often, sizes))
-            shown = b";".join([self.shown[x] for x in own.tolist()])
-            found.append(self.one(True, self.counts[own].sum(axis=0), shown, pairs, times))
+        for k, whole in enumerate(spaced):
+            if k in odd:
+                m = self.measure([whole.decode()])
+                found.append(aligned(m.counts[0], m.shown, m.pairs, m.times) if m.valid[0] else NOTHING)
+            elif broken[k]:
+                found.append(NOTHING)
+            else:
+                own = slice(bounds[k], bounds[k + 1])
+                found.append(aligned(counts[k], shown[ends[k] : ends[k + 1]], key[own] & ((1 << PAIR_BITS) - 1), time[own]))
         return found
 
-    @staticmethod
-    def one(valid: bool, counts: np.ndarray, shown: bytes, pairs: np.ndarray, times: np.ndarray):
-        if not valid:
-            return [0] * len(COUNTS), "", pairs[:0], times[:0]
-        return counts.tolist(), hashlib.sha256(shown).hexdigest(), pairs, times
+
+@dataclass(frozen=True)
+class Aligned:
+    """A text's counts, the digest of its groups, its pairs in order, and the links of each."""
+
+    counts: list[int]
+    digest: str
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+NOTHING = Aligned([0] * len(COUNTS), "", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+
+
+def aligned(counts: np.ndarray, shown: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> Aligned:
+    return Aligned(counts.tolist(), hashlib.sha256(shown[:-1]).hexdigest(), pairs, times)
 
 
 @cache
@@ -274,9 +359,6 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-NOTHING = ([0] * len(COUNTS), "", np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-
-
 def packed(*arrays: np.ndarray) -> bytes:
     held = np.concatenate([x.astype("<i4") for x in arrays]) if arrays else np.empty(0, dtype="<i4")
     return zstandard.ZstdCompressor(level=1).compress(held.tobytes())
@@ -303,14 +385,14 @@ def blocks_of(df: DataFrame, path_a: str, path_b: str, id_column: str, text: str
         own = aligner(path_a, path_b)
         part, number = TaskContext.get().partitionId(), 0
         ids: list[pa.Array] = []
-        held: list[tuple] = []
+        held: list[Aligned] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            pairs = np.concatenate([h[2] for h in held])
+            pairs = np.concatenate([h.pairs for h in held])
             kinds, at, documents = np.unique(pairs, return_inverse=True, return_counts=True)
-            matrix = packed(np.array([len(h[2]) for h in held]), at, np.concatenate([h[3] for h in held]))
-            counts = [dict(zip(names, [*h[0], h[1]], strict=True)) for h in held]
+            matrix = packed(np.array([len(h.pairs) for h in held]), at, np.concatenate([h.times for h in held]))
+            counts = [dict(zip(names, [*h.counts, h.digest], strict=True)) for h in held]
             one = pa.concat_arrays(ids)
             columns = [
                 pa.array([(part << 32) | number], pa.int64()),
@@ -357,7 +439,7 @@ def align_tokenizers(
     count_sum over the links of the rows that their ids are linked in, and groups_sha256. A null or empty text, and one that
     either side does not give back byte for byte, has zeros and an empty digest. Rows that share an id are
     rows of their own, here and in the counts; other columns are left out. Table: a, b, documents, best.
-    Tables without rows give none. What a worker keeps is one block, some 200,000 pieces and the links of `EXPANDED` pairs; a
+    Tables without rows give none. What a worker keeps is one block, some 500,000 pieces and the links of `EXPANDED` pairs; a
     block's pairs are counted before they are shuffled, and it is sent each one's count once.
     """
     path = f"{shared_folder(df.sparkSession)}/aligned-{uuid.uuid4().hex}"

@@ -113,12 +113,12 @@ def test_texts_from_pieces_against_the_libraries(libraries, monkeypatch, kept, e
     for k in range(0, len(cases), 50):
         found += own.align([t.encode() for t in cases[k : k + 50]])
     full = 0
-    for text, (counts, shown, pairs, times) in zip(cases, found, strict=True):
+    for text, one in zip(cases, found, strict=True):
         groups = aligned(text, libraries)
         links = Counter((x, y) for a, b in groups for x in a for y in b)
         n_a, n_b = (sum(len(g[side]) for g in groups) for side in (0, 1))
-        assert (counts, shown) == ([n_a, n_b, len(groups), sum(links.values())], digest(groups))
-        assert {(p >> 15, p & 32767): t for p, t in zip(pairs.tolist(), times.tolist(), strict=True)} == dict(links)
+        assert (one.counts, one.digest) == ([n_a, n_b, len(groups), sum(links.values())], digest(groups))
+        assert {(p >> 15, p & 32767): t for p, t in zip(one.pairs.tolist(), one.times.tolist(), strict=True)} == dict(links)
         full += bool(groups)
     assert full > 2000
 
