@@ -7,8 +7,9 @@ join keeps, and either side of an inner join, so joins are written that way roun
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from haulage.functions.types import named
 from haulage.session import checkpointed
 
+# Rounds of new keys that are kept apart before they are written as one.
+MOST_PIECES = 8
+
 
 @dataclass(frozen=True)
 class ForeignKey:
@@ -124,6 +128,97 @@ def null_deleted(child: DataFrame, key: str, deleted: DataFrame, deleted_key: st
     return marked.select(*[kept if c == key else F.col(c) for c in child.columns])
 
 
+def rings(tables: Iterable[str], foreign_keys: Sequence[ForeignKey]) -> list[list[str]]:
+    """Tables that refer to one another, directly or through others, as groups; parents' groups come first."""
+    children: dict[str, set[str]] = {name: set() for name in tables}
+    for fk in foreign_keys:
+        children[fk.parent].add(fk.child)
+    reached: dict[str, set[str]] = {}
+    for name in children:
+        found, ahead = set(), [name]
+        while ahead:
+            new = children[ahead.pop()] - found
+            found |= new
+            ahead += new
+        reached[name] = found
+    group = {name: min([name, *(other for other in reached[name] if name in reached[other])]) for name in children}
+    order = TopologicalSorter({group[name]: set() for name in children})
+    for fk in foreign_keys:
+        if group[fk.child] != group[fk.parent]:
+            order.add(group[fk.child], group[fk.parent])
+    return [sorted(name for name in children if group[name] == head) for head in order.static_order()]
+
+
+class _Deletion:
+    """What a delete takes with it, held as the keys of deleted rows that other rows refer to."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], foreign_keys: Sequence[ForeignKey], hit: dict[str, Column]) -> None:
+        self.tables, self.hit = tables, hit
+        self.cascades = [fk for fk in foreign_keys if fk.on_delete == "cascade"]
+        self.nulls = [fk for fk in foreign_keys if fk.on_delete != "cascade"]
+        self.referred = {name: sorted({fk.parent_key for fk in foreign_keys if fk.parent == name}) for name in tables}
+        self.gone: dict[tuple[str, str], DataFrame] = {}
+
+    def taken(self, fk: ForeignKey, keys: DataFrame) -> DataFrame:
+        """The child's rows that refer to one of the parent's keys."""
+        return with_parent(self.tables[fk.child], fk.child_key, keys, fk.parent_key)
+
+    def keys_of(self, name: str, rows: Sequence[DataFrame], key: str) -> DataFrame:
+        found = reduce(DataFrame.unionAll, [r.select(named(key)) for r in rows])
+        return found.where(named(key).isNotNull()).distinct()
+
+    def from_outside(self, name: str, group: Sequence[str]) -> list[DataFrame]:
+        """Deleted rows of a table, as far as they follow from the condition and from tables outside its group."""
+        found = [self.tables[name].where(self.hit[name])] if name in self.hit else []
+        for fk in self.cascades:
+            if fk.child == name and fk.parent not in group and (fk.parent, fk.parent_key) in self.gone:
+                found.append(self.taken(fk, self.gone[fk.parent, fk.parent_key]))
+        return found
+
+    def follow(self, group: Sequence[str]) -> None:
+        """Find the group's deleted keys. In a ring, each round looks only for rows that refer to the keys of the round before."""
+        within = [fk for fk in self.cascades if fk.child in group and fk.parent in group]
+        fresh: dict[tuple[str, str], DataFrame] = {}
+        for name in group:
+            rows = self.from_outside(name, group)
+            for key in self.referred[name] if rows else ():
+                keys = self.keys_of(name, rows, key)
+                fresh[name, key] = checkpointed(keys) if within else keys
+        if not within:
+            self.gone |= fresh
+            return
+        pieces: dict[tuple[str, str], list[DataFrame]] = {}
+        while fresh := {at: keys for at, keys in fresh.items() if not keys.isEmpty()}:
+            for at, keys in fresh.items():
+                pieces.setdefault(at, []).append(keys)
+                if len(pieces[at]) > MOST_PIECES:
+                    pieces[at] = [checkpointed(reduce(DataFrame.unionAll, pieces[at]))]
+            found: dict[str, list[DataFrame]] = {}
+            for fk in within:
+                if (fk.parent, fk.parent_key) in fresh:
+                    found.setdefault(fk.child, []).append(self.taken(fk, fresh[fk.parent, fk.parent_key]))
+            fresh = {}
+            for name, rows in found.items():
+                for key in self.referred[name]:
+                    keys = self.keys_of(name, rows, key)
+                    if (name, key) in pieces:
+                        known = reduce(DataFrame.unionAll, pieces[name, key])
+                        keys = without_parent(keys, key, known, key)
+                    fresh[name, key] = checkpointed(keys)
+        self.gone |= {at: reduce(DataFrame.unionAll, held) for at, held in pieces.items()}
+
+    def left(self, name: str) -> DataFrame:
+        """The table afterwards: rows that neither the condition nor a deleted parent takes, references that were set to NULL gone."""
+        rows = self.tables[name]
+        if name in self.hit:
+            rows = rows.where(~self.hit[name])
+        for fk in (fk for fk in self.cascades if fk.child == name and (fk.parent, fk.parent_key) in self.gone):
+            rows = without_parent(rows, fk.child_key, self.gone[fk.parent, fk.parent_key], fk.parent_key)
+        for fk in (fk for fk in self.nulls if fk.child == name and (fk.parent, fk.parent_key) in self.gone):
+            rows = null_deleted(rows, fk.child_key, self.gone[fk.parent, fk.parent_key], fk.parent_key)
+        return rows
+
+
 def delete_rows(
     tables: Mapping[str, DataFrame],
     foreign_keys: Sequence[ForeignKey],
@@ -132,48 +227,12 @@ def delete_rows(
 ) -> dict[str, DataFrame]:
     """All tables as they are after deleting the rows of one that meet a condition.
 
-    Tables are visited parents first. Each one's deleted rows are known before
-    its children are visited, so chains of any length follow, one marking join
-    per foreign key that is touched. A table that refers to itself is followed level by
-    level until none is left, each level written to the shared folder. Tables that refer to
-    each other in a ring are refused.
+    Only the keys of deleted rows travel: tables are visited parents first, each one's deleted keys are
+    found by semi-joins on its parents' and its rows are read again for what is left. Tables that refer to one another, or
+    to themselves, are followed round by round until no new key turns up; a round's new keys are written to the shared
+    folder, and the next one looks for rows that refer to those alone.
     """
-    order = TopologicalSorter({name: set() for name in tables})
-    for fk in foreign_keys:
-        if fk.child != fk.parent:
-            order.add(fk.child, fk.parent)
-    hit = F.coalesce(condition, F.lit(False))
-    gone: dict[str, DataFrame] = {table: tables[table].where(hit)}
-    after = {**tables, table: tables[table].where(~hit)}
-    for name in order.static_order():
-        own = [fk for fk in foreign_keys if fk.child == name == fk.parent]
-        others = [fk for fk in foreign_keys if fk.child == name != fk.parent and fk.parent in gone]
-        for fk in sorted(others, key=lambda fk: fk.on_delete != "cascade"):
-            if fk.on_delete == "cascade":
-                _take(after, gone, name, fk, gone[fk.parent])
-            else:
-                after[name] = null_deleted(after[name], fk.child_key, gone[fk.parent], fk.parent_key)
-        level = gone.get(name)
-        while own and level is not None:
-            fresh: dict[str, DataFrame] = {}
-            for fk in (fk for fk in own if fk.on_delete == "cascade"):
-                _take(after, fresh, name, fk, level)
-            level = checkpointed(fresh[name]) if fresh else None
-            if level is None or level.isEmpty():
-                break
-            after[name] = checkpointed(after[name])
-            gone[name] = gone[name].unionByName(level)
-        for fk in own if name in gone else ():
-            if fk.on_delete != "cascade":
-                after[name] = null_deleted(after[name], fk.child_key, gone[name], fk.parent_key)
-    return after
-
-
-def _take(
-    after: dict[str, DataFrame], gone: dict[str, DataFrame], name: str, fk: ForeignKey, deleted: DataFrame
-) -> None:
-    """Move the rows that refer to deleted ones from what is left to what is gone."""
-    marked = _marked(after[name], fk.child_key, deleted, fk.parent_key)
-    taken = marked.where("_gone").drop("_gone")
-    gone[name] = gone[name].unionByName(taken) if name in gone else taken
-    after[name] = marked.where("not _gone").drop("_gone")
+    deletion = _Deletion(tables, foreign_keys, {table: F.coalesce(condition, F.lit(False))})
+    for group in rings(tables, foreign_keys):
+        deletion.follow(group)
+    return {name: deletion.left(name) for name in tables}

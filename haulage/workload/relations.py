@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulage.operators import profile, relate
+from haulage.operators.conform import stack_up
 from haulage.operators.relate import ForeignKey
 from haulage.sources.files import table
 from haulage.workload import query
@@ -43,6 +44,39 @@ def fk_cascade_counts(spark: SparkSession, folder: str) -> DataFrame:
     return profile.table_stats(after_delete(spark, folder))
 
 
+REFERRED = (
+    "WITH RECURSIVE first_order AS (SELECT o_custkey + 1 AS k, min(o_orderkey) AS via FROM orders GROUP BY o_custkey),"
+    " referred AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 12 > 0 THEN via END AS via"
+    " FROM customer LEFT JOIN first_order ON k = c_custkey),"
+    f" gone AS (SELECT c_custkey FROM customer WHERE {IN_DEBT} UNION SELECT referred.c_custkey FROM gone"
+    " JOIN orders ON o_custkey = gone.c_custkey JOIN referred ON via = o_orderkey)"
+)
+
+
+@query(
+    f"{REFERRED} SELECT 'orders' AS table_name, o_orderkey AS id, o_custkey AS refers_to FROM orders"
+    " WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)"
+    " UNION ALL SELECT 'customer', c_custkey, via FROM referred WHERE c_custkey NOT IN (SELECT c_custkey FROM gone)"
+)
+def fk_cascade_ring(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers came through another customer's order, orders belong to customers: what is left of both without those in debt."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    first = orders.groupBy((F.col("o_custkey") + 1).alias("c_custkey")).agg(F.min("o_orderkey").alias("via"))
+    customers = table(spark, folder, "customer").select("c_custkey", "c_acctbal").join(first, "c_custkey", "left")
+    customers = customers.withColumn("via", F.when(F.col("c_custkey") % 12 > 0, F.col("via")))
+    keys = [
+        ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+        ForeignKey("customer", "via", "orders", "o_orderkey"),
+    ]
+    left = relate.delete_rows({"orders": orders, "customer": customers}, keys, "customer", F.col("c_acctbal") < 0)
+    names = {"orders": ("o_orderkey", "o_custkey"), "customer": ("c_custkey", "via")}
+    parts = [
+        left[name].select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.col(to).alias("refers_to"))
+        for name, (key, to) in names.items()
+    ]
+    return stack_up(parts)
+
+
 @query(
     "SELECT o_orderkey, CASE WHEN o_custkey IN"
     f" {GONE} THEN NULL ELSE o_custkey END AS o_custkey, o_totalprice FROM orders"

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,57 @@ def test_delete_follows_a_table_that_refers_to_itself(spark):
     assert rows(after["staff"]) == [(1, None), (3, None), (4, 3), (5, None)]
 
 
+def brute_delete(tables, keys, table, condition):
+    """Rows as dicts, by following every reference until nothing changes."""
+    gone = {name: [name == table and condition(r) for r in held] for name, held in tables.items()}
+    changed = True
+    while changed:
+        changed = False
+        for fk in (fk for fk in keys if fk.on_delete == "cascade"):
+            lost = {r[fk.parent_key] for r, g in zip(tables[fk.parent], gone[fk.parent]) if g} - {None}
+            for k, r in enumerate(tables[fk.child]):
+                if r[fk.child_key] in lost and not gone[fk.child][k]:
+                    gone[fk.child][k] = changed = True
+    after = {}
+    for name, held in tables.items():
+        kept = [dict(r) for r, g in zip(held, gone[name]) if not g]
+        for fk in (fk for fk in keys if fk.child == name and fk.on_delete != "cascade"):
+            lost = {r[fk.parent_key] for r, g in zip(tables[fk.parent], gone[fk.parent]) if g} - {None}
+            for r in kept:
+                r[fk.child_key] = None if r[fk.child_key] in lost else r[fk.child_key]
+        after[name] = sorted((tuple(r.values()) for r in kept), key=lambda t: [(v is not None, v) for v in t])
+    return after
+
+
+@pytest.mark.parametrize("pieces", [1, 8])
+def test_delete_through_rings_of_tables(spark, monkeypatch, pieces):
+    monkeypatch.setattr(relate, "MOST_PIECES", pieces)
+    rnd = random.Random(8)
+    ref = lambda n: rnd.choice([None, *range(n)])
+    tables = {
+        "a": [{"id": k, "code": 100 + k, "b": ref(40), "own": k - 1 if k % 9 else None} for k in range(30)],
+        "b": [{"id": k, "c": ref(25)} for k in range(40)],
+        "c": [{"id": k, "a": 100 + rnd.randrange(60), "d": ref(10)} for k in range(25)],
+        "d": [{"id": k} for k in range(10)],
+        "e": [{"id": k, "a": ref(30), "c": ref(25)} for k in range(50)],
+    }
+    keys = [
+        ForeignKey("a", "b", "b", "id"), ForeignKey("b", "c", "c", "id"), ForeignKey("c", "a", "a", "code"),
+        ForeignKey("a", "own", "a", "id"), ForeignKey("c", "d", "d", "id"), ForeignKey("e", "a", "a", "id", "set null"),
+        ForeignKey("e", "c", "c", "id"),
+    ]
+    frames = {n: spark.createDataFrame([tuple(r.values()) for r in t], ", ".join(f"{k} int" for k in t[0])) for n, t in tables.items()}
+    for start, least in (("d", 8), ("a", 28), ("b", 39), ("e", 40)):
+        after = relate.delete_rows(frames, keys, start, F.col("id") >= least)
+        expected = brute_delete(tables, keys, start, lambda r: r["id"] >= least)
+        assert {name: rows(df) for name, df in after.items()} == expected
+
+
+def test_rings_come_parents_first():
+    keys = [ForeignKey("b", "x", "a", "x"), ForeignKey("c", "x", "b", "x"), ForeignKey("b", "y", "c", "y"), ForeignKey("d", "x", "c", "x")]
+    assert relate.rings("abcd", keys) == [["a"], ["b", "c"], ["d"]]
+
+
 def test_unknown_action():
     with pytest.raises(ValueError, match="unknown action"):
         ForeignKey("a", "b", "c", "d", "restrict")
