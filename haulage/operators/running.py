@@ -43,42 +43,47 @@ def running_values(
     order: Sequence[str],
     move: Column,
     *,
-    opening: Opening | None = None,
+    before: DataFrame | None = None,
     parts: int | None = None,
 ) -> DataFrame:
     """Rows with ``_count``, ``_total`` and ``_low`` per key, in an order unique within it.
 
-    A NULL move counts as nothing. Rows without a key make a group like any other. With
-    ``opening``, a key's balance is in every total, and is itself neither counted nor a lowest total.
+    A NULL move counts as nothing. Rows without a key make a group like any other. ``before`` holds
+    what a key starts from, a row each: ``_key``, ``_counts``, ``_move`` (its total) and ``_lowest``.
     """
     parts = parts or task_count(df)
     nothing = F.lit(0).cast(AMOUNT)
     # A struct is never NULL, so a NULL key partitions and joins like the rest.
     moved = df.withColumns(
-        {"_key": F.struct(named(key).alias("k")), "_move": F.coalesce(move.cast(AMOUNT), nothing), "_counts": F.lit(1)}
+        {
+            "_key": F.struct(named(key).alias("k")),
+            "_move": F.coalesce(move.cast(AMOUNT), nothing).cast(TOTAL),
+            "_counts": F.lit(1).cast("bigint"),
+            "_lowest": F.lit(None).cast(TOTAL),
+            "_own": F.lit(True),
+        }
     )
-    if opening:
-        # Balances travel with the movements, ahead of them, so no join has to find them.
-        moved = opening.rows(df.schema[key].dataType).unionByName(moved, allowMissingColumns=True)
-    sequence = ["_counts", *order] if opening else list(order)
+    if before is not None:
+        # What a key starts from travels with its rows, ahead of them, so no join has to find it.
+        moved = before.withColumn("_own", F.lit(False)).unionByName(moved, allowMissingColumns=True)
+    sequence = ["_own", *order] if before is not None else list(order)
     # The windows find each stretch whole in a task; the exchange between moves it there unsplit.
     cut = ranged(moved, ["_key", *sequence], parts).repartitionById(parts, "_part")
     upto = Window.partitionBy("_part", "_key").orderBy(*[named(c) for c in sequence])
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumns(
-        {"_count": F.sum("_counts").over(upto), "_total": F.sum("_move").over(upto).cast(TOTAL)}
-    ).withColumn("_low", F.min(F.when(F.col("_counts") == 1, F.col("_total"))).over(upto))
-    local = checkpointed(local.select(*df.columns, "_part", "_key", *sequence[: 1 if opening else 0], "_count", "_total", "_low"))
+    local = cut.withColumns({"_count": F.sum("_counts").over(upto), "_total": F.sum("_move").over(upto).cast(TOTAL)})
+    local = local.withColumn("_low", F.min(F.when(F.col("_own"), F.col("_total")).otherwise(F.col("_lowest"))).over(upto))
+    local = checkpointed(local.select(*df.columns, "_part", "_key", "_own", "_count", "_total", "_low"))
     handed = _handed_forward(local, sequence)
     joined = local.join(handed, ["_part", "_key"], "left")
-    if opening:
-        joined = joined.where("_counts = 1")
-    before = F.coalesce("_total_before", F.lit(0).cast(TOTAL))
+    if before is not None:
+        joined = joined.where("_own")
+    so_far = F.coalesce("_total_before", F.lit(0).cast(TOTAL))
     return joined.select(
         *[named(c) for c in df.columns],
         (F.col("_count") + F.coalesce("_count_before", F.lit(0))).alias("_count"),
-        (F.col("_total") + before).cast(TOTAL).alias("_total"),
-        F.least("_low_before", (F.col("_low") + before).cast(TOTAL)).alias("_low"),
+        (F.col("_total") + so_far).cast(TOTAL).alias("_total"),
+        F.least("_low_before", (F.col("_low") + so_far).cast(TOTAL)).alias("_low"),
     )
 
 
@@ -121,12 +126,13 @@ class Opening:
     balance: str
 
     def rows(self, kind: DataType) -> DataFrame:
-        """The balances as movements that come before all others of their account and are not counted."""
+        """Each account's balance as what it starts from."""
         nothing = F.lit(0).cast(AMOUNT)
         return self.accounts.where(named(self.key).isNotNull()).select(
             F.struct(named(self.key).cast(kind).alias("k")).alias("_key"),
-            F.coalesce(named(self.balance).cast(AMOUNT), nothing).alias("_move"),
-            F.lit(0).alias("_counts"),
+            F.coalesce(named(self.balance).cast(AMOUNT), nothing).cast(TOTAL).alias("_move"),
+            F.lit(0).cast("bigint").alias("_counts"),
+            F.lit(None).cast(TOTAL).alias("_lowest"),
         )
 
 
@@ -153,27 +159,79 @@ def ledger(
     ``opening`` is a column of the rows (one value per account) or a table;
     without an opening balance an account starts from nothing.
     """
-    both = set(credits) & set(debits)
-    if both:
-        raise ValueError(f"kinds {sorted(both)} are both credits and debits")
-    value, which = named(amount).cast(AMOUNT), named(kind)
-    shown = F.coalesce(which.cast("string"), F.lit("NULL"))
-    unknown = F.raise_error(F.concat(F.lit("neither a credit nor a debit: "), shown)).cast(AMOUNT)
-    signed = (
-        F.when(which.isin(list(credits)), value).when(which.isin(list(debits)), -value).otherwise(unknown)
-    )
-    kept = opening if isinstance(opening, Opening) else None
-    rows = running_values(df, account, order, signed, opening=kept, parts=parts)
-    nothing = F.lit(0).cast(AMOUNT)
-    start = nothing if kept else F.coalesce(opening.cast(AMOUNT), nothing)
-    total = start + F.col("_total")
-    low = F.least(nothing, start + F.col("_low"))
-    return rows.select(
-        *[named(c) for c in df.columns],
-        F.col("_count").alias("position"),
-        total.cast(MONEY).alias("unfloored_balance"),
-        (total - low).cast(MONEY).alias("balance_after"),
-    )
+    rules = Movements(account, tuple(order), kind, amount, tuple(credits), tuple(debits))
+    return rules.replay(df, opening, parts=parts)[0]
+
+
+@dataclass(frozen=True)
+class Movements:
+    """Which columns of a table are whose movements, in which order, and which kinds add or subtract."""
+
+    account: str
+    order: Sequence[str]
+    kind: str
+    amount: str
+    credits: Sequence[str]
+    debits: Sequence[str]
+
+    def __post_init__(self) -> None:
+        both = set(self.credits) & set(self.debits)
+        if both:
+            raise ValueError(f"kinds {sorted(both)} are both credits and debits")
+
+    @property
+    def signed(self) -> Column:
+        value, which = named(self.amount).cast(AMOUNT), named(self.kind)
+        shown = F.coalesce(which.cast("string"), F.lit("NULL"))
+        unknown = F.raise_error(F.concat(F.lit("neither a credit nor a debit: "), shown)).cast(AMOUNT)
+        adds, takes = which.isin(list(self.credits)), which.isin(list(self.debits))
+        return F.when(adds, value).when(takes, -value).otherwise(unknown)
+
+    def replay(
+        self,
+        df: DataFrame,
+        opening: Column | Opening,
+        state: DataFrame | None = None,
+        parts: int | None = None,
+    ) -> tuple[DataFrame, DataFrame]:
+        """The movements with their balances, and each account's state behind its last one.
+
+        A state is an account's ``count`` of movements, their ``total``, the ``lowest`` total there was and the ``last``
+        movement's place in the order; two stretches of movements merge by (count + count', total + total',
+        least(lowest, total + lowest')). With the ``state`` of all movements before, only new ones are read, and only
+        states of accounts that have any travel with them. A movement that comes before the last one of its account's
+        state, or is that one, fails the job. ``opening`` must be the same for every load.
+        """
+        place = F.struct(*[named(c) for c in self.order])
+        before = opening.rows(df.schema[self.account].dataType) if isinstance(opening, Opening) else None
+        if state is not None:
+            firsts = df.groupBy(F.struct(named(self.account).alias("k")).alias("_key")).agg(F.min(place).alias("_first"))
+            held = state.withColumn("_key", F.struct(named(self.account).alias("k")))
+            late = F.raise_error(F.lit("a movement comes before one that was replayed")).cast("boolean")
+            known = held.join(firsts, "_key").where(F.when(F.col("_first") > F.col("last"), F.lit(True)).otherwise(late))
+            carried = known.select("_key", F.col("total").alias("_move"), F.col("count").alias("_counts"), F.col("lowest").alias("_lowest"))
+            before = carried.unionByName(before.join(held, "_key", "left_anti")) if before is not None else carried
+        rows = running_values(df, self.account, self.order, self.signed, before=before, parts=parts)
+        behind = rows.groupBy(named(self.account)).agg(
+            F.max("_count").alias("count"),
+            F.max_by("_total", "_count").alias("total"),
+            F.min("_low").alias("lowest"),
+            F.max(place).alias("last"),
+        )
+        if state is not None:
+            moved = behind.select(F.struct(named(self.account).alias("k")).alias("_key"))
+            behind = behind.unionByName(held.join(moved, "_key", "left_anti").drop("_key"))
+        nothing = F.lit(0).cast(AMOUNT)
+        start = nothing if isinstance(opening, Opening) else F.coalesce(opening.cast(AMOUNT), nothing)
+        total = start + F.col("_total")
+        low = F.least(nothing, start + F.col("_low"))
+        balances = rows.select(
+            *[named(c) for c in df.columns],
+            F.col("_count").alias("position"),
+            total.cast(MONEY).alias("unfloored_balance"),
+            (total - low).cast(MONEY).alias("balance_after"),
+        )
+        return balances, behind
 
 
 def ledger_mismatches(replayed: DataFrame, stored: str, cent: str = "0.01") -> DataFrame:

@@ -14,7 +14,7 @@ from haulage.functions.types import SourceColumn, columns_of, landing_schema, pa
 from haulage.operators import unique as unique_keys
 from haulage.operators.conform import conform, stack_up, with_defaults
 from haulage.operators.quality import Rule, judged
-from haulage.operators.running import number_rows
+from haulage.operators.running import Movements, Opening, number_rows
 from haulage.plans.spec import LoadSpec
 from haulage.sources import files, jdbc
 from haulage.tables.snapshots import Commit, SnapshotTables
@@ -134,6 +134,27 @@ def insert(
     return tables.write(numbered, name, "append", snapshot_id=snapshot_id)
 
 
+def append_movements(
+    tables: SnapshotTables,
+    name: str,
+    rows: DataFrame,
+    movements: Movements,
+    opening: Column | Opening,
+) -> Commit:
+    """Add movements to a table with their balances, from the states that the loads before left.
+
+    Each account's state is kept in ``<name>_state`` under the load's snapshot id, written first: a load that dies between both
+    leaves a state that no load of the table names, and the next one goes on from the last that is whole.
+    """
+    kept = f"{name}_state"
+    last = {t: tables.history(t).agg(F.max("snapshot_id")).first()[0] if tables.exists(t) else 0 for t in (name, kept)}
+    state = tables.read(kept, as_of=last[name]) if last[name] else None
+    balances, behind = movements.replay(rows, opening, state)
+    snapshot_id = max(last.values()) + 1
+    tables.write(behind, kept, "overwrite", snapshot_id=snapshot_id)
+    return tables.write(balances, name, "append", snapshot_id=snapshot_id)
+
+
 def load_all(
     spark: SparkSession,
     specs: Mapping[str, LoadSpec],

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulage.operators import profile, running
 from haulage.operators.running import Opening
-from haulage.plans.load import load
+from haulage.plans.load import append_movements, load
 from haulage.sources.files import table
 from haulage.workload import query
 from haulage.workload.loads import file_spec, new_tables
@@ -138,6 +138,21 @@ def ledger_balance(spark: SparkSession, folder: str) -> DataFrame:
     return event_ledger(spark, folder).select("event_id", "user_id", "balance_after")
 
 
+@query(f"SELECT event_id, user_id, b::DECIMAL(28,2) AS balance_after FROM ({EVENT_LEDGER})")
+def ledger_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in three loads, each from the states that the one before left, without its movements."""
+    tables = new_tables(spark)
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    rules = running.Movements(
+        "user_id", ("event_id",), "event_type", "value", ("signup", "view"), ("click", "error", "purchase")
+    )
+    last = events.agg(F.max("event_id")).first()[0]
+    third = F.floor(F.col("event_id") * 3 / F.lit(last + 1))
+    for number in range(3):
+        append_movements(tables, "bank.movements", events.where(third == number), rules, F.lit(1000))
+    return tables.read("bank.movements").select("event_id", "user_id", "balance_after")
+
+
 @query(
     "SELECT event_id, user_id, s::DECIMAL(28,2) AS stored, b::DECIMAL(28,2) AS balance_after FROM"
     " (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n"

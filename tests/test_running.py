@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulage.operators import running, skew
+from haulage.plans.load import append_movements
+from haulage.session import checkpointed
 from tests.conftest import rows
 
 CREDITS = ["deposit", "interest"]
@@ -81,6 +83,52 @@ def test_opening_balances_from_a_table(movements):
     assert known == {k: v for k, v in expected.items() if k[0] is not None}
 
 
+def states(rules, opening, df, cuts):
+    """Balances and the last state, load by load."""
+    found, state = {}, None
+    for low, high in zip([0, *cuts], [*cuts, 10**9]):
+        balances, state = rules.replay(df.where(f"id >= {low} and id < {high}"), opening, state, parts=5)
+        state = checkpointed(state)
+        found |= {(r.user_id, r.id): (r.position, r.balance_after) for r in balances.collect()}
+    return found, {r.user_id: (r["count"], r["total"], r["lowest"], r["last"][0]) for r in state.collect()}
+
+
+@pytest.mark.parametrize("cuts", [(50_000,), (10, 30_000, 30_001, 90_000)])
+@pytest.mark.parametrize("table", [True, False])
+def test_loads_carry_on_from_states(movements, cuts, table):
+    df, expected = movements
+    rules = running.Movements("user_id", ("id",), "kind", "amount", tuple(CREDITS), tuple(DEBITS))
+    accounts = df.select("user_id", "opening").distinct().where("user_id IS NOT NULL")
+    opening = running.Opening(accounts, "user_id", "opening") if table else F.col("opening")
+    rows_of = df.where("user_id IS NOT NULL") if table else df
+    found, behind = states(rules, opening, rows_of, cuts)
+    whole, at_once = states(rules, opening, rows_of, ())
+    assert found == whole and behind == at_once
+    assert {k: v[1] for k, v in found.items()} == {k: v for k, v in expected.items() if k in found}
+    assert len(found) == rows_of.count() and set(behind) == {k for k, _ in found}
+
+
+def test_a_movement_that_comes_late_fails(spark, movements):
+    df, _ = movements
+    rules = running.Movements("user_id", ("id",), "kind", "amount", tuple(CREDITS), tuple(DEBITS))
+    state = checkpointed(rules.replay(df, F.col("opening"))[1])
+    for shift in (0, -1):
+        late = df.where("user_id = 3").orderBy(F.desc("id")).limit(1).withColumn("id", F.col("id") + shift)
+        with pytest.raises(Exception, match="comes before one"):
+            rules.replay(late, F.col("opening"), state)[0].collect()
+    new = df.where("user_id = 3").limit(1).withColumns({"id": F.lit(200_000), "user_id": F.lit(77)})
+    assert rules.replay(new, F.col("opening"), state)[1].count() == state.count() + 1
+
+
+def test_a_load_that_died_between_state_and_rows_is_no_start(movements, tables):
+    df, expected = movements
+    rules = running.Movements("user_id", ("id",), "kind", "amount", tuple(CREDITS), tuple(DEBITS))
+    append_movements(tables, "bank.moves", df.where("id < 40000"), rules, F.col("opening"))
+    tables.write(tables.read("bank.moves_state").where("false"), "bank.moves_state", "overwrite")
+    append_movements(tables, "bank.moves", df.where("id >= 40000"), rules, F.col("opening"))
+    assert {(r.user_id, r.id): r.balance_after for r in tables.read("bank.moves").collect()} == expected
+
+
 def test_running_count_of_any_cut(movements):
     df, _ = movements
     whole = rows(running.running_count(df, "user_id", ["id"], parts=1), "user_id", "id", "running_count")
