@@ -70,6 +70,7 @@ class ValueRules:
     nan_to_null: bool = True
     interval_as_text: bool = False
     native_nested: bool = False
+    json_as_variant: bool = False
 
 
 def landing_type(
@@ -84,6 +85,8 @@ def landing_type(
             return T.DecimalType(column.precision, column.scale or 0)
         if isinstance(arrives_as, T.DecimalType):
             return arrives_as
+    if rules.json_as_variant and name in {"json", "jsonb"}:
+        return T.VariantType()
     if rules.native_nested and isinstance(arrives_as, (T.ArrayType, T.StructType, T.MapType)):
         return arrives_as
     return LANDING_TYPES.get(name, T.StringType())
@@ -184,45 +187,59 @@ def required(value: Column, name: str, data_type: T.DataType) -> Column:
     return F.coalesce(value, F.raise_error(message).cast(data_type))
 
 
+# Seconds in each unit, by the first letters of its name, and by its letter behind `P` and `T`
+# with `n` for a minute. A month counts 30 days and a year 365.
+UNIT_SECONDS = {
+    "ye": 31_536_000, "mo": 2_592_000, "we": 604_800, "da": 86_400, "ho": 3_600, "mi": 60, "se": 1,
+    "y": 31_536_000, "m": 2_592_000, "w": 604_800, "d": 86_400, "h": 3_600, "n": 60, "s": 1,
+}
+
+
 def interval_nanos(text: Column) -> Column:
     """Nanoseconds in an interval written as ``1 year 2 mons 3 days 04:05:06.7``.
 
     The time may be spelled out as well, as in ``4 hours 5 mins 6.7 secs``, or have no
     seconds; ``2 weeks``, ``1 day ago`` and ``P1DT2H`` are read too. A month counts 30 days
     and a year 365, the usual conversion to a duration. Any other text fails the job.
+
+    A value is checked by the expression of its own form and then cut into amounts and units once.
     """
+    value = r"[+-]?\d+(?:\.\d{1,6})?"
+    units = r"(?:years?|mon(?:th)?s?|weeks?|days?|hours?|min(?:ute)?s?|sec(?:ond)?s?)(?![a-z])"
+    clock = r"([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?"
+    words = rf"(?i)^\s*(?=\S)(?:{value}\s*{units}\s*)*(?:{clock}\s*)?(?:ago\s*)?$"
+    date = "".join(f"(?:{value}{unit})?" for unit in "YMWD")
+    time = "".join(f"(?:{value}{unit})?" for unit in "HMS")
 
-    def number(pattern: str, group: int = 1) -> Column:
-        found = F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-        return F.coalesce(found.cast("decimal(18,6)"), F.lit(0))
+    iso = text.startswith("P")
+    valid = F.when(iso, text.rlike(rf"^P(?=.){date}(?:T(?=.){time})?$")).otherwise(
+        text.rlike(words) & text.rlike(r"\d")
+    )
+    # Both forms as amounts with short units: behind `P`, months and minutes differ by where they stand.
+    day, hours = F.substring_index(text, "T", 1), F.when(text.contains("T"), F.substring_index(text, "T", -1))
+    letters = F.concat(F.translate(day, "PYMWD", " ymwd"), F.coalesce(F.translate(hours, "HMS", "hns"), F.lit("")))
+    short = F.when(iso, letters).otherwise(F.lower(text))
+    found = rf"({value})\s*([a-z]{{1,2}})[a-z]*"
+    weights = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
+    seconds = F.aggregate(
+        F.zip_with(
+            F.regexp_extract_all(short, F.lit(found), 1),
+            F.regexp_extract_all(short, F.lit(found), 2),
+            lambda amount, unit: amount.cast("decimal(18,6)") * F.try_element_at(weights, unit),
+        ),
+        F.lit(0).cast("decimal(38,6)"),
+        lambda total, one: (total + one).cast("decimal(38,6)"),
+    )
 
-    def duration(amount: Callable[[str], Column], units: Sequence[str]) -> Column:
-        year, month, week, day, hour, minute, second = map(amount, units)
-        days = year * 365 + month * 30 + week * 7 + day
-        return days * 86_400 + (hour * 60 + minute) * 60 + second
+    def shown(group: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, clock, group), F.lit("")).cast("decimal(18,6)"), F.lit(0))
 
-    value = r"[+-]?\d+(?:\.\d{1,6})?"
-    units = ["years?", "mon(?:th)?s?", "weeks?", "days?", "hours?", "min(?:ute)?s?", "sec(?:ond)?s?"]
-    clock = r"([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?"
-    spelled = duration(lambda unit: number(rf"(?i)({value})\s*{unit}(?![a-z])"), units)
-    shown = (number(clock, 2) * 60 + number(clock, 3)) * 60 + number(clock, 4)
     sign = F.when(F.regexp_extract(text, clock, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    ago = F.when(text.rlike(r"(?i)ago\s*$"), F.lit(-1)).otherwise(F.lit(1))
-    date, time = "YMWD", "HMS"
-    iso = duration(
-        lambda unit: number(rf"^P[^T]*?({value}){unit[0]}") if len(unit) == 1 else number(rf"T.*?({value}){unit[1]}"),
-        [*date, *("T" + unit for unit in time)],
-    )
-    words = rf"(?i)^\s*(?=\S)(?:{value}\s*(?:{'|'.join(units)})(?![a-z])\s*)*(?:{clock}\s*)?(?:ago\s*)?$"
-    parts = "".join(f"(?:{value}{unit})?" for unit in date)
-    later = "".join(f"(?:{value}{unit})?" for unit in time)
+    hands = F.when(text.contains(":"), sign * ((shown(2) * 60 + shown(3)) * 60 + shown(4))).otherwise(F.lit(0))
+    ago = F.when(short.rlike(r"ago\s*$"), F.lit(-1)).otherwise(F.lit(1))
     refused = F.raise_error(F.concat(F.lit("cannot read the interval "), text)).cast("decimal(38,6)")
-    seconds = (
-        F.when(text.rlike(rf"^P(?=.){parts}(?:T(?=.){later})?$"), iso)
-        .when(text.rlike(words) & text.rlike(r"\d"), ago * (spelled + sign * shown))
-        .otherwise(refused)
-    )
-    return F.when(text.isNotNull(), (seconds * 1_000_000_000).cast("bigint"))
+    total = F.when(valid, ago * (seconds + hands)).otherwise(refused)
+    return F.when(text.isNotNull(), (total * 1_000_000_000).cast("bigint"))
 
 
 def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules: ValueRules) -> Column:
@@ -245,6 +262,15 @@ def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules:
     return value.cast("string")
 
 
+def as_variant(value: Column, arrives_as: T.DataType) -> Column:
+    """JSON parsed once, as it lands. Text that is not JSON fails the job."""
+    if isinstance(arrives_as, T.VariantType):
+        return value
+    if isinstance(arrives_as, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_variant_object(value)
+    return F.parse_json(value.cast("string"))
+
+
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -296,6 +322,8 @@ def land(value: Column, column: SourceColumn, arrives_as: T.DataType, rules: Val
     lands_as = landing_type(column, rules, arrives_as)
     if column.type_name == NANOSECOND_TIMESTAMP and isinstance(arrives_as, T.LongType):
         landed = micros_from_nanos(value)
+    elif isinstance(lands_as, T.VariantType):
+        landed = as_variant(value, arrives_as)
     elif not is_mapped(column) and isinstance(lands_as, T.StringType):
         landed = as_text(value, column, arrives_as, rules)
     else:

@@ -8,13 +8,12 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haulage.functions.types import named
 from haulage.operators.conform import stack_up
-from haulage.operators.running import number_rows
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -115,18 +114,33 @@ def json_holds(text: Column, wanted: Mapping[str, Any]) -> Column:
     numbers, a list is contained if each of its elements is, in any order. A
     member that is not there matches nothing, and what is not JSON contains nothing.
     """
-    return F.coalesce(_contains(F.try_parse_json(text), wanted), F.lit(False))
+    return json_answers(text, {"holds": wanted})["holds"]
+
+
+def json_answers(text: Column, questions: Mapping[str, Mapping[str, Any]]) -> Column:
+    """A struct that says of each object whether JSON text contains it; the text is parsed once for all."""
+    # A variable of a lambda is a value, where an expression used twice would be worked out twice.
+    parsed = F.array(F.try_parse_json(text))
+    return F.get(
+        F.transform(parsed, lambda found: F.struct(*[variant_holds(found, w).alias(n) for n, w in questions.items()])), 0
+    )
+
+
+def variant_holds(found: Column, wanted: Mapping[str, Any]) -> Column:
+    """Whether a VARIANT column, as JSON lands with ``json_as_variant``, contains an object; nothing is parsed."""
+    return F.coalesce(_contains(found, wanted), F.lit(False))
 
 
 def _contains(found: Column, wanted: Any) -> Column:
     """Whether a variant contains a value; NULL or false where it does not."""
     shown = F.to_json(found)
     if isinstance(wanted, Mapping):
+        # What has a member by its name is an object.
         members = [
             F.coalesce(_contains(F.try_variant_get(found, _member(key), "variant"), inner), F.lit(False))
             for key, inner in wanted.items()
         ]
-        return reduce(and_, members, shown.startswith("{"))
+        return reduce(and_, members) if members else shown.startswith("{")
     if isinstance(wanted, (list, tuple)):
         elements = F.try_variant_get(found, "$", "array<variant>")
         held = [F.coalesce(F.exists(elements, _containing(inner)), F.lit(False)) for inner in wanted]
@@ -181,12 +195,44 @@ def preview(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
 # --- exact sample -------------------------------------------------------------
 
 
+# Hexadecimal digits that one round of counting tells apart, and rows that are few enough to be put in order.
+DIGITS = 3
+FEW = 1 << 16
+
+
+def kth_digest(hashed: DataFrame, k: Callable[[int], int]) -> Row:
+    """The row of the k-th smallest (_hash, _key), k worked out from the number of rows.
+
+    Rows are counted by the first digits of the hash, then, among those that share the digits of the k-th,
+    by the next ones, until few are left to look at. A round sends back a count for each of 4,096 prefixes at most.
+    """
+    prefix, left, wanted = "", None, 0
+    while left is None or (left > FEW and len(prefix) < 32):
+        head = F.substring("_hash", 1, len(prefix) + DIGITS).alias("head")
+        counts = hashed.where(F.col("_hash").startswith(prefix)).groupBy(head).count().orderBy("head").collect()
+        if left is None:
+            wanted = k(sum(row["count"] for row in counts))
+        for row in counts:
+            if wanted <= row["count"]:
+                break
+            wanted -= row["count"]
+        prefix, left = row["head"], row["count"]
+    rest = hashed.where(F.col("_hash").startswith(prefix)).orderBy("_hash", "_key").limit(wanted).collect()
+    return rest[-1]
+
+
 def sample_keys(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     """Exactly ``max(1, floor(n * ratio))`` of n unique keys, the same ones every time.
 
-    The keys with the smallest seeded hash are taken: all are numbered in the
-    hash's order, stretch by stretch, and none is sorted into one task.
+    The keys with the smallest seeded hash are taken: the greatest of them is found by counting, and a filter takes all up to
+    it. No key is shuffled or sorted for it but a few around that one. A table without rows gives none.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    numbered = number_rows(df.select(key, digest.alias("_hash")), ["_hash", key], "_number")
-    return numbered.where(F.col("_number") <= max(1, int(df.count() * ratio))).select(key)
+    digest = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), named(key).cast("string"))), F.lit(""))
+    hashed = df.select(named(key).alias("_key"), digest.alias("_hash"))
+    if hashed.isEmpty():
+        return df.select(key)
+    last = kth_digest(hashed, lambda n: max(1, int(n * ratio)))
+    until = (F.col("_hash") < last["_hash"]) | (
+        (F.col("_hash") == last["_hash"]) & (F.col("_key").isNull() | (F.col("_key") <= F.lit(last["_key"])))
+    )
+    return hashed.where(until).select(F.col("_key").alias(key))

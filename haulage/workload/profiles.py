@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulage.functions.types import wall_clock_micros
+from haulage.functions.types import ValueRules, wall_clock_micros
 from haulage.operators import profile, running, sketches
 from haulage.operators.running import Opening
 from haulage.plans.load import append_movements, load
@@ -95,14 +95,30 @@ def json_contains(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("event_id", "props")
     props = F.col("props")
     wrapped = F.concat(F.lit('{"of": '), props, F.lit(', "none": null, "tags": [1, "a", {"b": [2]}]}'))
-    return events.withColumns(
-        {
-            "number": profile.json_holds(props, {"k": 69}),
-            "text": profile.json_holds(props, {"k": "69"}),
-            "any_object": profile.json_holds(props, {}),
-            "nested": profile.json_holds(wrapped, {"of": {}, "none": None}),
-            "listed": profile.json_holds(wrapped, {"tags": [{"b": []}, "a"]}),
-        }
+    plain = {"number": {"k": 69}, "text": {"k": "69"}, "any_object": {}}
+    inside = {"nested": {"of": {}, "none": None}, "listed": {"tags": [{"b": []}, "a"]}}
+    asked = events.withColumns({"_p": profile.json_answers(props, plain), "_w": profile.json_answers(wrapped, inside)})
+    return asked.select("event_id", "props", "_p.*", "_w.*")
+
+
+@query(
+    "SELECT event_id, json_extract(props, '$.k')::BIGINT = 69 AS number, false AS text, true AS any_object,"
+    " json_extract(props, '$.k')::BIGINT AS k FROM events"
+)
+def json_landed(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON that landed as VARIANT, parsed by the load alone: containment and a member read from the column."""
+    tables = new_tables(spark)
+    spec = file_spec(
+        folder, "events", namespace="web", column_types={"props": "jsonb"}, rules=ValueRules(json_as_variant=True)
+    )
+    load(spark, spec, tables)
+    props = F.col("props")
+    return tables.read("web.events").select(
+        "event_id",
+        profile.variant_holds(props, {"k": 69}).alias("number"),
+        profile.variant_holds(props, {"k": "69"}).alias("text"),
+        profile.variant_holds(props, {}).alias("any_object"),
+        F.variant_get(props, "$.k", "bigint").alias("k"),
     )
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from decimal import Decimal
 from fractions import Fraction
@@ -207,3 +208,22 @@ def test_refresh_statistics(spark, tmp_path):
         assert "10 rows" in described["Statistics"]
     finally:
         spark.sql("DROP TABLE counted")
+
+
+@pytest.mark.parametrize("few", [1, 3, 1 << 16])
+@pytest.mark.parametrize("ratio", [0.0, 0.001, 0.37, 1.0])
+def test_a_sample_is_the_smallest_hashes(spark, monkeypatch, few, ratio):
+    monkeypatch.setattr(profile, "FEW", few)
+    keys = [f"k{i}" for i in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(4)
+    found = sorted(r[0] for r in profile.sample_keys(df, "k", ratio, 5).collect())
+    order = sorted(keys, key=lambda k: hashlib.md5(f"5:{k}".encode()).hexdigest())
+    assert found == sorted(order[: max(1, int(3000 * ratio))])
+
+
+def test_a_sample_shuffles_no_keys(spark, data):
+    customers = spark.read.parquet(f"{data}/customer.parquet")
+    assert "Exchange" not in plan_of(profile.sample_keys(customers, "c_custkey", 0.4, 1))
+    assert profile.sample_keys(customers.limit(0), "c_custkey", 0.4, 1).count() == 0
+    some = spark.createDataFrame([(None,), (7,)], "k int")
+    assert rows(profile.sample_keys(some, "k", 0.5, 1)) == [(None,)] and profile.sample_keys(some, "k", 1.0, 1).count() == 2
