@@ -37,16 +37,15 @@ class Rules:
     window: words of a repeat that the base rule counts. min_words and max_repeat_percent: the base
     rule fails fewer words, or more repeated ones. repeat: words of a repeat that the method
     counts; max_covered_percent: the most words that such repeats may cover; max_longest: the most words of
-    the longest repeat; a text with a longer one goes if that is also over max_longest_percent of it.
+    the longest repeat, in a text of any length.
     """
 
     window: int = 5
     min_words: int = 10
     max_repeat_percent: int = 20
     repeat: int = 4
-    max_covered_percent: int = 60
+    max_covered_percent: int = 20
     max_longest: int = 50
-    max_longest_percent: int = 10
 
 
 def suffix_ranks(symbols: np.ndarray, text_of: np.ndarray) -> list[np.ndarray]:
@@ -145,9 +144,7 @@ def measure(texts: list[bytes], rules: Rules) -> list[np.ndarray]:
     most = np.zeros(len(texts), dtype=np.int64)
     np.maximum.at(most, text_of, longest)
     failed = (n < rules.min_words) | (100 * repeated > rules.max_repeat_percent * n)
-    over = (100 * spans > rules.max_covered_percent * n) | (
-        (most > rules.max_longest) & (100 * most > rules.max_longest_percent * n)
-    )
+    over = (100 * spans > rules.max_covered_percent * n) | (most > rules.max_longest)
     return [n, chars, marks, lines, repeated, spans, most, failed, ~failed & ~over]
 
 

@@ -125,12 +125,12 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
                list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
         FROM documents
     ),
-    sizes AS (SELECT *, len(w) AS n, greatest(51, len(w) // 10 + 1) AS m FROM words),
+    sizes AS (SELECT *, len(w) AS n FROM words),
     spans AS (
         SELECT doc_id, k, i, count(*) OVER (PARTITION BY doc_id, k, h) AS times FROM (
             SELECT doc_id, k, i, sha256(array_to_string(w[i:i + k - 1], ' ')) AS h FROM (
                 SELECT doc_id, w, k, unnest(range(1, n - k + 2)) AS i
-                FROM (SELECT doc_id, w, n, unnest([4, 5, m]) AS k FROM sizes) WHERE n >= k
+                FROM (SELECT doc_id, w, n, unnest([4, 5, 51]) AS k FROM sizes) WHERE n >= k
             )
         )
     ),
@@ -150,7 +150,7 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
            n_repeat_words, covered_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
            NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
-           AND NOT (100 * covered_words > 60 * n_words OR long) AS kept
+           AND NOT (100 * covered_words > 20 * n_words OR long) AS kept
     FROM counts
 """)
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

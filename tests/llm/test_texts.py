@@ -222,6 +222,19 @@ def test_quality_rules(spark, odd, none):
     assert {r.doc_id: r.kept for r in quality_rules.apply_rules(df, rules).collect()} == {1: False, 2: True}
 
 
+def test_each_limit_rejects_what_the_base_rule_keeps(spark):
+    words = [f"w{i}" for i in range(4000)]
+    pasted = words[:3000] + words[100:160] + words[3000:]
+    short = [w for k in range(300) for w in (f"u{k}", *(["a", "b", "c", "d"] if k % 5 == 0 else [f"v{k}"]))]
+    some = [w for k in range(300) for w in (f"u{k}", f"x{k}", f"y{k}", *(["a", "b", "c", "d"] if k % 10 == 0 else [f"v{k}"]))]
+    df = spark.createDataFrame(
+        [(1, " ".join(pasted)), (2, " ".join(short)), (3, " ".join(some)), (4, " ".join(words[:3000] + words[100:150]))],
+        "doc_id long, text string",
+    )
+    found = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.apply_rules(df).collect()}
+    assert found == {1: (False, False), 2: (False, False), 3: (False, True), 4: (False, True)}
+
+
 def made(n, seed, mark=None):
     rnd = random.Random(seed)
     words = ["".join(rnd.choices("aeioutrnsl", k=rnd.randrange(2, 8))) for _ in range(800)]
