@@ -23,7 +23,7 @@ KLL_SIZE = 400
 TRACKED = 10_000
 
 
-def _number(field: T.StructField) -> Column | None:
+def number_of(field: T.StructField) -> Column | None:
     """A column as doubles in its own order, where it has one that doubles can follow."""
     value, kind = named(field.name), field.dataType
     if isinstance(kind, T.NumericType):
@@ -47,7 +47,7 @@ def column_sketches(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     for i, field in enumerate(df.schema.fields):
         if field.name not in wanted or not isinstance(field.dataType, T.AtomicType):
             continue
-        text, number = named(field.name).cast("string"), _number(field)
+        text, number = named(field.name).cast("string"), number_of(field)
         empty = F.lit(None).cast("double") if number is None else F.when(~F.isnan(number), number)
         measures += [
             F.count(named(field.name)).alias(f"n{i}"),

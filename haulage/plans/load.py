@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from haulage.functions.types import SourceColumn, columns_of, landing_schema, parse_type
 from haulage.operators import unique as unique_keys
 from haulage.operators.conform import conform, stack_up, with_defaults
+from haulage.operators.layout import z_ordered
 from haulage.operators.quality import Rule, judged
 from haulage.operators.running import Movements, Opening, number_rows
 from haulage.plans.spec import LoadSpec
@@ -73,6 +74,8 @@ def load(
         stored = tables.read(spec.target) if there else None
         rows, rejected = screened(rows, checks, unique, stored)
         tables.write(rejected, f"{spec.target}_rejected", spec.mode, snapshot_id=snapshot_id)
+    if spec.z_order_by:
+        rows = z_ordered(rows, spec.z_order_by)
     return tables.write(
         rows,
         spec.target,

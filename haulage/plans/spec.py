@@ -33,6 +33,7 @@ class LoadSpec:
     num_partitions: int = 1
     cluster_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
+    z_order_by: tuple[str, ...] = ()
     not_null: tuple[str, ...] = ()
     column_types: Mapping[str, str] = field(default_factory=dict)
     rules: ValueRules = ValueRules()
@@ -44,6 +45,8 @@ class LoadSpec:
             raise ValueError("batch_size must be at least 1")
         if self.num_partitions < 1:
             raise ValueError("num_partitions must be at least 1")
+        if self.z_order_by and (self.cluster_by or self.partition_by):
+            raise ValueError("rows are laid out by z_order_by or by cluster_by and partition_by, not both")
         if self.num_partitions > 1 and self.path is None and not self.partition_column:
             raise ValueError("more than one JDBC partition needs partition_column")
 

@@ -125,6 +125,30 @@ def load_clustered(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("default.orders").withColumn("reported", F.lit(done.rows_loaded).cast("bigint"))
 
 
+@query(
+    "SELECT 'l_partkey' AS column_name, count(*) AS rows, true AS skips FROM lineitem WHERE l_partkey = 77"
+    " UNION ALL SELECT 'l_shipdate', count(*), true FROM lineitem WHERE l_shipdate = TIMESTAMP '1996-03-01 00:00:00'"
+)
+def load_z_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """A load laid out by two columns: rows found by either one, and whether the files' ranges spare a quarter of them or more."""
+    tables = new_tables(spark)
+    load(spark, file_spec(folder, "lineitem", z_order_by=("l_partkey", "l_shipdate")), tables)
+    lines = tables.read("default.lineitem")
+    wanted = {"l_partkey": F.lit(77), "l_shipdate": F.lit("1996-03-01").cast("timestamp_ntz")}
+    ranges = lines.groupBy(F.input_file_name().alias("file")).agg(
+        *[F.min(c).alias(f"low_{c}") for c in wanted],
+        *[F.max(c).alias(f"high_{c}") for c in wanted],
+        *[F.sum((F.col(c) == v).cast("bigint")).alias(f"rows_{c}") for c, v in wanted.items()],
+    )
+    parts = [
+        ranges.agg(
+            F.sum(f"rows_{c}").alias("rows"), F.avg(v.between(F.col(f"low_{c}"), F.col(f"high_{c}")).cast("int")).alias("share")
+        ).select(F.lit(c).alias("column_name"), "rows", (F.col("share") <= 0.75).alias("skips"))
+        for c, v in wanted.items()
+    ]
+    return shaping.stack_up(parts)
+
+
 @query(
     "SELECT 'loaded' AS part, count(*) AS rows, count(*) AS reported FROM orders"
     " WHERE o_totalprice <= 300000 AND o_orderstatus <> 'P'"
