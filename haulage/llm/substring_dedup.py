@@ -27,6 +27,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from haulage.llm.text import Words, find_words, found_in, hash_runs, hash_words, mixed, ragged, slices
+from haulage.session import checkpointed
 
 RUN = 5
 MOST_PIECES = 2000
@@ -337,7 +338,7 @@ def remove_repeats(
     others = [c for c in df.columns if c not in (text, "repeats")]
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // BLOCK_BYTES)))).alias("_block")
+    block = F.pmod(F.xxhash64(key, F.col(text)), F.lit(max(1, -(-total // BLOCK_BYTES)))).alias("_block")
     documents = df.select(block, key.alias("_id"), F.col(text).alias("_text"), F.struct(*others).alias("_rest"))
 
     anchors = anchors_of(documents, window)
@@ -345,10 +346,11 @@ def remove_repeats(
     pieces = pieces_of(documents, anchors.select("_block", "anchor"), window)
     least = F.min(F.struct("id", "pos")).over(Window.partitionBy("anchor", "code"))
     pieces = pieces.withColumn("_first", F.struct("id", "pos") == least)
-    unlike = pieces.where("_first").select("_block", "anchor", "code", "id", "pos")
+    # Rows that share an id may hold a piece at the same place in several blocks; one of them sends it.
+    unlike = pieces.where("_first").groupBy("anchor", "code", "id", "pos").agg(F.min("_block").alias("_block"))
     crowded = unlike.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = unlike.join(crowded, "anchor").select("_block", "anchor", "code", "id", "pos", "pieces")
-    shards = shard_pieces(documents, wanted, window, most_pieces)
+    shards = checkpointed(shard_pieces(documents, wanted, window, most_pieces))
     marks = automaton_marks(shards, window).union(window_marks(shards))
     acted = pieces.join(marks, ["anchor", "code"], "left")
     gone = acted.where("not _first or n > 1 or mask is not null").select(

@@ -74,6 +74,19 @@ def removed(documents, window=20):
     return found
 
 
+@pytest.mark.parametrize("most_pieces", [0, 2000])
+def test_rows_without_an_id_are_dealt_over_blocks(spark, monkeypatch, most_pieces):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300)
+    rnd = random.Random(4)
+    shared = " ".join(f"s{k}" for k in range(30))
+    documents = [(None if k % 3 else k, " ".join(rnd.choices("abcdefgh", k=12)) + (f" {shared}" if k % 4 else "")) for k in range(120)]
+    documents += [(None, f"{shared} tail{k}") for k in range(6)] + [(5000 + k, f"{shared} tail{k}") for k in range(6)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(df, 5, most_pieces=most_pieces).collect()
+    kept = sorted(hashlib.sha256(" ".join(ws).encode()).hexdigest() for ws in removed(documents, 5))
+    assert sorted(r.repeats.kept_sha256 for r in found) == kept
+
+
 @pytest.mark.parametrize("most_pieces", [0, 2, 2000])
 @pytest.mark.parametrize("window", [5, 7, 20])
 def test_repeats_against_the_definition(spark, window, most_pieces, monkeypatch):
