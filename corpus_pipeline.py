@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from haulage.llm import packing, quality_rules, simhash, substring_dedup, toxicity
 from haulage.llm.queries import WORD_BPE, table
@@ -36,8 +35,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     least = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_least")).distinct()
     kept = docs.join(least, docs["doc_id"].eqNullSafe(least["_least"]), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +47,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 4096 tokens, one row a piece."""
-    return packing.pack(docs, WORD_BPE, with_ids=False).drop("ids")
+    """All documents in sequences of at most 4096 tokens, one row a piece with its ids."""
+    return packing.pack(docs, WORD_BPE)
 
 
 STAGES: list[tuple[str, Stage]] = [
