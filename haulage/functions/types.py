@@ -195,6 +195,42 @@ UNIT_SECONDS = {
 }
 
 
+VALUE = r"[+-]?\d+(?:\.\d{1,6})?"
+UNIT = r"(?:years?|mon(?:th)?s?|weeks?|days?|hours?|min(?:ute)?s?|sec(?:ond)?s?)(?![a-z])"
+CLOCK = r"([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?"
+DATES, TIMES = ("".join(f"(?:{VALUE}{unit})?" for unit in units) for units in ("YMWD", "HMS"))
+
+
+def _clock(group: int) -> str:
+    return f"coalesce(cast(nullif(regexp_extract(t, r'{CLOCK}', {group}), '') AS decimal(18,6)), 0)"
+
+
+# A function of the text t to seconds. Both forms become amounts with short units, s: behind `P`, months and minutes
+# differ by where they stand.
+INTERVAL_SECONDS = rf"""
+    t -> if(t IS NULL, NULL, transform(
+        array(if(t LIKE 'P%',
+            concat(translate(substring_index(t, 'T', 1), 'PYMWD', ' ymwd'),
+                   if(contains(t, 'T'), translate(substring_index(t, 'T', -1), 'HMS', 'hns'), '')),
+            lower(t))),
+        s -> if(
+            if(t LIKE 'P%', t RLIKE r'^P(?=.){DATES}(?:T(?=.){TIMES})?$',
+               t RLIKE r'(?i)^\s*(?=\S)(?:{VALUE}\s*{UNIT}\s*)*(?:{CLOCK}\s*)?(?:ago\s*)?$' AND t RLIKE r'\d'),
+            if(s RLIKE r'ago\s*$', -1, 1) * (
+                aggregate(
+                    zip_with(
+                        regexp_extract_all(s, r'({VALUE})\s*([a-z]{{1,2}})[a-z]*', 1),
+                        regexp_extract_all(s, r'({VALUE})\s*([a-z]{{1,2}})[a-z]*', 2),
+                        (amount, unit) -> cast(amount AS decimal(18,6))
+                            * try_element_at(map({", ".join(f"'{u}', {n}" for u, n in UNIT_SECONDS.items())}), unit)),
+                    cast(0 AS decimal(38,6)),
+                    (total, one) -> cast(total + one AS decimal(38,6)))
+                + if(contains(t, ':'), if(regexp_extract(t, r'{CLOCK}', 1) = '-', -1, 1)
+                     * (({_clock(2)} * 60 + {_clock(3)}) * 60 + {_clock(4)}), 0)),
+            cast(raise_error(concat('cannot read the interval ', t)) AS decimal(38,6))))[0])
+"""
+
+
 def interval_nanos(text: Column) -> Column:
     """Nanoseconds in an interval written as ``1 year 2 mons 3 days 04:05:06.7``.
 
@@ -204,42 +240,8 @@ def interval_nanos(text: Column) -> Column:
 
     A value is checked by the expression of its own form and then cut into amounts and units once.
     """
-    value = r"[+-]?\d+(?:\.\d{1,6})?"
-    units = r"(?:years?|mon(?:th)?s?|weeks?|days?|hours?|min(?:ute)?s?|sec(?:ond)?s?)(?![a-z])"
-    clock = r"([+-]?)(\d+):(\d\d)(?::(\d\d(?:\.\d{1,6})?))?"
-    words = rf"(?i)^\s*(?=\S)(?:{value}\s*{units}\s*)*(?:{clock}\s*)?(?:ago\s*)?$"
-    date = "".join(f"(?:{value}{unit})?" for unit in "YMWD")
-    time = "".join(f"(?:{value}{unit})?" for unit in "HMS")
-
-    iso = text.startswith("P")
-    valid = F.when(iso, text.rlike(rf"^P(?=.){date}(?:T(?=.){time})?$")).otherwise(
-        text.rlike(words) & text.rlike(r"\d")
-    )
-    # Both forms as amounts with short units: behind `P`, months and minutes differ by where they stand.
-    day, hours = F.substring_index(text, "T", 1), F.when(text.contains("T"), F.substring_index(text, "T", -1))
-    letters = F.concat(F.translate(day, "PYMWD", " ymwd"), F.coalesce(F.translate(hours, "HMS", "hns"), F.lit("")))
-    short = F.when(iso, letters).otherwise(F.lower(text))
-    found = rf"({value})\s*([a-z]{{1,2}})[a-z]*"
-    weights = F.create_map(*[F.lit(x) for pair in UNIT_SECONDS.items() for x in pair])
-    seconds = F.aggregate(
-        F.zip_with(
-            F.regexp_extract_all(short, F.lit(found), 1),
-            F.regexp_extract_all(short, F.lit(found), 2),
-            lambda amount, unit: amount.cast("decimal(18,6)") * F.try_element_at(weights, unit),
-        ),
-        F.lit(0).cast("decimal(38,6)"),
-        lambda total, one: (total + one).cast("decimal(38,6)"),
-    )
-
-    def shown(group: int) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(text, clock, group), F.lit("")).cast("decimal(18,6)"), F.lit(0))
-
-    sign = F.when(F.regexp_extract(text, clock, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hands = F.when(text.contains(":"), sign * ((shown(2) * 60 + shown(3)) * 60 + shown(4))).otherwise(F.lit(0))
-    ago = F.when(short.rlike(r"ago\s*$"), F.lit(-1)).otherwise(F.lit(1))
-    refused = F.raise_error(F.concat(F.lit("cannot read the interval "), text)).cast("decimal(38,6)")
-    total = F.when(valid, ago * (seconds + hands)).otherwise(refused)
-    return F.when(text.isNotNull(), (total * 1_000_000_000).cast("bigint"))
+    seconds = F.get(F.call_function("transform", F.array(text), F.expr(INTERVAL_SECONDS)), 0)
+    return (seconds * 1_000_000_000).cast("bigint")
 
 
 def as_text(value: Column, column: SourceColumn, arrives_as: T.DataType, rules: ValueRules) -> Column:
