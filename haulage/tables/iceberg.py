@@ -20,7 +20,10 @@ LOAD_ID = "haulage-load-id"
 
 
 class IcebergTables:
-    """Drop-in for ``SnapshotTables``: snapshots, history and commits are Iceberg's own."""
+    """Loads, reads and history as ``SnapshotTables`` has them, kept by Iceberg.
+
+    ``read_load``, ``row_counts`` and ``create_views`` are not there.
+    """
 
     def __init__(self, spark: SparkSession, catalog: str):
         if spark.conf.get(f"spark.sql.catalog.{catalog}", None) is None:
