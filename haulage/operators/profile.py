@@ -200,8 +200,8 @@ DIGITS = 3
 FEW = 1 << 16
 
 
-def kth_digest(hashed: DataFrame, k: Callable[[int], int]) -> Row:
-    """The row of the k-th smallest (_hash, _key), k worked out from the number of rows.
+def kth_digest(hashed: DataFrame, k: Callable[[int], int]) -> Row | None:
+    """The row of the k-th smallest (_hash, _key), k worked out from the number of rows; none where there are no rows.
 
     Rows are counted by the first digits of the hash, then, among those that share the digits of the k-th,
     by the next ones, until few are left to look at. A round sends back a count for each of 4,096 prefixes at most.
@@ -211,6 +211,8 @@ def kth_digest(hashed: DataFrame, k: Callable[[int], int]) -> Row:
         head = F.substring("_hash", 1, len(prefix) + DIGITS).alias("head")
         counts = hashed.where(F.col("_hash").startswith(prefix)).groupBy(head).count().orderBy("head").collect()
         if left is None:
+            if not counts:
+                return None
             wanted = k(sum(row["count"] for row in counts))
         for row in counts:
             if wanted <= row["count"]:
@@ -229,9 +231,9 @@ def sample_keys(df: DataFrame, key: str, ratio: float, seed: int) -> DataFrame:
     """
     digest = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), named(key).cast("string"))), F.lit(""))
     hashed = df.select(named(key).alias("_key"), digest.alias("_hash"))
-    if hashed.isEmpty():
-        return df.select(key)
     last = kth_digest(hashed, lambda n: max(1, int(n * ratio)))
+    if last is None:
+        return df.select(key)
     until = (F.col("_hash") < last["_hash"]) | (
         (F.col("_hash") == last["_hash"]) & (F.col("_key").isNull() | (F.col("_key") <= F.lit(last["_key"])))
     )
