@@ -52,13 +52,14 @@ def possible(stored: DataFrame, rows: DataFrame, keys: Sequence[str], count: int
     through is shuffled. Of more rows than a filter of bounded size can tell apart, none is made.
     """
     names = [f"_stored{i}" for i in range(len(keys))]
-    kinds = [rows.schema[k].dataType for k in keys]
-    there = stored.where(has_key(keys)).select(*[named(k).cast(t).alias(n) for k, t, n in zip(keys, kinds, names)])
+    there = stored.where(has_key(keys)).select(*[named(k).alias(n) for k, n in zip(keys, names)])
     words = bloom.words_for(count)
     if count * LEAST_BITS <= words * bloom.WORD_BITS:
         key = rows.where(has_key(keys)).select(F.struct(*map(named, keys)).alias("key"))
         held = bloom.build(key, "key", words)
-        there = there.where(held.may_hold(F.struct(*names)))
+        # As the rows have them, where they can: a value that their type cannot hold is none of theirs.
+        alike = [F.col(n).try_cast(rows.schema[k].dataType) for k, n in zip(keys, names)]
+        there = there.where(held.may_hold(F.struct(*alike)))
     return there.distinct()
 
 

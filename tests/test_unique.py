@@ -73,3 +73,13 @@ def test_an_empty_side(spark, tables, empty):
     load(spark, LoadSpec("rows", path=path, mode="append"), tables, unique=[["k"]])
     assert tables.read("default.rows").count() == (2 if empty == "new" else 1)
     assert tables.read("default.rows_rejected").count() == (0 if empty == "new" else 1)
+
+
+def test_a_stored_key_of_a_wider_type(spark):
+    stored = spark.createDataFrame([(1,), (2**40,), (None,)], "k bigint")
+    new = unique.arrived(spark.createDataFrame([(1,), (2,)], "k int"))
+    fresh, known = unique.against_stored(new, stored, ["k"], 2)
+    assert rows(fresh, "k") == [(2,)] and rows(known, "k") == [(1,)]
+    halves = spark.createDataFrame([(1.5,), (2.0,)], "k double")
+    fresh, known = unique.against_stored(new, halves, ["k"], 2)
+    assert rows(fresh, "k") == [(1,)] and rows(known, "k") == [(2,)]
