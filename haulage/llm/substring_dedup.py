@@ -16,6 +16,7 @@ copy it holds, and gets back which of them to act on: no key has more rows than
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from haulage.llm.text import Words, find_words, found_in, hash_runs, hash_words, mixed, ragged, slices
-from haulage.session import checkpointed
+from haulage.session import shared_folder
 
 RUN = 5
 MOST_PIECES = 2000
@@ -350,7 +351,11 @@ def remove_repeats(
     unlike = pieces.where("_first").groupBy("anchor", "code", "id", "pos").agg(F.min("_block").alias("_block"))
     crowded = unlike.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = unlike.join(crowded, "anchor").select("_block", "anchor", "code", "id", "pos", "pieces")
-    shards = checkpointed(shard_pieces(documents, wanted, window, most_pieces))
+    # Two readers, one pass over the texts; as Parquet, since a checkpoint is not compressed.
+    made = shard_pieces(documents, wanted, window, most_pieces)
+    path = f"{shared_folder(df.sparkSession)}/shards-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    shards = df.sparkSession.read.schema(made.schema).parquet(path)
     marks = automaton_marks(shards, window).union(window_marks(shards))
     acted = pieces.join(marks, ["anchor", "code"], "left")
     gone = acted.where("not _first or n > 1 or mask is not null").select(
