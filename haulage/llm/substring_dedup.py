@@ -354,7 +354,7 @@ def remove_repeats(
     # Two readers, one pass over the texts; as Parquet, since a checkpoint is not compressed.
     made = shard_pieces(documents, wanted, window, most_pieces)
     path = f"{shared_folder(df.sparkSession)}/shards-{uuid.uuid4().hex}"
-    made.write.parquet(path)
+    made.write.option("compression", "zstd").parquet(path)
     shards = df.sparkSession.read.schema(made.schema).parquet(path)
     marks = automaton_marks(shards, window).union(window_marks(shards))
     acted = pieces.join(marks, ["anchor", "code"], "left")
