@@ -57,6 +57,22 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def by_bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """An order of pairs: by bucket, then by the 32 bits that tell them apart in it."""
+    return np.argsort((bucket_of(values, buckets) << np.uint64(32)) | (values & np.uint64(0xFFFFFFFF)), kind="stable")
+
+
+def gaps(values: np.ndarray) -> bytes:
+    """32-bit values in order as the gaps between them, byte by byte of all, since their high bytes are mostly zero."""
+    found = np.diff(values.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
+    return found.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_gaps(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64)
+
+
 def counted(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, sorted, and the sums of their counts."""
     order = np.argsort(values, kind="stable")
@@ -124,14 +140,16 @@ def pair_filter(training: DataFrame, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             values = np.concatenate(held)
             values, counts = counted(values, np.ones(len(values), dtype=np.uint32))
+            order = by_bucket(values, buckets)
+            values, counts = values[order], counts[order].astype("<u4")
             cuts = np.searchsorted(bucket_of(values, buckets), np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(cuts))
-            short, counts = (values & np.uint64(0xFFFFFFFF)).astype("<u4"), counts.astype("<u4")
+            short = (values & np.uint64(0xFFFFFFFF)).astype("<u4")
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(some, pa.int32()),
-                    pa.array([short[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
+                    pa.array([gaps(short[cuts[b] : cuts[b + 1]]) for b in some], pa.binary()),
                     pa.array([counts[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
                 ],
                 names=["bucket", "hashes", "counts"],
@@ -166,7 +184,7 @@ def pair_filter(training: DataFrame, buckets: int) -> DataFrame:
                     if values:
                         yield flush()
                     now = bucket
-                values.append(np.frombuffer(v, dtype="<u4"))
+                values.append(from_gaps(v).astype("<u4"))
                 counts.append(np.frombuffer(c, dtype="<u4"))
                 if sum(map(len, values)) > 4 * BUCKET_PAIRS:
                     merged = counted(np.concatenate(values), np.concatenate(counts).astype(np.int64))
@@ -214,16 +232,17 @@ def words_asked(rows: DataFrame) -> DataFrame:
 
 
 def pairs_asked(rows: DataFrame, buckets: int) -> DataFrame:
-    """(_block, bucket, hashes): the distinct pairs of each block in order, one row a bucket."""
+    """(_block, bucket, hashes): the distinct pairs of each block, one row a bucket, in the order of `by_bucket`."""
 
     def run(texts: pa.Table) -> pa.Table:
         found = [pairs(tokens(cut)[0]) for batch in texts.to_batches() for _, cut in slices(batch, "_text")]
         values = np.unique(np.concatenate(found))
+        values = values[by_bucket(values, buckets)]
         cuts = np.searchsorted(bucket_of(values, buckets), np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cuts))
         short = (values & np.uint64(0xFFFFFFFF)).astype("<u4")
         block = np.full(len(some), texts.column("_block")[0].as_py(), dtype=np.int64)
-        blobs = [short[cuts[b] : cuts[b + 1]].tobytes() for b in some]
+        blobs = [gaps(short[cuts[b] : cuts[b + 1]]) for b in some]
         return pa.table(
             [pa.array(block), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())],
             names=["_block", "bucket", "hashes"],
@@ -239,7 +258,7 @@ def pair_levels(asked: DataFrame, filters: DataFrame) -> DataFrame:
         found = Filter(np.empty(0, dtype=np.uint8), 0, 0)
         for row in held.to_pylist():
             found = Filter(np.frombuffer(row["bits"], dtype=np.uint8), row["size"], row["levels"])
-        blobs = (np.frombuffer(blob.as_py(), dtype="<u4").astype(np.uint64) for blob in asked.column("hashes"))
+        blobs = (from_gaps(blob.as_py()) for blob in asked.column("hashes"))
         levels = pa.array([found.find(hashes).tobytes() for hashes in blobs], pa.binary())
         return pa.table([asked.column("_block"), asked.column("bucket"), levels], names=["_block", "bucket", "levels"])
 
@@ -315,6 +334,8 @@ def score(
         asked = np.unique(np.concatenate([pairs(found) for _, found, _ in held])) if held else counts
         if len(asked) != len(counts):
             raise ValueError(f"{len(asked)} pairs asked for, {len(counts)} answered")
+        answered, counts = counts, np.empty_like(counts)
+        counts[by_bucket(asked, buckets)] = answered
         out = []
         for part, found, bounds in held:
             single = np.zeros(len(found), dtype=np.int64)
