@@ -2,7 +2,8 @@
 
 The arriving rows are written once, each with a number of its own, so that all that is asked of them later agrees. A
 key's winner is found by an aggregate, which combines in each task before the shuffle, and is marked by a join on
-its number: however many rows share a key, none of them meet in one task.
+its number: however many rows share a key, none of them meet in one task. Stored keys are held against the winners
+alone, and whole rows are shuffled once a constraint, to be marked.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from haulage.functions.types import named
 from haulage.operators import bloom
 from haulage.operators.skew import row_hash
-from haulage.session import checkpointed
+from haulage.session import landed
 
 ROW = "_arrived"
 # A filter of fewer bits a key lets most of the stored keys through.
@@ -26,7 +27,7 @@ LEAST_BITS = 4
 
 def arrived(df: DataFrame) -> DataFrame:
     """The rows, written once, with a number that tells each from all others."""
-    return checkpointed(df.withColumn(ROW, F.monotonically_increasing_id()))
+    return landed(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def has_key(keys: Sequence[str]) -> Column:
@@ -34,12 +35,17 @@ def has_key(keys: Sequence[str]) -> Column:
     return reduce(and_, [named(key).isNotNull() for key in keys])
 
 
-def winners(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Arrived rows that stay and that go: of those that share a key, the one with the least hash of all columns stays,
+def least_of_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A row for each key, with the number of the arrived row that stays: the one with the least hash of all columns,
     and of equal rows the one that came first."""
     order = F.struct(row_hash(rows.drop(ROW)), F.col(ROW))
     least = rows.where(has_key(keys)).groupBy(*map(named, keys)).agg(F.min(order).alias("_least"))
-    first = least.select(F.col("_least")[ROW].alias("_first"))
+    return least.withColumn("_first", F.col("_least")[ROW]).drop("_least")
+
+
+def winners(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Arrived rows that stay and that go: one of those that share a key stays."""
+    first = least_of_each(rows, keys).select("_first")
     is_first = F.col(ROW) == F.col("_first")
     stay = rows.join(first, is_first, "left_semi").unionByName(rows.where(~has_key(keys)))
     return stay, rows.where(has_key(keys)).join(first, is_first, "left_anti")
@@ -63,10 +69,28 @@ def possible(stored: DataFrame, rows: DataFrame, keys: Sequence[str], count: int
     return there.distinct()
 
 
+def is_stored(keys: Sequence[str]) -> Column:
+    """A row's key is that of a row of `possible`."""
+    return reduce(and_, [named(k) == F.col(f"_stored{i}") for i, k in enumerate(keys)])
+
+
 def against_stored(
     rows: DataFrame, stored: DataFrame, keys: Sequence[str], count: int
 ) -> tuple[DataFrame, DataFrame]:
     """Arrived rows whose key is new, and those whose key the stored table has."""
-    taken = possible(stored, rows, keys, count)
-    same = reduce(and_, [named(k) == F.col(f"_stored{i}") for i, k in enumerate(keys)])
+    taken, same = possible(stored, rows, keys, count), is_stored(keys)
     return rows.join(taken, same, "left_anti"), rows.join(taken, same, "left_semi")
+
+
+def settled(
+    rows: DataFrame, stored: DataFrame | None, keys: Sequence[str], count: int
+) -> tuple[DataFrame, DataFrame]:
+    """Arrived rows that stay, and the others: those whose key the stored table has, and all but one of those that share
+    a key. They are marked and written once, for both of their readers."""
+    first = least_of_each(rows, keys)
+    if stored is not None:
+        first = first.join(possible(stored, rows, keys, count), is_stored(keys), "left_anti")
+    # One number a key: from the size of packed files Spark would take millions of them for a small table to broadcast.
+    marked = rows.join(first.select("_first").hint("merge"), F.col(ROW) == F.col("_first"), "left")
+    marked = landed(marked.withColumn("_stays", F.col("_first").isNotNull() | ~has_key(keys)).drop("_first"))
+    return marked.where("_stays").drop("_stays"), marked.where("not _stays").drop("_stays")

@@ -107,11 +107,8 @@ def screened(
         count = left.count() if stored is not None else 0
     for keys in unique:
         rule = F.array(F.lit(f"{', '.join(keys)} is unique")).alias("broken_rules")
-        if stored is not None:
-            left, known = unique_keys.against_stored(left, stored, keys, count)
-            refused.append(known.select(*names, rule))
-        left, repeated = unique_keys.winners(left, keys)
-        refused.append(repeated.select(*names, rule))
+        left, others = unique_keys.settled(left, stored, keys, count)
+        refused.append(others.select(*names, rule))
     return left.select(*names), stack_up(refused)
 
 

@@ -64,6 +64,19 @@ def test_several_keys_rules_and_stored_rows_at_once(spark):
     assert reasons[5, "c"] == ["k is unique"] and refused.count() == 5
 
 
+def test_whole_rows_are_marked_once_for_both_results(spark):
+    stored = spark.range(0, 60, 3).selectExpr("id AS k", "'s' AS v")
+    new = spark.range(200).selectExpr("if(id % 50 = 7, NULL, id % 80) AS k", "cast(id AS string) AS v").repartition(5)
+    kept, refused = screened(new, [], [["k"], ["v"]], stored)
+    for part in (kept, refused):
+        plan = plan_of(part)
+        assert "Exchange" not in plan and "Join" not in plan
+    first = sorted(k for (k,) in rows(kept, "k") if k is not None)
+    assert first == [k for k in range(80) if k >= 60 or k % 3] and kept.where("k is null").count() == 4
+    assert sorted(rows(kept, "v") + rows(refused, "v")) == sorted(rows(new, "v"))
+    assert {tuple(r) for (r,) in rows(refused, "broken_rules")} == {("k is unique",)}
+
+
 @pytest.mark.parametrize("empty", ["new", "stored"])
 def test_an_empty_side(spark, tables, empty):
     path = f"{fresh_warehouse(spark)}/rows"
