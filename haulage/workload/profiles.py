@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haulage.functions.types import ValueRules, wall_clock_micros
 from haulage.operators import profile, running, sketches
+from haulage.operators.conform import stack_up
 from haulage.operators.running import Opening
 from haulage.plans.load import append_movements, load
 from haulage.sources.files import table
@@ -149,18 +150,20 @@ def column_sketches(spark: SparkSession, folder: str) -> DataFrame:
     told = sketches.estimates(sketches.merge_sketches(tables.read("sales.lineitem_statistics")))
     quartiles = {r["column_name"]: r["quantiles"] for r in told.collect()}
 
-    def measured(name: str) -> Column:
+    def measured(name: str) -> DataFrame:
+        # Each value with its rows, once: all columns in one aggregate would send a row for each of them.
+        held = lines.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
         value = wall_clock_micros(F.col(name)) if name == "l_shipdate" else F.col(name)
         value = value.cast("double") if quartiles[name] else F.lit(None)
         close = F.lit(True) if quartiles[name] else F.lit(None).cast("boolean")
         for wanted, at in zip((0.25, 0.5, 0.75), quartiles[name] or ()):
             # The rows of one value span a range of ranks.
-            below, upto = F.avg((value < at).cast("int")), F.avg((value <= at).cast("int"))
+            every = F.sum(F.when(value.isNotNull(), F.col("n")))
+            below, upto = (F.sum(F.when(there, F.col("n")).otherwise(0)) / every for there in (value < at, value <= at))
             close = close & (below - 0.02 <= wanted) & (upto + 0.02 >= wanted)
-        return F.struct(F.lit(name).alias("column_name"), F.countDistinct(name).alias("exact"), close.alias("quartiles_close"))
+        return held.agg(F.count(name).alias("exact"), close.alias("quartiles_close")).withColumn("column_name", F.lit(name))
 
-    exact = lines.agg(*[measured(c).alias(f"m{i}") for i, c in enumerate(SKETCHED)])
-    exact = exact.select(F.inline(F.array(*[f"m{i}" for i in range(len(SKETCHED))])))
+    exact = stack_up([measured(c) for c in SKETCHED])
     few = F.col("column_name").isin([c for c, kind in SKETCHED.items() if kind])
     return told.join(exact, "column_name").select(
         "column_name",

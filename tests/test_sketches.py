@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 
 from haulage.operators.sketches import column_sketches, estimates, merge_sketches
+from haulage.workload import QUERIES
+from tests.conftest import plan_of
 
 
 def told(sketches, **how):
@@ -51,3 +53,18 @@ def test_empty_loads_and_columns_without_values(spark, skewed):
     assert told(column_sketches(days))["day"].quantiles == [2.0, 2.0, 2.0]
     with pytest.raises(ValueError, match="no column"):
         column_sketches(skewed.select("nested"))
+
+
+def test_exact_values_are_counted_without_a_row_for_each_column(spark, tmp_path):
+    spark.range(900).selectExpr(
+        "if(id % 9 = 0, null, id) AS l_orderkey", "id % 40 AS l_partkey", "cast(id % 300 AS double) AS l_extendedprice",
+        "timestamp_ntz '1996-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 50 AS int)) AS l_shipdate",
+        "cast(id % 7 AS int) AS l_linenumber", "cast(id % 5 AS double) AS l_quantity",
+        "substr('ANR', cast(id % 3 AS int) + 1, 1) AS l_returnflag",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["column_sketches"](spark, str(tmp_path))
+    assert "Expand" not in plan_of(found)
+    told = {r.column_name: r for r in found.collect()}
+    assert len(told) == 7 and all(r.rows == 900 and r.distinct_close for r in told.values())
+    assert told["l_orderkey"].nulls == 100 and all(r.quartiles_close for n, r in told.items() if n != "l_returnflag")
+    assert told["l_returnflag"].quartiles_close is None and told["l_returnflag"].most_rows == 300
