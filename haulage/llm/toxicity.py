@@ -376,18 +376,21 @@ def score(
     share of label 1, 0 without any. The model's size depends on `Shape` alone. Repeated rows stay;
     a table without rows gives none.
     """
+    # A text goes to Python once, by itself or in its row.
     rest = [F.struct(*(df[c] for c in df.columns)).alias("_row")] if carry else []
-    rows = df.select(df[id_column], df[text].alias("_text"), held_out(id_column, 5, 0).alias("held_out"), *rest)
+    source, row, sent = (text, "_row", []) if carry and text in df.columns else ("_text", None, [df[text].alias("_text")])
+    rows = df.select(df[id_column], held_out(id_column, 5, 0).alias("held_out"), *sent, *rest)
+    behind = 2 + len(sent)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            for part, texts in slices(batch, "_text", 1 << 18):
+            for part, texts in slices(batch, source, 1 << 18, row):
                 found = held.score(texts)
-                marks = [part.column(2), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
+                marks = [part.column(1), pa.array(found), pa.array((found >= threshold).astype(np.int32))]
                 names = [id_column, "held_out", "score", "predicted", *["_row"] * carry]
-                yield pa.RecordBatch.from_arrays([part.column(0), *marks, *part.columns[3:]], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *marks, *part.columns[behind:]], names=names)
 
     verdict = StructType.fromDDL("score double, predicted int").fields
-    return rows.mapInArrow(run, StructType([rows.schema[0], rows.schema[2], *verdict, *rows.schema.fields[3:]]))
+    return rows.mapInArrow(run, StructType([rows.schema[0], rows.schema[1], *verdict, *rows.schema.fields[behind:]]))

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 from haulage.llm import bpe, compression_classifier, packing, quality_rules, token_files, toxicity, training
 from haulage.llm.chunks import PieceEncoder, library_encode
 from haulage.llm.queries import BYTE_BPE, QUERIES, WORD_BPE, table
+from haulage.llm import text as word_text
 from haulage.llm.text import find_words, hash_words
 from haulage.session import fresh_warehouse
 from tests.conftest import DATA
@@ -327,3 +328,22 @@ def test_vocabulary_kinds_are_told_apart():
     with open(BYTE_BPE, encoding="utf-8") as file:
         assert json.load(file)["pre_tokenizer"]["type"] == "ByteLevel"
     assert bpe.codec(BYTE_BPE).blanks and not bpe.codec(WORD_BPE).blanks
+
+
+def test_tables_of_the_word_hash_stay_small():
+    word_text._constants.cache_clear()
+    long = " ".join(f"w{k}" for k in range(120_000)).encode()
+    found = hash_words(find_words([long, b"w7 w119999"]))
+    assert found[-2] == found[7] and found[-1] == found[119_999] and len(np.unique(found)) == 120_000
+    assert len(word_text._constants(word_text.PIECE_BYTES)[1]) == 1 << 18 and word_text._constants.cache_info().currsize == 1
+
+
+def test_a_carried_text_is_sent_once(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (2, None), (3, "x " * 80)], "doc_id long, text string").repartition(1)
+    model = toxicity.Model({0: [], 1: []}, {0: 3, 1: 1})
+    ways = [lambda **how: quality_rules.apply_rules(rows, **how), lambda **how: toxicity.score(rows, model, **how)]
+    for alone, carried in [(way(), way(carry=True)) for way in ways]:
+        plan = carried._jdf.queryExecution().executedPlan().toString()
+        assert "_text" not in plan and "_text" in alone._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, carried.drop("_row").collect())) == sorted(map(str, alone.collect()))
+        assert sorted(map(str, carried.select("_row.*").collect())) == sorted(map(str, rows.collect()))
